@@ -9,6 +9,7 @@ fixture parameters (``EXCLUDED_NODES``, ``INCLUDED_SOURCE_VOCABS``).
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,7 +22,7 @@ from ..operators import nodes as N
 from ..operators import resolve as R
 from ..operators import stats as S
 from ..sources import items as I
-from ..sources.fixtures import EXCLUDED_NODES, INCLUDED_SOURCE_VOCABS, Fixtures
+from ..sources.fixtures import EXCLUDED_NODES, INCLUDED_SOURCE_VOCABS, inputs_for
 from .broadcast import fits
 from .report import cohort_pair_report, vocabulary_change_report
 
@@ -33,13 +34,31 @@ class _Main:
     """Shared main-path building blocks for one fixture set."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
-        fx = self.fx = Fixtures(spark, sf_dir)
-        self.small = fits(fx.items)
-        self.old_vc = R.resolve_concepts(fx.items, fx.old, EXCLUDED_NODES, SET_KEYS, self.small)
-        self.new_vc = R.resolve_concepts(fx.items, fx.new, EXCLUDED_NODES, SET_KEYS, self.small)
-        self.old_sc = D.source_concepts(self.old_vc, fx.old)
-        self.new_sc = D.source_concepts(self.new_vc, fx.new)
-        self.dif = D.source_concept_diff(self.old_sc, self.new_sc)
+        self.fx = inputs_for(spark, sf_dir)
+
+    @cached_property
+    def small(self) -> bool:
+        return fits(self.fx.items)
+
+    @cached_property
+    def old_vc(self) -> DataFrame:
+        return R.resolve_concepts(self.fx.items, self.fx.old, EXCLUDED_NODES, SET_KEYS, self.small)
+
+    @cached_property
+    def new_vc(self) -> DataFrame:
+        return R.resolve_concepts(self.fx.items, self.fx.new, EXCLUDED_NODES, SET_KEYS, self.small)
+
+    @cached_property
+    def old_sc(self) -> DataFrame:
+        return D.source_concepts(self.old_vc, self.fx.old)
+
+    @cached_property
+    def new_sc(self) -> DataFrame:
+        return D.source_concepts(self.new_vc, self.fx.new)
+
+    @cached_property
+    def dif(self) -> DataFrame:
+        return D.source_concept_diff(self.old_sc, self.new_sc)
 
     def mapping_old(self, vocabs=INCLUDED_SOURCE_VOCABS) -> DataFrame:
         fx = self.fx
@@ -66,7 +85,7 @@ class _Main:
 
 
 def _pair_report(spark: SparkSession, sf_dir: str):
-    fx = Fixtures(spark, sf_dir)
+    fx = inputs_for(spark, sf_dir)
     return cohort_pair_report(
         fx.items, fx.items_updated, fx.cohort_map, fx.old, fx.new, fx.concept_count,
         EXCLUDED_NODES, INCLUDED_SOURCE_VOCABS, changed_only=True,
@@ -74,7 +93,7 @@ def _pair_report(spark: SparkSession, sf_dir: str):
 
 
 def _pair_blocks(spark: SparkSession, sf_dir: str):
-    fx = Fixtures(spark, sf_dir)
+    fx = inputs_for(spark, sf_dir)
     small = fits(fx.items_updated)
     old_vc = R.resolve_concepts(fx.items, fx.old, EXCLUDED_NODES, PAIR_SET_KEYS, small)
     new_vc = R.resolve_concepts(fx.items_updated, fx.new, EXCLUDED_NODES, PAIR_SET_KEYS, small)
@@ -82,15 +101,15 @@ def _pair_blocks(spark: SparkSession, sf_dir: str):
 
 
 def q_items(spark, sf_dir):
-    return Fixtures(spark, sf_dir).items
+    return inputs_for(spark, sf_dir).items
 
 
 def q_concept_count(spark, sf_dir):
-    return Fixtures(spark, sf_dir).concept_count
+    return inputs_for(spark, sf_dir).concept_count
 
 
 def q_nonstandard_nodes(spark, sf_dir):
-    fx = Fixtures(spark, sf_dir)
+    fx = inputs_for(spark, sf_dir)
     return N.nonstandard_nodes(fx.items, fx.new, fx.concept_count)
 
 
@@ -107,12 +126,12 @@ def q_resolve_new(spark, sf_dir):
 
 
 def q_resolve_all_nodes(spark, sf_dir):
-    fx = Fixtures(spark, sf_dir)
+    fx = inputs_for(spark, sf_dir)
     return R.resolve_concepts(fx.items, fx.new, ())
 
 
 def q_resolve_included_only(spark, sf_dir):
-    fx = Fixtures(spark, sf_dir)
+    fx = inputs_for(spark, sf_dir)
     return R.included_concepts(fx.items, fx.new, EXCLUDED_NODES)
 
 
@@ -222,7 +241,7 @@ def q_person_change_summary(spark, sf_dir):
 
 
 def q_cohort_stats(spark, sf_dir):
-    fx = Fixtures(spark, sf_dir)
+    fx = inputs_for(spark, sf_dir)
     return vocabulary_change_report(
         fx.items, fx.old, fx.new, fx.concept_count, events=fx.event_tables, cohort_names=fx.cohort_names,
         excluded_nodes=EXCLUDED_NODES, included_source_vocabs=INCLUDED_SOURCE_VOCABS,
@@ -252,13 +271,13 @@ def q_pair_domain_change(spark, sf_dir):
 
 
 def q_items_json(spark, sf_dir):
-    fx = Fixtures(spark, sf_dir)
+    fx = inputs_for(spark, sf_dir)
     docs = I.parse_cohort_definitions(I.to_cohort_definitions(fx.items))
     return I.concept_set_items(docs).select(*ITEM_COLUMNS)
 
 
 def q_library_items(spark, sf_dir):
-    fx = Fixtures(spark, sf_dir)
+    fx = inputs_for(spark, sf_dir)
     library = I.to_library_concept_sets(fx.items)
     log = fx.cohort_names.select(
         F.col("cohortid").alias("cohortId"),
