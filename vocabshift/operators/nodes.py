@@ -8,10 +8,11 @@ targets.  The two target lists are independent LEFT joins, so a node with
 meaning and is not de-duplicated.
 
 Plan: the items are size-checked and broadcast into one scan of
-``concept``; the node ids found there are then broadcast (bounded by the
-items) as semi-join filters into the count, relationship and concept
-scans, so the large vocabulary tables are filtered map-side and never
-shuffled.  Everything after the filters is small.
+``concept``; the node ids found there (bounded by the items) are broadcast
+as semi-join filters into the count and relationship scans, and the
+edges' target ids (count checked) into the concept scan for the names.
+The large vocabulary tables are filtered map-side and never shuffled;
+everything after the filters is small.
 """
 
 from __future__ import annotations
@@ -39,19 +40,29 @@ def _hint(df: DataFrame, small: bool) -> DataFrame:
     return F.broadcast(df) if small else df
 
 
-def _targets(vocab: Vocabulary, relationship_id: str, node_ids: DataFrame, small: bool, prefix: str) -> DataFrame:
-    """``(_node, <prefix>_concept_id, <prefix>_concept_name)`` for valid edges of the nodes."""
-    edges = vocab.edges(relationship_id).join(
-        _hint(node_ids, small), F.col("concept_id_1") == F.col("_nid"), "left_semi"
+def node_targets(vocab: Vocabulary, node_ids: DataFrame, small: bool) -> DataFrame:
+    """Valid ``Maps to`` / ``Maps to value`` edges of the nodes with target names.
+
+    One scan of the relationship table (both edge types, filtered map-side by
+    the broadcast node ids) and one scan of the concept table (filtered by the
+    edges' target ids, broadcast once their count has been checked).  Columns:
+    ``_node, relationship_id, _target_id, _target_name``; the target columns
+    are NULL when the target id is missing from ``concept``.
+    """
+    edges = (
+        vocab.relationship.where(
+            F.col("relationship_id").isin(MAPS_TO, MAPS_TO_VALUE) & F.col("invalid_reason").isNull()
+        )
+        .select("concept_id_1", "concept_id_2", "relationship_id")
+        .join(_hint(node_ids, small), F.col("concept_id_1") == F.col("_nid"), "left_semi")
     )
     target_ids = edges.select(F.col("concept_id_2").alias("_tid")).distinct()
-    names = vocab.concept.select(F.col("concept_id").alias("_tname_id"), F.col("concept_name").alias("_tname")).join(
-        target_ids, F.col("_tname_id") == F.col("_tid"), "left_semi"
+    names = vocab.concept.select(F.col("concept_id").alias("_target_id"), F.col("concept_name").alias("_target_name"))
+    names = names.join(
+        _hint(target_ids, small and fits(target_ids)), F.col("_target_id") == F.col("_tid"), "left_semi"
     )
-    return edges.join(names, F.col("concept_id_2") == F.col("_tname_id"), "left").select(
-        F.col("concept_id_1").alias(f"_{prefix}_node"),
-        F.col("_tname_id").alias(f"{prefix}_concept_id"),
-        F.col("_tname").alias(f"{prefix}_concept_name"),
+    return edges.join(names, F.col("concept_id_2") == F.col("_target_id"), "left").select(
+        F.col("concept_id_1").alias("_node"), "relationship_id", "_target_id", "_target_name"
     )
 
 
@@ -75,13 +86,19 @@ def nonstandard_nodes(
     drc = counts.select(F.col("concept_id").alias("_cnt_node"), "descendant_record_count").join(
         _hint(node_ids, small), F.col("_cnt_node") == F.col("_nid"), "left_semi"
     )
-    maps_to = _targets(new, MAPS_TO, node_ids, small, "maps_to")
-    maps_value = _targets(new, MAPS_TO_VALUE, node_ids, small, "maps_to_value")
+    targets = node_targets(new, node_ids, small)
+
+    def side(relationship_id: str, prefix: str) -> DataFrame:
+        return targets.where(F.col("relationship_id") == relationship_id).select(
+            F.col("_node").alias(f"_{prefix}_node"),
+            F.col("_target_id").alias(f"{prefix}_concept_id"),
+            F.col("_target_name").alias(f"{prefix}_concept_name"),
+        )
 
     out = (
         nodes.join(drc, F.col("node_concept_id") == F.col("_cnt_node"), "left")
-        .join(maps_to, F.col("node_concept_id") == F.col("_maps_to_node"), "left")
-        .join(maps_value, F.col("node_concept_id") == F.col("_maps_to_value_node"), "left")
+        .join(side(MAPS_TO, "maps_to"), F.col("node_concept_id") == F.col("_maps_to_node"), "left")
+        .join(side(MAPS_TO_VALUE, "maps_to_value"), F.col("node_concept_id") == F.col("_maps_to_value_node"), "left")
         .select(
             *keys,
             "isexcluded",

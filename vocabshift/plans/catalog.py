@@ -182,14 +182,20 @@ def q_mapping_agg_new(spark, sf_dir):
     return _Main(spark, sf_dir).new_agg()
 
 
+def _main_report(spark, sf_dir, **kw):
+    fx = inputs_for(spark, sf_dir)
+    return vocabulary_change_report(
+        fx.items, fx.old, fx.new, fx.concept_count, cohort_names=fx.cohort_names,
+        excluded_nodes=EXCLUDED_NODES, included_source_vocabs=INCLUDED_SOURCE_VOCABS, **kw,
+    )
+
+
 def q_mapping_diff(spark, sf_dir):
-    m = _Main(spark, sf_dir)
-    return M.mapping_diff(m.old_agg(), m.new_agg())
+    return _main_report(spark, sf_dir)["mapping_diff"]
 
 
 def q_mapping_diff_changed(spark, sf_dir):
-    m = _Main(spark, sf_dir)
-    return M.mapping_diff(m.old_agg(), m.new_agg(), changed_only=True)
+    return _main_report(spark, sf_dir, changed_only=True)["mapping_diff"]
 
 
 def q_common_concepts(spark, sf_dir):
@@ -241,11 +247,7 @@ def q_person_change_summary(spark, sf_dir):
 
 
 def q_cohort_stats(spark, sf_dir):
-    fx = inputs_for(spark, sf_dir)
-    return vocabulary_change_report(
-        fx.items, fx.old, fx.new, fx.concept_count, events=fx.event_tables, cohort_names=fx.cohort_names,
-        excluded_nodes=EXCLUDED_NODES, included_source_vocabs=INCLUDED_SOURCE_VOCABS,
-    )["cohort_stats"]
+    return _main_report(spark, sf_dir, events=inputs_for(spark, sf_dir).event_tables)["cohort_stats"]
 
 
 def q_pair_resolve_new(spark, sf_dir):

@@ -1,16 +1,16 @@
 """User-level reports: the four-table vocabulary change report and the cohort-pair report.
 
 Both are one lazy DAG of DataFrames; nothing is collected.  The resolved
-concept sets and the source-code difference feed several reports, so when
-a caller asks for ``persist=True`` they are kept (MEMORY_AND_DISK; blocks
-lost with an executor are recomputed from lineage) and released by
-``close()``.
+concept sets, the source-code difference and the per-cohort concept diff
+feed several branches (the old and the new side of the mapping report, the
+size check and the event join of the stats), so by default they are
+persisted (MEMORY_AND_DISK) and computed once; blocks lost with an executor
+are recomputed from lineage.  ``close()`` releases them.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Mapping
-from dataclasses import dataclass, field
+from collections.abc import Callable, Iterable, Iterator, Mapping
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
@@ -26,17 +26,27 @@ from ..operators import stats as S
 from .broadcast import fits
 
 
-@dataclass
-class ReportSet:
-    """Named report DataFrames plus the intermediates held in memory."""
+class ReportSet(Mapping):
+    """Named report DataFrames, built on first access, plus the intermediates held in memory."""
 
-    reports: dict[str, DataFrame]
-    held: list[DataFrame] = field(default_factory=list)
+    def __init__(self, builders: dict[str, Callable[[], DataFrame]], held: list[DataFrame]):
+        self._builders = builders
+        self._built: dict[str, DataFrame] = {}
+        self.held = held
 
     def __getitem__(self, name: str) -> DataFrame:
-        return self.reports[name]
+        if name not in self._built:
+            self._built[name] = self._builders[name]()
+        return self._built[name]
+
+    def __iter__(self) -> Iterator[str]:
+        return iter(self._builders)
+
+    def __len__(self) -> int:
+        return len(self._builders)
 
     def close(self) -> None:
+        """Release the persisted intermediates."""
         for df in self.held:
             df.unpersist()
         self.held.clear()
@@ -60,7 +70,7 @@ def vocabulary_change_report(
     included_source_vocabs: Iterable[str] | None = None,
     changed_only: bool = False,
     stats_valid_edges_only: bool = False,
-    persist: bool = False,
+    persist: bool = True,
 ) -> ReportSet:
     """``nonstandard_nodes``, ``mapping_diff``, ``domain_change`` and (with events) ``cohort_stats``.
 
@@ -73,34 +83,52 @@ def vocabulary_change_report(
     held: list[DataFrame] = []
     small = fits(items)
 
-    old_vc = _keep(R.resolve_concepts(items, old, excluded_nodes, SET_KEYS, small), held, persist)
-    new_vc = _keep(R.resolve_concepts(items, new, excluded_nodes, SET_KEYS, small), held, persist)
-    dif = _keep(
-        D.source_concept_diff(D.source_concepts(old_vc, old), D.source_concepts(new_vc, new)), held, persist
-    )
-    old_agg = M.aggregate_mapping(
-        M.mapping_old(dif, old, new, counts, SET_KEYS, vocabs), M.old_aggregate_keys(), "old"
-    )
-    new_agg = M.aggregate_mapping(M.mapping_new(dif, new), M.new_aggregate_keys(), "new")
-
-    reports = {
-        "nonstandard_nodes": N.nonstandard_nodes(items, new, counts, SET_KEYS, small),
-        "mapping_diff": M.mapping_diff(old_agg, new_agg, SET_KEYS, changed_only),
-        "domain_change": DOM.domain_change(
-            DOM.common_concepts(old_vc, new_vc), old, new, counts, SET_KEYS, vocabs
-        ),
-    }
-    if events is not None:
+    state: dict[str, DataFrame] = {}
+
+    def shared(name: str, build: Callable[[], DataFrame]) -> DataFrame:
+        if name not in state:
+            state[name] = _keep(build(), held, persist)
+        return state[name]
+
+    def old_vc() -> DataFrame:
+        return shared("old_vc", lambda: R.resolve_concepts(items, old, excluded_nodes, SET_KEYS, small))
+
+    def new_vc() -> DataFrame:
+        return shared("new_vc", lambda: R.resolve_concepts(items, new, excluded_nodes, SET_KEYS, small))
+
+    def dif() -> DataFrame:
+        return shared(
+            "dif",
+            lambda: D.source_concept_diff(D.source_concepts(old_vc(), old), D.source_concepts(new_vc(), new)),
+        )
+
+    def mapping_diff() -> DataFrame:
+        old_agg = M.aggregate_mapping(
+            M.mapping_old(dif(), old, new, counts, SET_KEYS, vocabs), M.old_aggregate_keys(), "old"
+        )
+        new_agg = M.aggregate_mapping(M.mapping_new(dif(), new), M.new_aggregate_keys(), "new")
+        return M.mapping_diff(old_agg, new_agg, SET_KEYS, changed_only)
+
+    def cohort_stats() -> DataFrame:
         ev = events if isinstance(events, DataFrame) else S.union_events(events)
-        cdiff = _keep(
-            S.concept_diff(S.concept_pool(old_vc, new_vc, old, new, vocabs, stats_valid_edges_only)),
-            held,
-            persist,
+        cdiff = shared(
+            "concept_diff",
+            lambda: S.concept_diff(S.concept_pool(old_vc(), new_vc(), old, new, vocabs, stats_valid_edges_only)),
         )
         flags = S.person_flags(ev, cdiff)
         summary = S.person_change_summary(S.flag_histogram(flags))
-        reports["cohort_stats"] = S.cohort_stats(summary, S.concept_count_change(cdiff), cohort_names)
-    return ReportSet(reports, held)
+        return S.cohort_stats(summary, S.concept_count_change(cdiff), cohort_names)
+
+    builders = {
+        "nonstandard_nodes": lambda: N.nonstandard_nodes(items, new, counts, SET_KEYS, small),
+        "mapping_diff": mapping_diff,
+        "domain_change": lambda: DOM.domain_change(
+            DOM.common_concepts(old_vc(), new_vc()), old, new, counts, SET_KEYS, vocabs
+        ),
+    }
+    if events is not None:
+        builders["cohort_stats"] = cohort_stats
+    return ReportSet(builders, held)
 
 
 def cohort_pair_report(
@@ -113,7 +141,7 @@ def cohort_pair_report(
     excluded_nodes: Iterable[int] | None = (),
     included_source_vocabs: Iterable[str] | None = None,
     changed_only: bool = True,
-    persist: bool = False,
+    persist: bool = True,
 ) -> ReportSet:
     """Old cohorts on the old vocabulary vs their updated versions on the new one.
 
@@ -129,34 +157,54 @@ def cohort_pair_report(
     small = fits(items_old) and fits(items_new)
     map_small = fits(cohort_map)
 
-    old_vc = _keep(R.resolve_concepts(items_old, old, excluded_nodes, PAIR_SET_KEYS, small), held, persist)
-    new_vc = R.resolve_concepts(items_new, new, excluded_nodes, PAIR_SET_KEYS, small)
-    new_vc_old_ids = _keep(R.translate_cohort_ids(new_vc, cohort_map, map_small), held, persist)
-    dif = _keep(
-        D.source_concept_diff(
-            D.source_concepts(old_vc, old, PAIR_SET_KEYS),
-            D.source_concepts(new_vc_old_ids, new, PAIR_SET_KEYS),
-            PAIR_SET_KEYS,
-        ),
-        held,
-        persist,
-    )
-    old_agg = M.aggregate_mapping(
-        M.mapping_old(dif, old, new, counts, PAIR_SET_KEYS, vocabs), M.old_aggregate_keys(PAIR_SET_KEYS), "old"
-    )
-    new_agg = M.aggregate_mapping(M.mapping_new(dif, new), M.new_aggregate_keys(PAIR_SET_KEYS), "new")
-    mapdif = M.mapping_diff(old_agg, new_agg, PAIR_SET_KEYS, changed_only, sort=False)
-    domain = DOM.domain_change(
-        DOM.common_concepts(old_vc, new_vc_old_ids), old, new, counts, PAIR_SET_KEYS, vocabs, sort=False
-    )
-    reports = {
-        "nonstandard_nodes": N.nonstandard_nodes(items_new, new, counts, SET_KEYS, small),
-        "mapping_diff": with_pair_columns(mapdif, cohort_map, map_small).orderBy(F.col("record_count").desc()),
-        "domain_change": with_pair_columns(domain, cohort_map, map_small).orderBy(
-            F.col("source_concept_record_count").desc()
-        ),
+    state: dict[str, DataFrame] = {}
+
+    def shared(name: str, build: Callable[[], DataFrame]) -> DataFrame:
+        if name not in state:
+            state[name] = _keep(build(), held, persist)
+        return state[name]
+
+    def old_vc() -> DataFrame:
+        return shared("old_vc", lambda: R.resolve_concepts(items_old, old, excluded_nodes, PAIR_SET_KEYS, small))
+
+    def new_vc() -> DataFrame:
+        return shared(
+            "new_vc",
+            lambda: R.translate_cohort_ids(
+                R.resolve_concepts(items_new, new, excluded_nodes, PAIR_SET_KEYS, small), cohort_map, map_small
+            ),
+        )
+
+    def dif() -> DataFrame:
+        return shared(
+            "dif",
+            lambda: D.source_concept_diff(
+                D.source_concepts(old_vc(), old, PAIR_SET_KEYS),
+                D.source_concepts(new_vc(), new, PAIR_SET_KEYS),
+                PAIR_SET_KEYS,
+            ),
+        )
+
+    def mapping_diff() -> DataFrame:
+        old_agg = M.aggregate_mapping(
+            M.mapping_old(dif(), old, new, counts, PAIR_SET_KEYS, vocabs), M.old_aggregate_keys(PAIR_SET_KEYS), "old"
+        )
+        new_agg = M.aggregate_mapping(M.mapping_new(dif(), new), M.new_aggregate_keys(PAIR_SET_KEYS), "new")
+        mapdif = M.mapping_diff(old_agg, new_agg, PAIR_SET_KEYS, changed_only, sort=False)
+        return with_pair_columns(mapdif, cohort_map, map_small).orderBy(F.col("record_count").desc())
+
+    def domain_change() -> DataFrame:
+        domain = DOM.domain_change(
+            DOM.common_concepts(old_vc(), new_vc()), old, new, counts, PAIR_SET_KEYS, vocabs, sort=False
+        )
+        return with_pair_columns(domain, cohort_map, map_small).orderBy(F.col("source_concept_record_count").desc())
+
+    builders = {
+        "nonstandard_nodes": lambda: N.nonstandard_nodes(items_new, new, counts, SET_KEYS, small),
+        "mapping_diff": mapping_diff,
+        "domain_change": domain_change,
     }
-    return ReportSet(reports, held)
+    return ReportSet(builders, held)
 
 
 def with_pair_columns(df: DataFrame, cohort_map: DataFrame, small: bool | None = None) -> DataFrame:

@@ -19,7 +19,16 @@ from functools import cached_property
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..model import MAPPED_FROM, MAPS_TO, MAPS_TO_VALUE, Vocabulary
+from ..model import (
+    ANCESTOR_SCHEMA,
+    CONCEPT_SCHEMA,
+    COUNT_SCHEMA,
+    MAPPED_FROM,
+    MAPS_TO,
+    MAPS_TO_VALUE,
+    RELATIONSHIP_SCHEMA,
+    Vocabulary,
+)
 
 # Fixed fixture parameters (FIXTURES.md §3).
 EXCLUDED_NODES = (12, 13)
@@ -355,6 +364,26 @@ INPUT_TABLES = (
 )
 
 
+_ITEMS_DDL = (
+    "conceptid bigint, isexcluded int, includedescendants int, conceptsetid bigint, "
+    "conceptsetname string, cohortid bigint, cohortname string"
+)
+INPUT_SCHEMAS = {
+    "concept_old": CONCEPT_SCHEMA,
+    "concept_new": CONCEPT_SCHEMA,
+    "ancestor_old": ANCESTOR_SCHEMA,
+    "ancestor_new": ANCESTOR_SCHEMA,
+    "relationship_old": RELATIONSHIP_SCHEMA,
+    "relationship_new": RELATIONSHIP_SCHEMA,
+    "items": _ITEMS_DDL,
+    "items_updated": _ITEMS_DDL,
+    "cohort_map": "old_cohort_id bigint, new_cohort_id bigint, old_cohort_vocab_version string",
+    "cohort_names": "cohortid bigint, cohortname string",
+    "concept_count": COUNT_SCHEMA,
+    **{name: f"person_id bigint, {column} bigint" for name, column in EVENT_TABLES},
+}
+
+
 def write_inputs(fx: Fixtures, path: str) -> str:
     """Write the fixture inputs as Parquet tables under ``path`` (one folder each).
 
@@ -379,7 +408,8 @@ class TableInputs:
     def _t(self, name: str) -> DataFrame:
         cache = self.__dict__.setdefault("_tables", {})
         if name not in cache:
-            cache[name] = self.spark.read.parquet(f"{self.path}/{name}")
+            # Declared schemas: no footer-inference job per table.
+            cache[name] = self.spark.read.schema(INPUT_SCHEMAS[name]).parquet(f"{self.path}/{name}")
         return cache[name]
 
     def __getattr__(self, name: str):
@@ -405,7 +435,7 @@ def _has_marker(spark: SparkSession, path: str) -> bool:
     from pyspark.errors import AnalysisException
 
     try:
-        spark.read.parquet(f"{path}/{INPUT_MARKER}").schema
+        spark.read.schema("v int").parquet(f"{path}/{INPUT_MARKER}")
         return True
     except AnalysisException:
         return False
