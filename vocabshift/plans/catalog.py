@@ -23,6 +23,8 @@ from ..operators import resolve as R
 from ..operators import stats as S
 from ..sources import items as I
 from ..sources.fixtures import EXCLUDED_NODES, INCLUDED_SOURCE_VOCABS, inputs_for
+from ..sinks.reports import read_report, write_reports
+from ..sources.tables import read_cohort_map
 from .broadcast import fits
 from .report import cohort_pair_report, vocabulary_change_report
 
@@ -289,6 +291,27 @@ def q_library_items(spark, sf_dir):
     return I.library_items(library, log)
 
 
+def _scratch(spark: SparkSession, name: str) -> str:
+    import uuid
+
+    from ..session import checkpoint_dir
+
+    return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def q_report_roundtrip(spark, sf_dir):
+    """Write the mapping report with the report sink and read it back."""
+    paths = write_reports({"mapping_diff": q_mapping_diff(spark, sf_dir)}, _scratch(spark, "reports"))
+    return read_report(spark, paths["mapping_diff"])
+
+
+def q_cohort_map_csv(spark, sf_dir):
+    """Write the pair table as CSV and read it back for one vocabulary version."""
+    path = _scratch(spark, "cohort-map")
+    inputs_for(spark, sf_dir).cohort_map.write.option("header", True).csv(path)
+    return read_cohort_map(spark, path, version="v0")
+
+
 QUERIES: dict[str, Query] = {
     "fx_concept_set_items": q_items,
     "fx_concept_count": q_concept_count,
@@ -328,4 +351,6 @@ QUERIES: dict[str, Query] = {
     "pair_domain_change": q_pair_domain_change,
     "concept_set_items_json": q_items_json,
     "library_items_with_names": q_library_items,
+    "report_roundtrip": q_report_roundtrip,
+    "cohort_map_csv": q_cohort_map_csv,
 }
