@@ -54,3 +54,15 @@ def test_identical_versions_change_nothing(fx):
     assert rep["mapping_diff"].count() == 0
     assert rep["domain_change"].count() == 0
     assert rep["nonstandard_nodes"].count() > 0
+
+
+@pytest.mark.parametrize("mode", ["checkpoint", "none"])
+def test_materialize_modes_give_same_reports(fx, mode):
+    args = (fx.items, fx.old, fx.new, fx.concept_count)
+    kw = dict(events=fx.event_tables, excluded_nodes=EXCLUDED_NODES, included_source_vocabs=INCLUDED_SOURCE_VOCABS)
+    base = vocabulary_change_report(*args, **kw)
+    other = vocabulary_change_report(*args, materialize=mode, **kw)
+    for name in ("mapping_diff", "cohort_stats"):
+        assert rows(base[name]) == rows(other[name])
+    base.close()
+    assert base.held == []

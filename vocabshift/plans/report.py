@@ -4,8 +4,10 @@ Both are one lazy DAG of DataFrames; nothing is collected.  The resolved
 concept sets, the source-code difference and the per-cohort concept diff
 feed several branches (the old and the new side of the mapping report, the
 size check and the event join of the stats), so by default they are
-persisted (MEMORY_AND_DISK) and computed once; blocks lost with an executor
-are recomputed from lineage.  ``close()`` releases them.
+materialised once: ``materialize="persist"`` (default, MEMORY_AND_DISK, lost
+blocks recomputed from lineage), ``"checkpoint"`` (written to the shared
+``spark.checkpoint.dir`` folder, lineage cut) or ``"none"``.  ``close()``
+releases persisted blocks.
 """
 
 from __future__ import annotations
@@ -23,6 +25,7 @@ from ..operators import mapping as M
 from ..operators import nodes as N
 from ..operators import resolve as R
 from ..operators import stats as S
+from ..session import checkpoint_dir
 from .broadcast import fits
 
 
@@ -52,10 +55,26 @@ class ReportSet(Mapping):
         self.held.clear()
 
 
-def _keep(df: DataFrame, held: list[DataFrame], persist: bool) -> DataFrame:
-    if persist:
+MATERIALIZE = ("persist", "checkpoint", "none")
+
+
+def _keep(df: DataFrame, held: list[DataFrame], materialize: str | bool) -> DataFrame:
+    """Materialise a shared intermediate.
+
+    ``persist``: MEMORY_AND_DISK, recomputed from lineage if blocks are
+    lost.  ``checkpoint``: written to the shared folder named by
+    ``spark.checkpoint.dir`` and the lineage cut, so a lost executor costs
+    no recomputation.  ``none``: recompute in every branch.
+    """
+    mode = {True: "persist", False: "none"}.get(materialize, materialize)
+    if mode not in MATERIALIZE:
+        raise ValueError(f"materialize must be one of {MATERIALIZE}")
+    if mode == "persist":
         df = df.persist(StorageLevel.MEMORY_AND_DISK)
         held.append(df)
+    elif mode == "checkpoint":
+        checkpoint_dir(df.sparkSession)
+        df = df.checkpoint(eager=True)
     return df
 
 
@@ -70,7 +89,7 @@ def vocabulary_change_report(
     included_source_vocabs: Iterable[str] | None = None,
     changed_only: bool = False,
     stats_valid_edges_only: bool = False,
-    persist: bool = True,
+    materialize: str = "persist",
 ) -> ReportSet:
     """``nonstandard_nodes``, ``mapping_diff``, ``domain_change`` and (with events) ``cohort_stats``.
 
@@ -87,7 +106,7 @@ def vocabulary_change_report(
 
     def shared(name: str, build: Callable[[], DataFrame]) -> DataFrame:
         if name not in state:
-            state[name] = _keep(build(), held, persist)
+            state[name] = _keep(build(), held, materialize)
         return state[name]
 
     def old_vc() -> DataFrame:
@@ -141,7 +160,7 @@ def cohort_pair_report(
     excluded_nodes: Iterable[int] | None = (),
     included_source_vocabs: Iterable[str] | None = None,
     changed_only: bool = True,
-    persist: bool = True,
+    materialize: str = "persist",
 ) -> ReportSet:
     """Old cohorts on the old vocabulary vs their updated versions on the new one.
 
@@ -161,7 +180,7 @@ def cohort_pair_report(
 
     def shared(name: str, build: Callable[[], DataFrame]) -> DataFrame:
         if name not in state:
-            state[name] = _keep(build(), held, persist)
+            state[name] = _keep(build(), held, materialize)
         return state[name]
 
     def old_vc() -> DataFrame:
