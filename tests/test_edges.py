@@ -162,5 +162,6 @@ def test_person_flags_dedup_path_equals_broadcast_path(spark):
     events = df(spark, [(1, 100), (1, 100), (1, 101), (2, 100), (None, 101)], "person_id bigint, source_concept_id bigint")
     a = rows(S.person_flags(events, diff, small=True))
     b = rows(S.person_flags(events, diff, small=False))
-    assert a == b
+    c = rows(S.person_flags(events, diff, small=False, salt_buckets=3))
+    assert a == b == c
     assert (7, 1, 1, 1, 0) in a

@@ -66,3 +66,15 @@ def test_materialize_modes_give_same_reports(fx, mode):
         assert rows(base[name]) == rows(other[name])
     base.close()
     assert base.held == []
+
+
+def test_salted_event_join_equals_broadcast_join(fx):
+    from vocabshift.operators import stats as S
+
+    old_vc = R.resolve_concepts(fx.items, fx.old, EXCLUDED_NODES)
+    new_vc = R.resolve_concepts(fx.items, fx.new, EXCLUDED_NODES)
+    diff = S.concept_diff(S.concept_pool(old_vc, new_vc, fx.old, fx.new, INCLUDED_SOURCE_VOCABS))
+    events = S.union_events(fx.event_tables)
+    assert rows(S.person_flags(events, diff, small=True)) == rows(
+        S.person_flags(events, diff, small=False, salt_buckets=7)
+    )

@@ -16,8 +16,8 @@ events are never shuffled by concept id (a hot code cannot skew a task)
 and the per-(cohort, person) flags are partially aggregated map-side
 before the only shuffle.  Beyond the bound the events are first reduced to
 distinct ``(person, code)`` pairs (map-side partial aggregation collapses
-hot pairs) and the join is left to the planner, where AQE splits skewed
-partitions.
+hot pairs) and joined on ``(code, salt)`` with a salted copy of the diff,
+so a code holding a third of all events is spread over many tasks.
 """
 
 from __future__ import annotations
@@ -116,21 +116,50 @@ def matched_events(events: DataFrame, diff: DataFrame, small: bool | None = None
     )
 
 
-def person_flags(events: DataFrame, diff: DataFrame, small: bool | None = None) -> DataFrame:
+SALT_CONF = "vocabshift.stats.saltBuckets"
+DEFAULT_SALT_BUCKETS = 32
+
+
+def salted_match(pairs: DataFrame, diff: DataFrame, buckets: int) -> DataFrame:
+    """Join ``(person_id, source_concept_id)`` pairs with a large diff, hot codes spread.
+
+    Each pair gets a salt from its person id; every diff row is repeated
+    once per salt value (``explode(sequence)``), and the join key is
+    ``(code, salt)``.  A code carrying a third of all pairs is then split
+    over ``buckets`` tasks, and every pair still meets exactly the diff rows
+    of its code once.
+    """
+    p = pairs.withColumn("_salt", F.pmod(F.xxhash64("person_id"), F.lit(buckets)))
+    d = diff.select(
+        "cohort_definition_id",
+        F.col("concept_id").alias("_code"),
+        "concept_type",
+        F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(buckets - 1).cast("bigint"))).alias("_dsalt"),
+    )
+    return p.join(d, (F.col("source_concept_id") == F.col("_code")) & (F.col("_salt") == F.col("_dsalt"))).select(
+        "cohort_definition_id", "person_id", "concept_type"
+    )
+
+
+def person_flags(
+    events: DataFrame, diff: DataFrame, small: bool | None = None, salt_buckets: int | None = None
+) -> DataFrame:
     """Per (cohort, person): ``has_same``, ``has_new``, ``has_old`` (INT 0/1)."""
     small = fits(diff) if small is None else small
-    if not small:
-        # Only the presence of a (person, code) pair matters for MAX flags.
-        events = events.select("person_id", "source_concept_id").distinct()
+    if small:
+        matched = matched_events(events, diff, small=True)
+    else:
+        # Only the presence of a (person, code) pair matters for MAX flags; the
+        # distinct is partially aggregated map-side, which collapses hot pairs.
+        pairs = events.select("person_id", "source_concept_id").distinct()
+        conf = events.sparkSession.conf.get(SALT_CONF, None)
+        buckets = salt_buckets or (int(conf) if conf else DEFAULT_SALT_BUCKETS)
+        matched = salted_match(pairs, diff, buckets)
     t = F.col("concept_type")
-    return (
-        matched_events(events, diff, small)
-        .groupBy("cohort_definition_id", "person_id")
-        .agg(
-            F.max(flag(t == SAME)).alias("has_same"),
-            F.max(flag(t == ADDED)).alias("has_new"),
-            F.max(flag(t == REMOVED)).alias("has_old"),
-        )
+    return matched.groupBy("cohort_definition_id", "person_id").agg(
+        F.max(flag(t == SAME)).alias("has_same"),
+        F.max(flag(t == ADDED)).alias("has_new"),
+        F.max(flag(t == REMOVED)).alias("has_old"),
     )
 
 
