@@ -102,6 +102,14 @@ def _pair_blocks(spark: SparkSession, sf_dir: str):
     return fx, old_vc, new_vc
 
 
+def _scratch(spark: SparkSession, name: str) -> str:
+    import uuid
+
+    from ..session import checkpoint_dir
+
+    return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def q_items(spark, sf_dir):
     return inputs_for(spark, sf_dir).items
 
@@ -280,6 +288,13 @@ def q_items_json(spark, sf_dir):
     return I.concept_set_items(docs).select(*ITEM_COLUMNS)
 
 
+def q_items_json_files(spark, sf_dir):
+    """Definition documents written as JSON-lines files, read back with the declared schema."""
+    path = _scratch(spark, "definitions")
+    I.to_cohort_definitions(inputs_for(spark, sf_dir).items).write.text(path)
+    return I.concept_set_items(I.read_cohort_definitions(spark, path, multi_line=False)).select(*ITEM_COLUMNS)
+
+
 def q_library_items(spark, sf_dir):
     fx = inputs_for(spark, sf_dir)
     library = I.to_library_concept_sets(fx.items)
@@ -291,14 +306,6 @@ def q_library_items(spark, sf_dir):
     return I.library_items(library, log)
 
 
-def _scratch(spark: SparkSession, name: str) -> str:
-    import uuid
-
-    from ..session import checkpoint_dir
-
-    return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def q_report_roundtrip(spark, sf_dir):
     """Write the mapping report with the report sink and read it back."""
     paths = write_reports({"mapping_diff": q_mapping_diff(spark, sf_dir)}, _scratch(spark, "reports"))
@@ -350,6 +357,7 @@ QUERIES: dict[str, Query] = {
     "pair_mapping_diff": q_pair_mapping_diff,
     "pair_domain_change": q_pair_domain_change,
     "concept_set_items_json": q_items_json,
+    "concept_set_items_json_files": q_items_json_files,
     "library_items_with_names": q_library_items,
     "report_roundtrip": q_report_roundtrip,
     "cohort_map_csv": q_cohort_map_csv,

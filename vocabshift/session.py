@@ -20,6 +20,24 @@ ANALYSIS_CONF = {
 }
 
 
+# Suggested settings for a large cluster reading ~100 TB of events (pass as **conf or put in the
+# cluster configuration).  Input splits and post-shuffle partitions of ~256 MB keep every task's
+# hash tables and sort buffers within executor memory; a high initial shuffle-partition count is
+# coalesced by AQE to the advisory size; skewed join partitions above 512 MB (and 5x the median)
+# are split.  The vocabulary-side broadcasts are size-checked in code (plans/broadcast.py), the
+# automatic threshold only covers sides that Spark measures itself.
+CLUSTER_CONF = {
+    "spark.sql.files.maxPartitionBytes": str(256 * 1024 * 1024),
+    "spark.sql.shuffle.partitions": "8000",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(256 * 1024 * 1024),
+    "spark.sql.adaptive.coalescePartitions.minPartitionSize": str(64 * 1024 * 1024),
+    "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "5",
+    "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(512 * 1024 * 1024),
+    "spark.sql.autoBroadcastJoinThreshold": str(64 * 1024 * 1024),
+    "spark.sql.adaptive.autoBroadcastJoinThreshold": str(64 * 1024 * 1024),
+}
+
+
 def build_session(master: str | None = None, shuffle_partitions: int | None = None, **conf) -> SparkSession:
     """Get or create a session with the analysis settings applied."""
     builder = SparkSession.builder.appName("vocabshift")
