@@ -53,8 +53,10 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    On a cluster this setting names shared storage and is used as is.  Only
-    where it is unset (local runs, tests) a local folder is created.
+    On a cluster this setting names shared storage and is used as is; a
+    cluster without it is an error (a machine-local folder would not be seen
+    by the other executors).  Only local-mode sessions (tests) with the
+    setting unset get a fresh local folder.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -62,6 +64,11 @@ def checkpoint_dir(spark: SparkSession) -> str:
         return current
     configured = sc.getConf().get("spark.checkpoint.dir", None)
     if not configured:
+        if not sc.master.startswith("local"):
+            raise RuntimeError(
+                "spark.checkpoint.dir is unset: name a shared folder (reachable from every executor) "
+                "in the cluster configuration"
+            )
         configured = tempfile.mkdtemp(prefix="vocabshift-ckpt-")
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured
