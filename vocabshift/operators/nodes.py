@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..model import MAPS_TO, MAPS_TO_VALUE, SET_KEYS, Vocabulary
-from ..plans.broadcast import fits
+from ..plans.broadcast import broadcast_if, fits
 
 NODE_COLUMNS = (
     "node_concept_id",
@@ -36,10 +36,6 @@ NODE_COLUMNS = (
 )
 
 
-def _hint(df: DataFrame, small: bool) -> DataFrame:
-    return F.broadcast(df) if small else df
-
-
 def node_targets(vocab: Vocabulary, node_ids: DataFrame, small: bool) -> DataFrame:
     """Valid ``Maps to`` / ``Maps to value`` edges of the nodes with target names.
 
@@ -54,12 +50,12 @@ def node_targets(vocab: Vocabulary, node_ids: DataFrame, small: bool) -> DataFra
             F.col("relationship_id").isin(MAPS_TO, MAPS_TO_VALUE) & F.col("invalid_reason").isNull()
         )
         .select("concept_id_1", "concept_id_2", "relationship_id")
-        .join(_hint(node_ids, small), F.col("concept_id_1") == F.col("_nid"), "left_semi")
+        .join(broadcast_if(node_ids, small), F.col("concept_id_1") == F.col("_nid"), "left_semi")
     )
     target_ids = edges.select(F.col("concept_id_2").alias("_tid")).distinct()
     names = vocab.concept.select(F.col("concept_id").alias("_target_id"), F.col("concept_name").alias("_target_name"))
     names = names.join(
-        _hint(target_ids, small and fits(target_ids)), F.col("_target_id") == F.col("_tid"), "left_semi"
+        broadcast_if(target_ids, small and fits(target_ids)), F.col("_target_id") == F.col("_tid"), "left_semi"
     )
     return edges.join(names, F.col("concept_id_2") == F.col("_target_id"), "left").select(
         F.col("concept_id_1").alias("_node"), "relationship_id", "_target_id", "_target_name"
@@ -80,11 +76,11 @@ def nonstandard_nodes(
     cn = new.concept.where(F.col("standard_concept").isNull()).select(
         F.col("concept_id").alias("node_concept_id"), F.col("concept_name").alias("node_concept_name")
     )
-    nodes = cn.join(_hint(it, small), F.col("node_concept_id") == F.col("conceptid")).drop("conceptid")
+    nodes = cn.join(broadcast_if(it, small), F.col("node_concept_id") == F.col("conceptid")).drop("conceptid")
     node_ids = nodes.select(F.col("node_concept_id").alias("_nid")).distinct()
 
     drc = counts.select(F.col("concept_id").alias("_cnt_node"), "descendant_record_count").join(
-        _hint(node_ids, small), F.col("_cnt_node") == F.col("_nid"), "left_semi"
+        broadcast_if(node_ids, small), F.col("_cnt_node") == F.col("_nid"), "left_semi"
     )
     targets = node_targets(new, node_ids, small)
 

@@ -28,18 +28,14 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import flag, not_in
 from ..model import SET_KEYS, Vocabulary
-from ..plans.broadcast import fits
-
-
-def _hint(df: DataFrame, small: bool) -> DataFrame:
-    return F.broadcast(df) if small else df
+from ..plans.broadcast import broadcast_if, fits
 
 
 def existing_items(items: DataFrame, vocab: Vocabulary, small: bool | None = None) -> DataFrame:
     """Items whose node exists in ``vocab.concept`` (inner join on the id)."""
     small = fits(items) if small is None else small
     ids = vocab.concept.select(F.col("concept_id").alias("_node_id"))
-    return ids.join(_hint(items, small), F.col("_node_id") == F.col("conceptid")).drop("_node_id")
+    return ids.join(broadcast_if(items, small), F.col("_node_id") == F.col("conceptid")).drop("_node_id")
 
 
 def expand_items(
@@ -63,7 +59,7 @@ def expand_items(
     a, d = F.col("ancestor_concept_id"), F.col("descendant_concept_id")
     desc = F.col("includedescendants")
     cond = (a == conceptid) & (((desc == 0) & (a == d)) | (desc != 0))
-    return anc.join(_hint(nodes, small), cond).select(*keys, "descendant_concept_id", "_inc", "_exc")
+    return anc.join(broadcast_if(nodes, small), cond).select(*keys, "descendant_concept_id", "_inc", "_exc")
 
 
 def resolve_concepts(
@@ -123,6 +119,6 @@ def translate_cohort_ids(df: DataFrame, cohort_map: DataFrame, small: bool | Non
     small = fits(m) if small is None else small
     cols = [c for c in df.columns if c != "cohortid"]
     return (
-        df.join(_hint(m, small), F.col("cohortid") == F.col("new_cohort_id"))
+        df.join(broadcast_if(m, small), F.col("cohortid") == F.col("new_cohort_id"))
         .select(F.col("old_cohort_id").alias("cohortid"), *cols)
     )

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import count_if, flag, is_in, safe_ratio
 from ..model import MAPPED_FROM, Vocabulary
-from ..plans.broadcast import fits
+from ..plans.broadcast import broadcast_if, fits
 
 SAME, REMOVED, ADDED = "same", "removed", "added"
 
@@ -110,7 +110,7 @@ def union_events(tables: Mapping[str, DataFrame], columns: Mapping[str, str] = E
 def matched_events(events: DataFrame, diff: DataFrame, small: bool | None = None) -> DataFrame:
     """``(cohort_definition_id, person_id, concept_type)``, one row per event and matching cohort."""
     small = fits(diff) if small is None else small
-    d = F.broadcast(diff) if small else diff
+    d = broadcast_if(diff, small)
     return events.join(d, F.col("source_concept_id") == F.col("concept_id")).select(
         "cohort_definition_id", "person_id", "concept_type"
     )

@@ -35,3 +35,8 @@ def fits(df: DataFrame, max_rows: int | None = None) -> bool:
 def broadcast_if_small(df: DataFrame, max_rows: int | None = None) -> DataFrame:
     """``broadcast(df)`` when its size is within the bound, else ``df`` unchanged."""
     return F.broadcast(df) if fits(df, max_rows) else df
+
+
+def broadcast_if(df: DataFrame, checked_small: bool) -> DataFrame:
+    """``broadcast(df)`` when the caller has checked its size (see :func:`fits`)."""
+    return F.broadcast(df) if checked_small else df

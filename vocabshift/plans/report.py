@@ -26,7 +26,7 @@ from ..operators import nodes as N
 from ..operators import resolve as R
 from ..operators import stats as S
 from ..session import checkpoint_dir
-from .broadcast import fits
+from .broadcast import broadcast_if, fits
 
 
 class ReportSet(Mapping):
@@ -229,6 +229,6 @@ def cohort_pair_report(
 def with_pair_columns(df: DataFrame, cohort_map: DataFrame, small: bool | None = None) -> DataFrame:
     """Append the pair table's columns (inner join ``cohortid = old_cohort_id``)."""
     small = fits(cohort_map) if small is None else small
-    m = F.broadcast(cohort_map) if small else cohort_map
+    m = broadcast_if(cohort_map, small)
     extra = [c for c in cohort_map.columns if c != "old_cohort_id"]
     return df.join(m, F.col("cohortid") == F.col("old_cohort_id")).select(*df.columns, *extra)
