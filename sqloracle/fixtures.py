@@ -92,7 +92,7 @@ SELECT c AS conceptid, CASE WHEN c % 5 = 0 THEN 1 ELSE 0 END AS isexcluded,
   CAST(floor(c / 8) AS BIGINT) % 2 AS conceptsetid,
   concat('set ', CAST(CAST(floor(c / 8) AS BIGINT) % 2 AS VARCHAR)) AS conceptsetname,
   1 + c % 8 AS cohortid, concat('cohort ', CAST(1 + c % 8 AS VARCHAR)) AS cohortname
-FROM fx_c WHERE c >= 10 AND c <= 400""",
+FROM fx_c""",
     ),
     (
         "fx_items_updated",
@@ -109,7 +109,7 @@ SELECT CASE WHEN conceptid % 19 = 0 THEN CAST(floor(conceptid / 4) AS BIGINT) EL
         "fx_event",
         """
 SELECT o_custkey AS person_id, l_partkey + 1 + 1000000 * (1 + l_linenumber % 2) AS source_concept_id, (l_partkey + 1) % 6 AS tbl
-FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_orderkey % 16 = 0""",
+FROM lineitem JOIN orders ON l_orderkey = o_orderkey""",
     ),
     (
         "fx_record_count",

@@ -263,7 +263,7 @@ class Fixtures:
         c = F.col("c")
         set_id = _div(c, 8) % 2
         cohort = F.lit(1) + c % 8
-        return self.c.where((c >= 10) & (c <= 400)).select(
+        return self.c.select(
             c.alias("conceptid"),
             F.when(c % 5 == 0, 1).otherwise(0).alias("isexcluded"),
             F.when((c <= 64) | (c % 3 == 0), 1).otherwise(0).alias("includedescendants"),
@@ -305,7 +305,7 @@ class Fixtures:
     @cached_property
     def event(self) -> DataFrame:
         li = self.table("lineitem").select("l_orderkey", "l_partkey", "l_linenumber")
-        od = self.table("orders").select("o_orderkey", "o_custkey").where(F.col("o_orderkey") % 16 == 0)
+        od = self.table("orders").select("o_orderkey", "o_custkey")
         part = F.col("l_partkey") + 1
         return li.join(od, F.col("l_orderkey") == F.col("o_orderkey")).select(
             F.col("o_custkey").alias("person_id"),
