@@ -78,3 +78,21 @@ def test_salted_event_join_equals_broadcast_join(fx):
     assert rows(S.person_flags(events, diff, small=True)) == rows(
         S.person_flags(events, diff, small=False, salt_buckets=7)
     )
+
+
+@pytest.mark.parametrize("changed_only", [False, True])
+def test_one_pass_mapping_diff_equals_two_sided_join(fx, changed_only):
+    from vocabshift.operators import mapping as M
+
+    old_sc = D.source_concepts(R.resolve_concepts(fx.items, fx.old, EXCLUDED_NODES), fx.old)
+    new_sc = D.source_concepts(R.resolve_concepts(fx.items, fx.new, EXCLUDED_NODES), fx.new)
+    dif = D.source_concept_diff(old_sc, new_sc)
+    mapped_old = M.mapping_old(dif, fx.old, fx.new, fx.concept_count, included_source_vocabs=INCLUDED_SOURCE_VOCABS)
+    old_agg = M.aggregate_mapping(mapped_old, M.old_aggregate_keys(), "old")
+    new_agg = M.aggregate_mapping(M.mapping_new(dif, fx.new), M.new_aggregate_keys(), "new")
+    two = M.mapping_diff(old_agg, new_agg, changed_only=changed_only)
+    one = M.mapping_diff_one_pass(
+        dif, fx.old, fx.new, fx.concept_count, included_source_vocabs=INCLUDED_SOURCE_VOCABS, changed_only=changed_only
+    )
+    assert one.columns == two.columns
+    assert rows(one) == rows(two)

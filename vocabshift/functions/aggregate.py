@@ -22,16 +22,21 @@ from pyspark.sql import functions as F
 NA = "NA"
 
 
-def sorted_struct_list(order_by: str, values: Sequence[str]) -> Column:
+def sorted_struct_list(order_by: str, values: Sequence[str], where: Column | None = None) -> Column:
     """Array of ``struct(is_null, order_by, *values)`` sorted NULLs last.
 
     ``array_sort`` orders structs field by field with NULL fields first,
     so a leading ``isNull`` flag moves missing ids to the end.  The value
     fields act as tie-breakers, which keeps the result deterministic.
+    With ``where``, only rows meeting it are collected (``collect_list``
+    skips the NULL structs of the others).
     """
     fields = [F.col(order_by).isNull().alias("_null"), F.col(order_by).alias(order_by)]
     fields += [F.col(v).alias(v) for v in values if v != order_by]
-    return F.array_sort(F.collect_list(F.struct(*fields)))
+    item = F.struct(*fields)
+    if where is not None:
+        item = F.when(where, item)
+    return F.array_sort(F.collect_list(item))
 
 
 def join_field(sorted_list: Column, field: str, sep: str = "-") -> Column:
@@ -42,12 +47,13 @@ def join_field(sorted_list: Column, field: str, sep: str = "-") -> Column:
 
 
 def ordered_join_columns(
-    order_by: str, values: Sequence[str], prefix: str, sep: str = "-"
+    order_by: str, values: Sequence[str], prefix: str, sep: str = "-", where: Column | None = None
 ) -> list[Column]:
     """Aggregate expressions ``<prefix>_<value>`` for each value column.
 
     To be used inside ``groupBy(...).agg(*cols)``.  The sort happens once
     per group; each output column is a projection of the same sorted array.
+    ``where`` restricts the rows that contribute.
     """
-    sorted_list = sorted_struct_list(order_by, values)
+    sorted_list = sorted_struct_list(order_by, values, where)
     return [join_field(sorted_list, v, sep).alias(f"{prefix}{v}") for v in values]

@@ -42,15 +42,14 @@ def with_targets(df: DataFrame, vocab: Vocabulary, valid_only: bool = True) -> D
     )
 
 
-def mapping_old(
+def source_details(
     dif: DataFrame,
-    old: Vocabulary,
     new: Vocabulary,
     counts: DataFrame,
     keys: Sequence[str] = SET_KEYS,
     included_source_vocabs: Iterable[str] | None = None,
 ) -> DataFrame:
-    """Differing codes with source details, record count and old targets."""
+    """Differing codes with their details from the new concept table and their record count."""
     cs = new.concept.where(is_in(F.col("vocabulary_id"), included_source_vocabs)).select(
         F.col("concept_id").alias("_cs_id"),
         F.col("concept_name").alias("source_concept_name"),
@@ -58,12 +57,23 @@ def mapping_old(
         F.col("concept_code").alias("source_concept_code"),
     )
     cnt = counts.select(F.col("concept_id").alias("_cnt_id"), "record_count")
-    base = (
+    return (
         dif.join(cs, F.col("source_concept_id") == F.col("_cs_id"))
         .join(cnt, F.col("_cs_id") == F.col("_cnt_id"))
         .select(*keys, "action", "record_count", "source_concept_id", *SOURCE_DETAIL_COLUMNS)
     )
-    return with_targets(base, old)
+
+
+def mapping_old(
+    dif: DataFrame,
+    old: Vocabulary,
+    new: Vocabulary,
+    counts: DataFrame,
+    keys: Sequence[str] = SET_KEYS,
+    included_source_vocabs: Iterable[str] | None = None,
+) -> DataFrame:
+    """Differing codes with source details, record count and old targets."""
+    return with_targets(source_details(dif, new, counts, keys, included_source_vocabs), old)
 
 
 def mapping_new(dif: DataFrame, new: Vocabulary) -> DataFrame:
@@ -112,3 +122,42 @@ def mapping_diff(
             != F.coalesce(F.col("new_mapped_concept_id"), F.lit(""))
         )
     return out.orderBy(F.col("record_count").desc()) if sort else out
+
+
+def mapping_diff_one_pass(
+    dif: DataFrame,
+    old: Vocabulary,
+    new: Vocabulary,
+    counts: DataFrame,
+    keys: Sequence[str] = SET_KEYS,
+    included_source_vocabs: Iterable[str] | None = None,
+    changed_only: bool = False,
+    sort: bool = True,
+) -> DataFrame:
+    """Same rows as ``mapping_diff(aggregate(mapping_old), aggregate(mapping_new))``, one aggregation.
+
+    Old-target rows (one per source-detail row and old target) and
+    new-target rows (one per distinct key row and new target) are tagged
+    and grouped once on the report keys; each side's lists are built from
+    its own rows.  The new side starts from the distinct keys, so duplicate
+    count or concept rows repeat old targets exactly as the two-sided form
+    does, and new targets never.  This saves the two aggregated sides'
+    shuffle for the NULL-safe join.
+    """
+    group = old_aggregate_keys(keys)
+    base = source_details(dif, new, counts, keys, included_source_vocabs)
+    old_rows = with_targets(base, old).withColumn("_side", F.lit("old"))
+    new_rows = with_targets(base.select(*group).distinct(), new).withColumn("_side", F.lit("new"))
+    rows = old_rows.select(*group, *TARGET_COLUMNS, "_side").unionByName(
+        new_rows.select(*group, *TARGET_COLUMNS, "_side")
+    )
+    out = rows.groupBy(*group).agg(
+        *ordered_join_columns("concept_id", TARGET_COLUMNS, "old_mapped_", where=F.col("_side") == "old"),
+        *ordered_join_columns("concept_id", TARGET_COLUMNS, "new_mapped_", where=F.col("_side") == "new"),
+    )
+    if changed_only:
+        out = out.where(
+            F.coalesce(F.col("old_mapped_concept_id"), F.lit(""))
+            != F.coalesce(F.col("new_mapped_concept_id"), F.lit(""))
+        )
+    return out.orderBy(F.col("record_count").desc()) if sort else out

@@ -122,11 +122,7 @@ def vocabulary_change_report(
         )
 
     def mapping_diff() -> DataFrame:
-        old_agg = M.aggregate_mapping(
-            M.mapping_old(dif(), old, new, counts, SET_KEYS, vocabs), M.old_aggregate_keys(), "old"
-        )
-        new_agg = M.aggregate_mapping(M.mapping_new(dif(), new), M.new_aggregate_keys(), "new")
-        return M.mapping_diff(old_agg, new_agg, SET_KEYS, changed_only)
+        return M.mapping_diff_one_pass(dif(), old, new, counts, SET_KEYS, vocabs, changed_only)
 
     def cohort_stats() -> DataFrame:
         ev = events if isinstance(events, DataFrame) else S.union_events(events)
@@ -205,11 +201,7 @@ def cohort_pair_report(
         )
 
     def mapping_diff() -> DataFrame:
-        old_agg = M.aggregate_mapping(
-            M.mapping_old(dif(), old, new, counts, PAIR_SET_KEYS, vocabs), M.old_aggregate_keys(PAIR_SET_KEYS), "old"
-        )
-        new_agg = M.aggregate_mapping(M.mapping_new(dif(), new), M.new_aggregate_keys(PAIR_SET_KEYS), "new")
-        mapdif = M.mapping_diff(old_agg, new_agg, PAIR_SET_KEYS, changed_only, sort=False)
+        mapdif = M.mapping_diff_one_pass(dif(), old, new, counts, PAIR_SET_KEYS, vocabs, changed_only, sort=False)
         return with_pair_columns(mapdif, cohort_map, map_small).orderBy(F.col("record_count").desc())
 
     def domain_change() -> DataFrame:
