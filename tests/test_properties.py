@@ -96,3 +96,16 @@ def test_one_pass_mapping_diff_equals_two_sided_join(fx, changed_only):
     )
     assert one.columns == two.columns
     assert rows(one) == rows(two)
+
+
+def test_summary_from_flags_equals_histogram_form(spark):
+    from helpers import df
+
+    from vocabshift.operators import stats as S
+
+    flags = df(
+        spark,
+        [(7, 1, 1, 0, 0), (7, 2, 0, 1, 1), (7, 3, 0, 1, 0), (7, None, 1, 1, 1), (8, 4, 0, 0, 1), (8, 5, 1, 1, 0)],
+        "cohort_definition_id bigint, person_id bigint, has_same int, has_new int, has_old int",
+    )
+    assert rows(S.person_change_summary_from_flags(flags)) == rows(S.person_change_summary(S.flag_histogram(flags)))

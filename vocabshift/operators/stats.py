@@ -190,6 +190,30 @@ def person_change_summary(histogram: DataFrame) -> DataFrame:
     )
 
 
+def person_change_summary_from_flags(flags: DataFrame) -> DataFrame:
+    """:func:`person_change_summary` without the histogram stage (one aggregation).
+
+    Summing histogram counts per flag condition equals counting the
+    non-NULL persons that meet the condition.
+    """
+    s, n, o = F.col("has_same"), F.col("has_new"), F.col("has_old")
+    person = F.col("person_id").isNotNull()
+
+    def persons_if(cond):
+        return count_if(person & cond)
+
+    same = (s == 1) | ((n == 1) & (o == 1))
+    no_change = (s == 1) & (n == 0) & (o == 0)
+    return flags.groupBy("cohort_definition_id").agg(
+        F.count("person_id").alias("total_persons"),
+        persons_if(same).alias("same_persons"),
+        persons_if(no_change).alias("same_persons_no_change"),
+        (persons_if(same) - persons_if(no_change)).alias("same_persons_potential_index_misclassification"),
+        persons_if((s == 0) & (n == 1) & (o == 0)).alias("new_persons"),
+        persons_if((s == 0) & (n == 0) & (o == 1)).alias("lost_persons"),
+    )
+
+
 STATS_COLUMNS = (
     "cohort_definition_id",
     "cohortname",

@@ -131,7 +131,7 @@ def vocabulary_change_report(
             lambda: S.concept_diff(S.concept_pool(old_vc(), new_vc(), old, new, vocabs, stats_valid_edges_only)),
         )
         flags = S.person_flags(ev, cdiff)
-        summary = S.person_change_summary(S.flag_histogram(flags))
+        summary = S.person_change_summary_from_flags(flags)
         return S.cohort_stats(summary, S.concept_count_change(cdiff), cohort_names)
 
     builders = {
