@@ -72,3 +72,14 @@ def test_write_reports_parquet_and_csv(spark):
     back = read_report(spark, paths["stats"], fmt="csv")
     assert back.columns == ["cohortDefinitionId", "cohortname", "totalPersons"]
     assert back.count() == 2
+
+
+def test_documents_are_cut_into_bounded_parts(spark):
+    items = df(spark, [(i, i % 2, 1, i % 3, f"s{i % 3}", 1 + i % 2, f"c{1 + i % 2}") for i in range(1, 40)], ITEMS)
+    docs = I.to_cohort_definitions(items, ids_per_document=5)
+    assert docs.count() > 2
+    parsed = I.parse_cohort_definitions(docs)
+    assert rows(I.concept_set_items(parsed).drop("createddate")) == rows(items)
+    lib = I.to_library_concept_sets(items, ids_per_document=5)
+    log = spark.createDataFrame([(1, "c1", "d"), (2, "c2", "d")], "cohortId bigint, cohortName string, createdDate string")
+    assert rows(I.library_items(lib, log).drop("createddate")) == rows(items)
