@@ -319,6 +319,22 @@ def q_cohort_map_csv(spark, sf_dir):
     return read_cohort_map(spark, path, version="v0")
 
 
+def q_person_flags_streaming(spark, sf_dir):
+    """Person flags kept by the incremental stream over the event tables written as files."""
+    from ..streaming.person_flags import current_flags, read_event_streams, start_person_flags
+
+    m = _Main(spark, sf_dir)
+    base = _scratch(spark, "stream")
+    paths = {}
+    for name, events in m.fx.event_tables.items():
+        paths[name] = f"{base}/events/{name}"
+        events.write.parquet(paths[name])
+    diff = S.concept_diff(m.pool())
+    query = start_person_flags(read_event_streams(spark, paths), diff, f"{base}/flags", f"{base}/ckpt")
+    query.awaitTermination()
+    return current_flags(spark, f"{base}/flags")
+
+
 QUERIES: dict[str, Query] = {
     "fx_concept_set_items": q_items,
     "fx_concept_count": q_concept_count,
@@ -349,6 +365,7 @@ QUERIES: dict[str, Query] = {
     "concept_count_change": q_concept_count_change,
     "matched_events": q_matched_events,
     "person_flags": q_person_flags,
+    "person_flags_streaming": q_person_flags_streaming,
     "flag_histogram": q_flag_histogram,
     "person_change_summary": q_person_change_summary,
     "cohort_stats": q_cohort_stats,
