@@ -8,9 +8,9 @@ targets.  The two target lists are independent LEFT joins, so a node with
 meaning and is not de-duplicated.
 
 Plan: the items are size-checked and broadcast into one scan of
-``concept``; the node ids found there (bounded by the items) are broadcast
-as semi-join filters into the count and relationship scans, and the
-edges' target ids (count checked) into the concept scan for the names.
+``concept``; their distinct ids (bounded by the items) are broadcast as
+semi-join filters into the count and relationship scans, and the edges'
+target ids (count checked) into the concept scan for the names.
 The large vocabulary tables are filtered map-side and never shuffled;
 everything after the filters is small.
 """
@@ -77,7 +77,10 @@ def nonstandard_nodes(
         F.col("concept_id").alias("node_concept_id"), F.col("concept_name").alias("node_concept_name")
     )
     nodes = cn.join(broadcast_if(it, small), F.col("node_concept_id") == F.col("conceptid")).drop("conceptid")
-    node_ids = nodes.select(F.col("node_concept_id").alias("_nid")).distinct()
+    # The lookups below are filtered by the item ids (a checked-small superset of the
+    # non-standard node ids that needs no concept scan); the final LEFT joins to
+    # ``nodes`` keep exactly the non-standard ones.
+    node_ids = items.select(F.col("conceptid").alias("_nid")).distinct()
 
     drc = counts.select(F.col("concept_id").alias("_cnt_node"), "descendant_record_count").join(
         broadcast_if(node_ids, small), F.col("_cnt_node") == F.col("_nid"), "left_semi"
