@@ -169,7 +169,8 @@ def cohort_pair_report(
     items_new = normalise_items(items_new)
     vocabs = as_list(included_source_vocabs)
     held: list[DataFrame] = []
-    small = fits(items_old) and fits(items_new)
+    # One bounded count over both item tables bounds each of them.
+    small = fits(items_old.select("conceptid").unionByName(items_new.select("conceptid")))
     map_small = fits(cohort_map)
 
     state: dict[str, DataFrame] = {}
