@@ -83,3 +83,20 @@ def test_documents_are_cut_into_bounded_parts(spark):
     lib = I.to_library_concept_sets(items, ids_per_document=5)
     log = spark.createDataFrame([(1, "c1", "d"), (2, "c2", "d")], "cohortId bigint, cohortName string, createdDate string")
     assert rows(I.library_items(lib, log).drop("createddate")) == rows(items)
+
+
+def test_write_a_report_set(spark):
+    from conftest import SMALL_SF
+    from vocabshift import vocabulary_change_report
+    from vocabshift.sources.fixtures import EXCLUDED_NODES, INCLUDED_SOURCE_VOCABS, Fixtures
+
+    fx = Fixtures(spark, SMALL_SF)
+    reports = vocabulary_change_report(
+        fx.items, fx.old, fx.new, fx.concept_count, events=fx.event_tables, cohort_names=fx.cohort_names,
+        excluded_nodes=EXCLUDED_NODES, included_source_vocabs=INCLUDED_SOURCE_VOCABS,
+    )
+    paths = write_reports(reports, _scratch(spark), project="t_")
+    assert set(paths) == {"nonstandard_nodes", "mapping_diff", "domain_change", "cohort_stats"}
+    for name, path in paths.items():
+        assert read_report(spark, path).count() == reports[name].count()
+    reports.close()
