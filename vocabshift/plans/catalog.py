@@ -96,7 +96,7 @@ def _pair_report(spark: SparkSession, sf_dir: str):
 
 def _pair_blocks(spark: SparkSession, sf_dir: str):
     fx = inputs_for(spark, sf_dir)
-    small = fits(fx.items_updated)
+    small = fits(fx.items.select("conceptid").unionByName(fx.items_updated.select("conceptid")))
     old_vc = R.resolve_concepts(fx.items, fx.old, EXCLUDED_NODES, PAIR_SET_KEYS, small)
     new_vc = R.resolve_concepts(fx.items_updated, fx.new, EXCLUDED_NODES, PAIR_SET_KEYS, small)
     return fx, old_vc, new_vc
