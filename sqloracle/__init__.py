@@ -1,0 +1 @@
+"""DuckDB oracle SQL for the registered queries (fixture CTEs + one statement per query)."""

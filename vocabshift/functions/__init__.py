@@ -1 +1 @@
-
+"""Column and aggregate helpers built from Spark built-in functions."""

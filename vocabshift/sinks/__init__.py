@@ -1 +1 @@
-
+"""Sinks: one written table per report."""
