@@ -86,14 +86,19 @@ class _Main:
         return S.union_events(self.fx.event_tables)
 
 
-def _pair_report(spark: SparkSession, sf_dir: str):
+def _pair_report(spark: SparkSession, sf_dir: str, changed_only: bool = True):
     fx = inputs_for(spark, sf_dir)
     return cohort_pair_report(
         fx.items, fx.items_updated, fx.cohort_map, fx.old, fx.new, fx.concept_count,
-        EXCLUDED_NODES, INCLUDED_SOURCE_VOCABS, changed_only=True,
+        EXCLUDED_NODES, INCLUDED_SOURCE_VOCABS, changed_only=changed_only,
     )
 
 
+def q_pair_mapping_diff_all(spark, sf_dir):
+    """Pair mapping report with every differing code, mapping text changed or not."""
+    return _pair_report(spark, sf_dir, changed_only=False)["mapping_diff"]
+
+
 def _pair_blocks(spark: SparkSession, sf_dir: str):
     fx = inputs_for(spark, sf_dir)
     small = fits(fx.items.select("conceptid").unionByName(fx.items_updated.select("conceptid")))
@@ -192,14 +197,25 @@ def q_mapping_agg_new(spark, sf_dir):
     return _Main(spark, sf_dir).new_agg()
 
 
-def _main_report(spark, sf_dir, **kw):
+def _main_report(spark, sf_dir, vocabs=INCLUDED_SOURCE_VOCABS, **kw):
     fx = inputs_for(spark, sf_dir)
     return vocabulary_change_report(
         fx.items, fx.old, fx.new, fx.concept_count, cohort_names=fx.cohort_names,
-        excluded_nodes=EXCLUDED_NODES, included_source_vocabs=INCLUDED_SOURCE_VOCABS, **kw,
+        excluded_nodes=EXCLUDED_NODES, included_source_vocabs=vocabs, **kw,
     )
 
 
+def q_mapping_diff_all_vocabs(spark, sf_dir):
+    """Every source vocabulary (``included_source_vocabs=None``)."""
+    return _main_report(spark, sf_dir, vocabs=None)["mapping_diff"]
+
+
+def q_cohort_stats_valid_edges(spark, sf_dir):
+    """Stats counting valid ``Mapped from`` edges only."""
+    fx = inputs_for(spark, sf_dir)
+    return _main_report(spark, sf_dir, events=fx.event_tables, stats_valid_edges_only=True)["cohort_stats"]
+
+
 def q_mapping_diff(spark, sf_dir):
     return _main_report(spark, sf_dir)["mapping_diff"]
 
@@ -357,6 +373,7 @@ QUERIES: dict[str, Query] = {
     "mapping_agg_new": q_mapping_agg_new,
     "mapping_diff": q_mapping_diff,
     "mapping_diff_changed": q_mapping_diff_changed,
+    "mapping_diff_all_vocabs": q_mapping_diff_all_vocabs,
     "common_concepts": q_common_concepts,
     "domain_change": q_domain_change,
     "domain_change_all_vocabs": q_domain_change_all_vocabs,
@@ -369,9 +386,11 @@ QUERIES: dict[str, Query] = {
     "flag_histogram": q_flag_histogram,
     "person_change_summary": q_person_change_summary,
     "cohort_stats": q_cohort_stats,
+    "cohort_stats_valid_edges": q_cohort_stats_valid_edges,
     "pair_resolve_new": q_pair_resolve_new,
     "pair_source_concept_diff": q_pair_source_diff,
     "pair_mapping_diff": q_pair_mapping_diff,
+    "pair_mapping_diff_all": q_pair_mapping_diff_all,
     "pair_domain_change": q_pair_domain_change,
     "concept_set_items_json": q_items_json,
     "concept_set_items_json_files": q_items_json_files,
