@@ -109,3 +109,32 @@ def test_summary_from_flags_equals_histogram_form(spark):
         "cohort_definition_id bigint, person_id bigint, has_same int, has_new int, has_old int",
     )
     assert rows(S.person_change_summary_from_flags(flags)) == rows(S.person_change_summary(S.flag_histogram(flags)))
+
+
+def test_reports_equal_when_no_side_may_be_broadcast(spark, fx):
+    """Every size check fails (bound 0): shuffle joins and the salted event join give the same reports."""
+    from vocabshift import cohort_pair_report
+    from vocabshift.plans.broadcast import CONF_KEY
+
+    def run():
+        main = vocabulary_change_report(
+            fx.items, fx.old, fx.new, fx.concept_count, events=fx.event_tables, cohort_names=fx.cohort_names,
+            excluded_nodes=EXCLUDED_NODES, included_source_vocabs=INCLUDED_SOURCE_VOCABS, materialize="none",
+        )
+        pair = cohort_pair_report(
+            fx.items, fx.items_updated, fx.cohort_map, fx.old, fx.new, fx.concept_count,
+            EXCLUDED_NODES, INCLUDED_SOURCE_VOCABS, materialize="none",
+        )
+        out = {name: rows(main[name]) for name in main}
+        out.update({f"pair_{name}": rows(pair[name]) for name in pair})
+        return out
+
+    default = run()
+    spark.conf.set(CONF_KEY, "0")
+    try:
+        forced = run()
+    finally:
+        spark.conf.unset(CONF_KEY)
+    assert default.keys() == forced.keys()
+    for name in default:
+        assert default[name] == forced[name], name
