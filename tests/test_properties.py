@@ -129,6 +129,7 @@ def test_reports_equal_when_no_side_may_be_broadcast(spark, fx):
         out.update({f"pair_{name}": rows(pair[name]) for name in pair})
         return out
 
+    spark.catalog.clearCache()  # start from a session without data persisted by earlier tests
     default = run()
     spark.conf.set(CONF_KEY, "0")
     try:
