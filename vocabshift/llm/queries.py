@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vocabshift.llm import decontam
+from vocabshift.llm import decontam, pii
 from vocabshift.llm.common import read_table
 
 
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every document."""
+    return pii.report(pii.personal_data(read_table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
 def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,6 +20,7 @@ def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 
 
 QUERIES = {
+    "op4_pii": op4_pii,
     "op9_benchmark_decontamination": op9_benchmark_decontamination,
 }
 
