@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vocabshift.llm import decontam, pii
+from vocabshift.llm import decontam, pii, secret_scan
 from vocabshift.llm.common import read_table
 
 
@@ -13,6 +13,11 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(pii.personal_data(read_table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
+def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in every document."""
+    return secret_scan.report(secret_scan.secrets(read_table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
 def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark words in every document."""
     documents = read_table(spark, sf_dir, "documents")
@@ -21,6 +26,7 @@ def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 
 QUERIES = {
     "op4_pii": op4_pii,
+    "op7_secrets": op7_secrets,
     "op9_benchmark_decontamination": op9_benchmark_decontamination,
 }
 
