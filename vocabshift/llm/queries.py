@@ -4,10 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vocabshift.llm import decontam, pii, secret_scan
+from vocabshift.llm import decontam, langid, pii, secret_scan
 from vocabshift.llm.common import read_table
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predicted language of every document."""
+    return langid.report(read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
+
+
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data in every document."""
     return pii.report(pii.personal_data(read_table(spark, sf_dir, "documents").select("doc_id", "text")))
@@ -25,6 +30,7 @@ def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 
 
 QUERIES = {
+    "op1_language_id": op1_language_id,
     "op4_pii": op4_pii,
     "op7_secrets": op7_secrets,
     "op9_benchmark_decontamination": op9_benchmark_decontamination,
