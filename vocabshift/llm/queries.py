@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vocabshift.llm import decontam, langid, pii, secret_scan
+from vocabshift.llm import decontam, html_main, langid, pii, secret_scan
 from vocabshift.llm.common import read_table
 
 
@@ -29,11 +29,17 @@ def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return decontam.report(decontam.contamination(documents, read_table(spark, sf_dir, "benchmark")))
 
 
+def op10_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return html_main.report(read_table(spark, sf_dir, "pages"))
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op4_pii": op4_pii,
     "op7_secrets": op7_secrets,
     "op9_benchmark_decontamination": op9_benchmark_decontamination,
+    "op10_html_main_text": op10_html_main_text,
 }
 
 ORACLE_SQL = {
