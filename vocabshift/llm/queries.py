@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vocabshift.llm import decontam, html_main, langid, pii, secret_scan
+from vocabshift.llm import decontam, html_main, langid, pii, secret_scan, toxicity
 from vocabshift.llm.common import read_table
 
 
@@ -13,6 +13,11 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.report(read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document."""
+    return toxicity.report(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data in every document."""
     return pii.report(pii.personal_data(read_table(spark, sf_dir, "documents").select("doc_id", "text")))
@@ -36,6 +41,7 @@ def op10_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_language_id": op1_language_id,
+    "op2_toxicity": op2_toxicity,
     "op4_pii": op4_pii,
     "op7_secrets": op7_secrets,
     "op9_benchmark_decontamination": op9_benchmark_decontamination,
