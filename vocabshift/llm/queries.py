@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vocabshift.llm import decontam, html_main, langid, pii, secret_scan, toxicity
+from vocabshift.llm import decontam, html_main, langid, pii, reshard, secret_scan, toxicity
 from vocabshift.llm.common import read_table
 
 
@@ -23,6 +23,11 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(pii.personal_data(read_table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
+def op6_reshard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """New shard and slot of every document."""
+    return reshard.report(read_table(spark, sf_dir, "documents"))
+
+
 def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets in every document."""
     return secret_scan.report(secret_scan.secrets(read_table(spark, sf_dir, "documents").select("doc_id", "text")))
@@ -43,6 +48,7 @@ QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_toxicity": op2_toxicity,
     "op4_pii": op4_pii,
+    "op6_reshard": op6_reshard,
     "op7_secrets": op7_secrets,
     "op9_benchmark_decontamination": op9_benchmark_decontamination,
     "op10_html_main_text": op10_html_main_text,
