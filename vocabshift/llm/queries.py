@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vocabshift.llm import decontam, html_main, langid, pii, reshard, secret_scan, toxicity
+from vocabshift.llm import decontam, html_main, langid, pii, reshard, secret_scan, topk, toxicity
 from vocabshift.llm.common import read_table
 
 
@@ -18,6 +18,11 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.report(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
+def op3_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best inner products of every fiftieth vector."""
+    return topk.report(read_table(spark, sf_dir, "embeddings"))
+
+
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data in every document."""
     return pii.report(pii.personal_data(read_table(spark, sf_dir, "documents").select("doc_id", "text")))
@@ -47,6 +52,7 @@ def op10_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_toxicity": op2_toxicity,
+    "op3_exact_top_k": op3_exact_top_k,
     "op4_pii": op4_pii,
     "op6_reshard": op6_reshard,
     "op7_secrets": op7_secrets,
@@ -55,5 +61,6 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op3_exact_top_k": topk.ORACLE,
     "op9_benchmark_decontamination": decontam.ORACLE,
 }
