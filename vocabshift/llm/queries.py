@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vocabshift.llm import decontam, html_main, langid, pii, reshard, secret_scan, topk, toxicity
+from vocabshift.llm import decontam, html_main, langid, pii, reshard, secret_scan, subword, topk, toxicity
 from vocabshift.llm.common import read_table
 
 
@@ -38,6 +38,11 @@ def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.report(secret_scan.secrets(read_table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
+def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Subword ids of every document."""
+    return subword.report(read_table(spark, sf_dir, "documents"))
+
+
 def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark words in every document."""
     documents = read_table(spark, sf_dir, "documents")
@@ -56,6 +61,7 @@ QUERIES = {
     "op4_pii": op4_pii,
     "op6_reshard": op6_reshard,
     "op7_secrets": op7_secrets,
+    "op8_sentencepiece": op8_sentencepiece,
     "op9_benchmark_decontamination": op9_benchmark_decontamination,
     "op10_html_main_text": op10_html_main_text,
 }
