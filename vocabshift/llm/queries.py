@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vocabshift.llm import decontam, html_main, langid, pii, reshard, secret_scan, subword, topk, toxicity
+from vocabshift.llm import decontam, html_main, langid, ngram_join, pii, reshard, secret_scan, subword, topk, toxicity
 from vocabshift.llm.common import read_table
 
 
@@ -28,6 +28,11 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(pii.personal_data(read_table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
+def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate components of all documents."""
+    return ngram_join.report(read_table(spark, sf_dir, "documents"))
+
+
 def op6_reshard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """New shard and slot of every document."""
     return reshard.report(read_table(spark, sf_dir, "documents"))
@@ -59,6 +64,7 @@ QUERIES = {
     "op2_toxicity": op2_toxicity,
     "op3_exact_top_k": op3_exact_top_k,
     "op4_pii": op4_pii,
+    "op5_ngram_jaccard_join": op5_ngram_jaccard_join,
     "op6_reshard": op6_reshard,
     "op7_secrets": op7_secrets,
     "op8_sentencepiece": op8_sentencepiece,
@@ -68,5 +74,6 @@ QUERIES = {
 
 ORACLE_SQL = {
     "op3_exact_top_k": topk.ORACLE,
+    "op5_ngram_jaccard_join": ngram_join.ORACLE,
     "op9_benchmark_decontamination": decontam.ORACLE,
 }
