@@ -99,20 +99,20 @@ def item_windows(benchmark: DataFrame, item_col: str, text_col: str, window: int
     return rows.groupBy("pattern").agg(F.sort_array(F.collect_set("item")).alias("items"))
 
 
-def _search(batches, patterns: dict[tuple[str, ...], list[str]], keep: int):
+def _search(batches, patterns: dict[tuple[str, ...], list[str]], width: int, text_at: int):
     """Adds the occurrences of ``patterns`` to the hits and items that earlier passes found.
 
-    A batch has ``keep`` columns that go through, the text, and from the second pass on hits and items.
+    A batch has ``width`` columns that go through, the text among them, and from the second pass on what was found.
     """
     by_length: dict[int, list] = {}
     for p in patterns:
         by_length.setdefault(len(p), []).append(p)
     searchers = [Searcher(ps) for ps in by_length.values()]
     for batch in batches:
-        texts = batch.column(keep).to_pylist()
-        later = batch.num_columns > keep + 1
-        old_hits = batch.column(keep + 2).to_pylist() if later else [[]] * len(texts)
-        old_items = batch.column(keep + 3).to_pylist() if later else [[]] * len(texts)
+        texts = batch.column(text_at).to_pylist()
+        later = batch.num_columns > width
+        old_hits = batch.column(width + 1).to_pylist() if later else [[]] * len(texts)
+        old_items = batch.column(width + 2).to_pylist() if later else [[]] * len(texts)
         n_words, all_hits, all_items = [], [], []
         for text, hits, known in zip(texts, old_hits, old_items, strict=True):
             w = words(text)
@@ -133,12 +133,12 @@ def _search(batches, patterns: dict[tuple[str, ...], list[str]], keep: int):
             all_items.append(sorted(items))
         yield pa.RecordBatch.from_arrays(
             [
-                *batch.columns[: keep + 1],
+                *batch.columns[:width],
                 pa.array(n_words, pa.int64()),
                 pa.array(all_hits, pa.list_(pa.struct([("first", pa.int64()), ("end", pa.int64())]))),
                 pa.array(all_items, pa.list_(pa.string())),
             ],
-            [*batch.schema.names[: keep + 1], "n_words", "hits", "items"],
+            [*batch.schema.names[:width], "n_words", "hits", "items"],
         )
 
 
@@ -160,13 +160,14 @@ def contamination(
     groups = max(1, -(-pats.count() // patterns_per_pass))
     if groups > 1:
         pats = stored(pats.withColumn("g", F.pmod(F.xxhash64("pattern"), F.lit(groups))), "patterns")
-    source = documents.select(*[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)], F.col(text_col).alias("t"))
+    through = [*keep, *([] if text_col in keep else [text_col])]
+    source = documents.select(*[F.col(c).alias(f"k{i}") for i, c in enumerate(through)])
     base = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema)
     found = source
     for g in range(groups):
         part = pats.where(F.col("g") == g) if groups > 1 else pats
         table = {tuple(r["pattern"]): r["items"] for r in part.toLocalIterator()}
-        found = map_rows(found, lambda it, t=table: _search(it, t, len(keep)), f"{base}, {SCHEMA}")
+        found = map_rows(found, lambda it, t=table: _search(it, t, len(through), through.index(text_col)), f"{base}, {SCHEMA}")
         if g + 1 < groups:
             found = stored(found, f"decontam-{g}")
     n_hit = F.aggregate("hits", F.lit(0).cast("long"), lambda acc, h: acc + h["end"] - h["first"])
