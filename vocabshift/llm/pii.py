@@ -31,7 +31,7 @@ IP = r"(?:\G|(?<![0-9]))[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}+(?![A-Za-z0-9])"
-TEL = r"(?<![0-9A-Za-z+])[0-9(][0-9()]{1,6}+(?:[\x20./-][0-9()]{2,6}+){1,5}+(?![0-9A-Za-z])"
+TEL = r"(?<![0-9A-Za-z+])[0-9(][0-9()]{1,6}+(?:[\x20./-][0-9()]{2,9}+){1,5}+(?![0-9A-Za-z])"
 
 OCTET = r"0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
 NEAR = 30
