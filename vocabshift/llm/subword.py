@@ -29,6 +29,7 @@ import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -44,14 +45,14 @@ MODEL_FILE = "/opt/tokenizers/piece_bpe_32k.model"
 CHUNK = 32_768
 SNAP = 1_024
 FAN = 256
-REMEMBERED = 300_000
+REMEMBERED = 200_000
 POINT = 1 << 10
 UNKNOWN_PENALTY = 10
 NEVER = -(1 << 60)
 LATIN = 0x250
 WORDS_AT_ONCE = 20_000
 LONGEST_WORD = 64
-SLICE_CHARS, SLICE_ROWS = 1_500_000, 4_096
+SLICE_CHARS, SLICE_ROWS, SLICE_IDS = 1_000_000, 4_096, 500_000
 WORD = re.compile(rf"{MARK}+[^{MARK}]*")
 
 
@@ -90,11 +91,16 @@ class Vocabulary:
     # -- many words at once --------------------------------------------------------------------------
 
     def trie(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(column of a code point or -1, child by node and column, score and id of each node) of Latin pieces."""
+        """(column of a code point, child by node and column, score and id of each node) of Latin pieces.
+
+        Column -1 is a character of no piece, -2 one of pieces in other scripts.
+        """
         if not self.arrays:
             table = self.lookup()
             usual = {c for p in table for c in p if ord(c) < LATIN or c == MARK}
             column = np.full(0x110000, -1, np.int16)
+            for c in {c for p in table for c in p}:
+                column[ord(c)] = -2
             for k, c in enumerate(sorted(usual)):
                 column[ord(c)] = k
             nodes = {"": 0}
@@ -125,10 +131,15 @@ class Vocabulary:
             best = np.full((len(own), width + 1), NEVER, np.int64)
             best[:, 0] = 0
             start, last = np.zeros(best.shape, np.int32), np.full(best.shape, -1, np.int32)
-            plain = np.ones(len(own), bool)
+            plain = ~(codes == -2).any(axis=1)
             for i in range(width):
-                at = np.flatnonzero(n > i)
+                at = np.flatnonzero((n > i) & plain)
                 node = np.zeros(len(at), np.int32)
+                single = child[0, codes[at, i]]
+                alone = at[(codes[at, i] < 0) | (single < 0) | (piece[single] < 0)]
+                total = best[alone, i] + self.unknown
+                to = alone[total > best[alone, i + 1]]
+                best[to, i + 1], start[to, i + 1], last[to, i + 1] = best[to, i] + self.unknown, i, -1
                 for j in range(i, min(i + self.longest, width)):
                     col = codes[at, j]
                     node = np.where(col >= 0, child[node, col], -1)
@@ -140,12 +151,15 @@ class Vocabulary:
                     better = total > best[at, j + 1]
                     to = at[better]
                     best[to, j + 1], start[to, j + 1], last[to, j + 1] = total[better], i, piece[node[better]]
-                plain &= (best[:, i + 1] > NEVER // 2) | (n <= i)
             ids = [[] for _ in own]
             at, pos = np.flatnonzero(plain), n[plain]
             while len(at):
-                for k, p in zip(at.tolist(), last[at, pos].tolist(), strict=True):
-                    ids[k].append(p)
+                for k, p, end in zip(at.tolist(), last[at, pos].tolist(), pos.tolist(), strict=True):
+                    if p >= 0:
+                        ids[k].append(p)
+                    else:
+                        raw = own[k][end - 1].encode("utf-8", "surrogatepass")
+                        ids[k] += [self.byte_ids[b] for b in reversed(raw)]
                 pos = start[at, pos]
                 at, pos = at[pos > 0], pos[pos > 0]
             for word, found, ok in zip(own, ids, plain.tolist(), strict=True):
@@ -164,13 +178,16 @@ class Vocabulary:
         short = [w for w in new if len(w) <= LONGEST_WORD]
         if short:
             self.remember(short)
-        out: list[list[int] | None] = []
-        for text, cut_text in zip(texts, cuts, strict=True):
-            ids: list[int] = []
-            for w in cut_text:
-                found = known.get(w)
-                ids += self.best_path(w) if found is None else found
-            out.append(None if text is None else ids)
+        long = [w for w in new if len(w) > LONGEST_WORD]
+        for w in long:
+            known[w] = self.best_path(w)
+        flat = chain.from_iterable
+        out = [
+            None if text is None else list(flat(map(known.__getitem__, cut_text)))
+            for text, cut_text in zip(texts, cuts, strict=True)
+        ]
+        for w in long:
+            del known[w]
         return out
 
     # -- best paths ---------------------------------------------------------------------------------
@@ -487,6 +504,24 @@ def _ids_array(lists: list[list[int] | None]) -> pa.Array:
     return pa.ListArray.from_arrays(offsets, pa.array(flat), mask=nulls)
 
 
+def _decoded(vocabulary: Vocabulary, batch: pa.RecordBatch, at: int) -> Iterator[tuple[pa.RecordBatch, list[str | None]]]:
+    """Slices of a batch of bounded size with the texts of the ids in column ``at``."""
+    sizes = batch.column(at).value_lengths().to_pylist()
+    start = held = 0
+    for i, size in enumerate([*sizes, SLICE_IDS]):
+        if i == len(sizes) or (held + (size or 0) > SLICE_IDS and i > start):
+            part = batch.slice(start, i - start)
+            values = part.column(at).flatten().to_numpy(zero_copy_only=False)
+            texts, upto = [], 0
+            for n in sizes[start:i]:
+                texts.append(None if n is None else vocabulary.decode(values[upto : upto + n].tolist()))
+                upto += n or 0
+            if texts:
+                yield part, texts
+            start, held = i, 0
+        held += size or 0
+
+
 def encode(
     documents: DataFrame,
     vocabulary: Vocabulary | None = None,
@@ -506,10 +541,10 @@ def encode(
         own = shared.value
         for batch in batches:
             texts = batch.column(n).to_pylist()
-            lists: list = []
             for a, b in slices(texts, SLICE_CHARS, SLICE_ROWS):
-                lists += own.encode_all(texts[a:b])
-            yield pa.RecordBatch.from_arrays([*batch.columns[:n], _ids_array(lists)], [*batch.schema.names[:n], "ids"])
+                kept = [c.slice(a, b - a) for c in batch.columns[:n]]
+                ids = _ids_array(own.encode_all(texts[a:b]))
+                yield pa.RecordBatch.from_arrays([*kept, ids], [*batch.schema.names[:n], "ids"])
 
     schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in source.schema.fields[:n]) + "ids array<int>"
     ordinary = map_rows(source.where(~F.coalesce(giant, F.lit(False))), run, schema)
@@ -529,15 +564,10 @@ def decode(
     def run(batches):
         own = shared.value
         for batch in batches:
-            flat, starts = batch.column(n), 0
-            values = flat.flatten().to_numpy(zero_copy_only=False).tolist()
-            texts: list[str | None] = []
-            for size in flat.value_lengths().to_pylist():
-                texts.append(None if size is None else own.decode(values[starts : starts + size]))
-                starts += size or 0
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:n], pa.array(texts, pa.string())], [*batch.schema.names[:n], "text"]
-            )
+            for part, texts in _decoded(own, batch, n):
+                yield pa.RecordBatch.from_arrays(
+                    [*part.columns[:n], pa.array(texts, pa.string())], [*part.schema.names[:n], "text"]
+                )
 
     schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in source.schema.fields[:n]) + "text string"
     return map_rows(source, run, schema).select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)], "text")
@@ -559,20 +589,16 @@ def _checked(encoded: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     def run(batches):
         own = shared.value
         for batch in batches:
-            doc, crc, size, ids = batch.columns
-            values = ids.flatten().to_numpy(zero_copy_only=False).tolist()
-            at, same = 0, []
-            for n, c, k in zip(ids.value_lengths().to_pylist(), crc.to_pylist(), size.to_pylist(), strict=True):
-                if n is None:
-                    same.append(None)
-                    continue
-                text = own.decode(values[at : at + n])
-                same.append(len(text) == k and zlib.crc32(text.encode("utf-8", "surrogatepass")) == c)
-                at += n
-            yield pa.RecordBatch.from_arrays(
-                [doc, ids.value_lengths().cast(pa.int64()), ids, pa.array(same, pa.bool_())],
-                ["doc_id", "n_tokens", "ids", "round_trip"],
-            )
+            for part, texts in _decoded(own, batch, 3):
+                doc, crc, size, ids = part.columns
+                same = [
+                    None if t is None else len(t) == k and zlib.crc32(t.encode("utf-8", "surrogatepass")) == c
+                    for t, c, k in zip(texts, crc.to_pylist(), size.to_pylist(), strict=True)
+                ]
+                yield pa.RecordBatch.from_arrays(
+                    [doc, ids.value_lengths().cast(pa.int64()), ids, pa.array(same, pa.bool_())],
+                    ["doc_id", "n_tokens", "ids", "round_trip"],
+                )
 
     kind = encoded.schema["doc_id"].dataType.simpleString()
     return map_rows(encoded, run, f"doc_id {kind}, n_tokens long, ids array<int>, round_trip boolean")
