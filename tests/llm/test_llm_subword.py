@@ -67,8 +67,8 @@ def test_scan_equals_sequential(vocabulary, chunk, snap):
     left = vocabulary.longest - 1
     for text in odd_texts()[:6]:
         s = S.marked(text)
-        chunks = [(s[max(0, a - left) : a], s[a:b], c) for a, b, c in S.cut(s, vocabulary, chunk, snap)]
-        assert "".join(body for _, body, _ in chunks) == s
+        chunks = [(s[max(0, a - left) : a], s[a:b], c, e) for a, b, c, e in S.cut(s, vocabulary, chunk, snap)]
+        assert "".join(body for _, body, _, _ in chunks) == s
         vector = np.full(vocabulary.longest, S.NEVER, np.int64)
         vector[0] = 0
         vectors = []
@@ -86,7 +86,7 @@ def test_scan_equals_sequential(vocabulary, chunk, snap):
 def test_products_of_transfer_matrices_are_associative(vocabulary):
     s = S.marked("antidisestablishmentarianism" * 6)
     left = vocabulary.longest - 1
-    m = [S.transfer(vocabulary, s[max(0, a - left) : a], s[a:b], c) for a, b, c in S.cut(s, vocabulary, 20, 0)]
+    m = [S.transfer(vocabulary, s[max(0, a - left) : a], s[a:b], c, e) for a, b, c, e in S.cut(s, vocabulary, 20, 0)]
     a, b, c = m[1:4]
     assert (S.combine(S.combine(a, b), c) == S.combine(a, S.combine(b, c))).all()
 

@@ -11,7 +11,8 @@ path passes each word start, so a text is the concatenation of its words' best p
 *Giant documents* (over ``CHUNK`` characters) are cut into chunks, at a word start where there is one near:
 
 1. each chunk yields its *transfer matrix*: entry (i, j) is the best score from i characters before its start to j
-   characters before its end, for i and j below the longest piece (at a word start only i = 0 matters);
+   characters before its end, for i and j below the longest piece (at a word start only i = 0 matters).  Adding a
+   constant to a matrix changes no best path, so that of a chunk between two word starts is 0 at (0, 0) unseen;
 2. matrices are combined associatively, ``FAN`` at a time and level by level, which gives every chunk the scores at
    its start;
 3. with these, each chunk maps a state at its end to the state at its start that the backtrace reaches; these maps
@@ -167,10 +168,14 @@ class Vocabulary:
 
     def encode_all(self, texts: list[str | None]) -> list[list[int] | None]:
         """Ids of some texts (None for None)."""
+        return self.encode_marked([None if t is None else marked(t) if t else "" for t in texts])
+
+    def encode_marked(self, texts: list[str | None]) -> list[list[int] | None]:
+        """Ids of some marked texts."""
         if not self.by_word:
-            return [None if t is None else self.best_path(marked(t)) if t else [] for t in texts]
+            return [None if t is None else self.best_path(t) for t in texts]
         known = self.words
-        cuts = [WORD.findall(marked(t.replace(MARK, " "))) if t else [] for t in texts]
+        cuts = [WORD.findall(t) if t else [] for t in texts]
         new = {w for cut_text in cuts for w in cut_text if w not in known}
         if len(known) + len(new) > REMEMBERED:
             known.clear()
@@ -275,14 +280,14 @@ def load(model_file: str = MODEL_FILE) -> Vocabulary:
 # -- giant documents ------------------------------------------------------------------------------------
 
 
-def cut(s: str, vocabulary: Vocabulary, chunk: int, snap: int) -> Iterator[tuple[int, int, bool]]:
-    """(start, end, whether it starts at a word start) of the chunks of a marked text."""
+def cut(s: str, vocabulary: Vocabulary, chunk: int, snap: int) -> Iterator[tuple[int, int, bool, bool]]:
+    """(start, end, whether it starts, and ends, where every path has a piece boundary) of the chunks of a marked text."""
     at, clean, n = 0, True, len(s)
     least = max(vocabulary.longest, 2)
     while at < n:
         end, next_clean = at + max(chunk, least), False
         if n - end < least:
-            yield at, n, clean
+            yield at, n, clean, True
             return
         if vocabulary.by_word:
             k = s.find(MARK, end, min(end + snap, n - least))
@@ -290,21 +295,27 @@ def cut(s: str, vocabulary: Vocabulary, chunk: int, snap: int) -> Iterator[tuple
                 k = s.find(MARK, k + 1, min(end + snap, n - least))
             if k > 0:
                 end, next_clean = k, True
-        yield at, end, clean
+        yield at, end, clean, next_clean
         at, clean = end, next_clean
 
 
-def _starts(vocabulary: Vocabulary, context: str, clean: bool) -> list[int]:
+def _starts(context: str, clean: bool) -> list[int]:
     """The states (characters before the chunk's start) that a path can come from."""
     return [0] if clean else list(range(len(context) + 1))
 
 
-def transfer(vocabulary: Vocabulary, context: str, body: str, clean: bool) -> np.ndarray:
-    """The chunk's max-plus transfer matrix between the last ``longest`` positions before its start and end."""
+def transfer(vocabulary: Vocabulary, context: str, body: str, clean: bool, clean_end: bool) -> np.ndarray:
+    """The chunk's max-plus transfer matrix between the last ``longest`` positions before its start and end.
+
+    Up to a constant, which is why nothing is computed between two places that every path passes.
+    """
     width = vocabulary.longest
     out = np.full((width, width), NEVER, np.int64)
+    if clean and clean_end:
+        out[0, 0] = 0
+        return out
     s, edge = context + body, len(context)
-    for state in _starts(vocabulary, context, clean):
+    for state in _starts(context, clean):
         known = [NEVER] * (edge + 1)
         known[edge - state] = 0
         best = vocabulary.forward(s, known)[0]
@@ -317,18 +328,22 @@ def combine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.maximum((a[:, :, None] + b[None, :, :]).max(axis=1), NEVER)
 
 
-def _scores_at_start(vocabulary: Vocabulary, context: str, vector: np.ndarray, clean: bool) -> list[int]:
+def _scores_at_start(context: str, vector: np.ndarray, clean: bool) -> list[int]:
     known = [NEVER] * (len(context) + 1)
-    for state in _starts(vocabulary, context, clean):
-        known[len(context) - state] = int(vector[state])
+    for state in _starts(context, clean):
+        known[len(context) - state] = max(int(vector[state]), NEVER)
     return known
 
 
-def back_map(vocabulary: Vocabulary, context: str, body: str, clean: bool, vector: np.ndarray) -> np.ndarray:
+def back_map(
+    vocabulary: Vocabulary, context: str, body: str, clean: bool, clean_end: bool, vector: np.ndarray
+) -> np.ndarray:
     """For every state at the chunk's end the state at its start that the backtrace reaches."""
-    s, edge = context + body, len(context)
-    _, start, _ = vocabulary.forward(s, _scores_at_start(vocabulary, context, vector, clean))
     out = np.zeros(vocabulary.longest, np.int64)
+    if clean:
+        return out
+    s, edge = context + body, len(context)
+    _, start, _ = vocabulary.forward(s, _scores_at_start(context, vector, clean))
     for state in range(vocabulary.longest):
         at = len(s) - state
         while at > edge:
@@ -337,10 +352,14 @@ def back_map(vocabulary: Vocabulary, context: str, body: str, clean: bool, vecto
     return out
 
 
-def chunk_ids(vocabulary, context: str, body: str, clean: bool, vector: np.ndarray, end_state: int) -> list[int]:
+def chunk_ids(
+    vocabulary: Vocabulary, context: str, body: str, clean: bool, clean_end: bool, vector: np.ndarray, end_state: int
+) -> list[int]:
     """Ids of the pieces that end inside the chunk, back from its end state."""
+    if clean and clean_end:
+        return vocabulary.encode_marked([body])[0]
     s = context + body
-    _, start, piece = vocabulary.forward(s, _scores_at_start(vocabulary, context, vector, clean))
+    _, start, piece = vocabulary.forward(s, _scores_at_start(context, vector, clean))
     return vocabulary.trace(s, start, piece, len(s) - end_state, len(context))[0]
 
 
@@ -368,11 +387,12 @@ def _chunk_rows(vocabulary: Vocabulary, n_keep: int, chunk: int, snap: int):
                             *kept,
                             pa.array([key] * n),
                             pa.array(range(a, a + n), pa.int64()),
-                            pa.array([s[max(0, x - left) : x] for x, _, _ in some]),
-                            pa.array([s[x:y] for x, y, _ in some]),
-                            pa.array([c for _, _, c in some], pa.bool_()),
+                            pa.array([s[max(0, x - left) : x] for x, _, _, _ in some]),
+                            pa.array([s[x:y] for x, y, _, _ in some]),
+                            pa.array([c for _, _, c, _ in some], pa.bool_()),
+                            pa.array([c for _, _, _, c in some], pa.bool_()),
                         ],
-                        [*batch.schema.names[:n_keep], "row", "idx", "context", "body", "clean"],
+                        [*batch.schema.names[:n_keep], "row", "idx", "context", "body", "clean", "clean_end"],
                     )
 
     return run
@@ -419,8 +439,7 @@ def _per_chunk(chunks: DataFrame, fn, column: str, kind: pa.DataType, spark_kind
     """(row, idx, ``column``) by a function of a chunk row."""
 
     def run(batches):
-        for batch in batches:
-            rows = batch.to_pylist()
+        for rows in (b.slice(i, 16).to_pylist() for b in batches for i in range(0, b.num_rows, 16)):
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array([r["row"] for r in rows], pa.string()),
@@ -438,38 +457,33 @@ def encode_giant(giant: DataFrame, vocabulary: Vocabulary, n_keep: int, chunk: i
     width = vocabulary.longest
     base = [f"`{f.name}` {f.dataType.simpleString()}" for f in giant.schema.fields[:n_keep]]
     names = giant.columns[:n_keep]
-    schema = ", ".join([*base, "row string, idx long, context string, body string, clean boolean"])
+    schema = ", ".join([*base, "row string, idx long, context string, body string, clean boolean, clean_end boolean"])
     chunks = stored(map_rows(giant, _chunk_rows(vocabulary, n_keep, chunk, snap), schema), "chunks")
     last = chunks.agg(F.max("idx")).first()[0] or 0
     shared = giant.sparkSession.sparkContext.broadcast(vocabulary)
     vec = lambda b: np.frombuffer(b, np.int64)
     square = lambda b: vec(b).reshape(width, width)
 
-    ops = _per_chunk(
-        chunks.repartition("row", "idx"),
-        lambda r: _int64s(transfer(shared.value, r["context"], r["body"], r["clean"])),
-        "op",
-        pa.binary(),
-        "binary",
-    )
+    parts = lambda r: (r["context"], r["body"], r["clean"], r["clean_end"])
+    ops = _per_chunk(chunks, lambda r: _int64s(transfer(shared.value, *parts(r))), "op", pa.binary(), "binary")
     start = np.full(width, NEVER, np.int64)
     start[0] = 0
-    forward = _scan(
-        stored(ops, "transfer"),
-        last,
-        lambda a, b: _int64s(combine(square(a), square(b))),
-        lambda v, m: _int64s(np.maximum((vec(v)[:, None] + square(m)).max(axis=0), NEVER)),
-        _int64s(start),
-        False,
+    forward = stored(
+        _scan(
+            stored(ops, "transfer"),
+            last,
+            lambda a, b: _int64s(combine(square(a), square(b))),
+            lambda v, m: _int64s(np.maximum((vec(v)[:, None] + square(m)).max(axis=0), NEVER)),
+            _int64s(start),
+            False,
+        ),
+        "forward",
     )
-    located = stored(chunks.drop(*names).join(forward, ["row", "idx"]), "located")
+    same = np.zeros(width, np.int64)  # from a clean start every backtrace leaves in state 0
+    unclean = chunks.where("not clean").drop(*names).join(forward, ["row", "idx"])
     maps = _per_chunk(
-        located,
-        lambda r: _int64s(back_map(shared.value, r["context"], r["body"], r["clean"], vec(r["state"]))),
-        "op",
-        pa.binary(),
-        "binary",
-    )
+        unclean, lambda r: _int64s(back_map(shared.value, *parts(r), vec(r["state"]))), "op", pa.binary(), "binary"
+    ).unionByName(chunks.where("clean").select("row", "idx", F.lit(_int64s(same)).alias("op")))
     # backwards, a state is the end state of an item: over an item, s becomes its map at s
     ends = _scan(
         stored(maps, "maps"),
@@ -479,11 +493,10 @@ def encode_giant(giant: DataFrame, vocabulary: Vocabulary, n_keep: int, chunk: i
         _int64s([0]),
         True,
     )
+    states = forward.join(ends.withColumnRenamed("state", "end"), ["row", "idx"])
     traced = _per_chunk(
-        located.join(ends.withColumnRenamed("state", "end"), ["row", "idx"]),
-        lambda r: chunk_ids(
-            shared.value, r["context"], r["body"], r["clean"], vec(r["state"]), int(vec(r["end"])[0])
-        ),
+        chunks.drop(*names).join(states, ["row", "idx"]),
+        lambda r: chunk_ids(shared.value, *parts(r), vec(r["state"]), int(vec(r["end"])[0])),
         "ids",
         pa.list_(pa.int32()),
         "array<int>",
