@@ -46,14 +46,14 @@ MODEL_FILE = "/opt/tokenizers/piece_bpe_32k.model"
 CHUNK = 32_768
 SNAP = 1_024
 FAN = 256
-REMEMBERED = 200_000
+REMEMBERED = 400_000
 POINT = 1 << 10
 UNKNOWN_PENALTY = 10
 NEVER = -(1 << 60)
 LATIN = 0x250
 WORDS_AT_ONCE = 20_000
 LONGEST_WORD = 64
-SLICE_CHARS, SLICE_ROWS, SLICE_IDS = 1_000_000, 4_096, 500_000
+SLICE_CHARS, SLICE_ROWS, SLICE_IDS = 1_500_000, 4_096, 500_000
 WORD = re.compile(rf"{MARK}+[^{MARK}]*")
 
 
@@ -118,62 +118,74 @@ class Vocabulary:
         return tuple(self.arrays)
 
     def remember(self, words: list[str]) -> None:
-        """Best paths of marked words into ``words``: one position of all words at a time."""
+        """Best paths of marked words into ``words`` (as int32 bytes): one position of all words at a time."""
         column, child, score, piece = self.trie()
         lengths = np.fromiter(map(len, words), np.int64, len(words))
         order = np.argsort(lengths, kind="stable")
+        byte_id = np.array([*self.byte_ids[:128], -1] if self.byte_ids else [-1] * 129, np.int32)
         for a in range(0, len(words), WORDS_AT_ONCE):
             some = order[a : a + WORDS_AT_ONCE]
             own, n = [words[k] for k in some], lengths[some]
-            width = int(n.max())
-            codes = np.full((len(own), width), -1, np.int16)
-            flat = np.frombuffer("".join(own).encode("utf-32-le", "surrogatepass"), np.uint32)
-            codes[np.arange(width)[None, :] < n[:, None]] = column[flat]
-            best = np.full((len(own), width + 1), NEVER, np.int64)
-            best[:, 0] = 0
-            start, last = np.zeros(best.shape, np.int32), np.full(best.shape, -1, np.int32)
-            plain = ~(codes == -2).any(axis=1)
+            width, size = int(n[-1]), len(own)
+            points = np.full((size, width), 128, np.uint32)
+            inside = np.arange(width)[None, :] < n[:, None]
+            points[inside] = np.frombuffer("".join(own).encode("utf-32-le", "surrogatepass"), np.uint32)
+            points = np.ascontiguousarray(points.T)
+            codes = column[points]
+            # a character of no piece that is more than one byte, or of another script, goes position by position
+            plain = ~((codes == -2) | ((codes == -1) & (points >= 128))).T.any(axis=1, where=inside)
+            best = np.full((width + 1, size), NEVER, np.int64)
+            best[0] = 0
+            start, last = np.zeros((width + 1, size), np.int32), np.zeros((width + 1, size), np.int32)
             for i in range(width):
                 at = np.flatnonzero((n > i) & plain)
-                node = np.zeros(len(at), np.int32)
-                single = child[0, codes[at, i]]
-                alone = at[(codes[at, i] < 0) | (single < 0) | (piece[single] < 0)]
-                total = best[alone, i] + self.unknown
-                to = alone[total > best[alone, i + 1]]
-                best[to, i + 1], start[to, i + 1], last[to, i + 1] = best[to, i] + self.unknown, i, -1
+                base, node = best[i, at], np.zeros(len(at), np.int32)
+                single = child[0, codes[i, at]]
+                none = (codes[i, at] < 0) | (single < 0) | (piece[single] < 0)
+                if none.any():
+                    to, total = at[none], base[none] + self.unknown
+                    better = total > best[i + 1, to]
+                    to = to[better]
+                    best[i + 1, to], start[i + 1, to] = total[better], i
+                    last[i + 1, to] = byte_id[np.minimum(points[i, to], 128)]
                 for j in range(i, min(i + self.longest, width)):
-                    col = codes[at, j]
+                    col = codes[j, at]
                     node = np.where(col >= 0, child[node, col], -1)
                     on = node >= 0
-                    at, node = at[on], node[on]
-                    if not len(at):
-                        break
-                    total = best[at, i] + score[node]
-                    better = total > best[at, j + 1]
+                    if not on.all():
+                        at, node, base = at[on], node[on], base[on]
+                        if not len(at):
+                            break
+                    total = base + score[node]
+                    better = total > best[j + 1, at]
                     to = at[better]
-                    best[to, j + 1], start[to, j + 1], last[to, j + 1] = total[better], i, piece[node[better]]
-            ids = [[] for _ in own]
+                    best[j + 1, to], start[j + 1, to], last[j + 1, to] = total[better], i, piece[node[better]]
+            # trace all words back together; ids fill their rows from the right
+            ids, used = np.zeros((size, width), np.int32), np.zeros(size, np.int64)
             at, pos = np.flatnonzero(plain), n[plain]
             while len(at):
-                for k, p, end in zip(at.tolist(), last[at, pos].tolist(), pos.tolist(), strict=True):
-                    if p >= 0:
-                        ids[k].append(p)
-                    else:
-                        raw = own[k][end - 1].encode("utf-8", "surrogatepass")
-                        ids[k] += [self.byte_ids[b] for b in reversed(raw)]
-                pos = start[at, pos]
+                used[at] += 1
+                ids[at, width - used[at]] = last[pos, at]
+                pos = start[pos, at].astype(np.int64)
                 at, pos = at[pos > 0], pos[pos > 0]
-            for word, found, ok in zip(own, ids, plain.tolist(), strict=True):
-                self.words[word] = found[::-1] if ok else self.best_path(word)
+            raw, row = ids.tobytes(), 4 * width
+            ends = ((np.arange(size) + 1) * row).tolist()
+            firsts = ((np.arange(size) + 1) * row - 4 * used).tolist()
+            for word, first, end, ok in zip(own, firsts, ends, plain.tolist(), strict=True):
+                self.words[word] = raw[first:end] if ok else self._bytes(word)
+
+    def _bytes(self, s: str) -> bytes:
+        return np.array(self.best_path(s), np.int32).tobytes()
 
     def encode_all(self, texts: list[str | None]) -> list[list[int] | None]:
         """Ids of some texts (None for None)."""
-        return self.encode_marked([None if t is None else marked(t) if t else "" for t in texts])
+        found = self.encode_bytes([None if t is None else marked(t) if t else "" for t in texts])
+        return [None if x is None else np.frombuffer(x, np.int32).tolist() for x in found]
 
-    def encode_marked(self, texts: list[str | None]) -> list[list[int] | None]:
-        """Ids of some marked texts."""
+    def encode_bytes(self, texts: list[str | None]) -> list[bytes | None]:
+        """Ids of some marked texts, as int32 bytes."""
         if not self.by_word:
-            return [None if t is None else self.best_path(t) for t in texts]
+            return [None if t is None else self._bytes(t) for t in texts]
         known = self.words
         cuts = [WORD.findall(t) if t else [] for t in texts]
         new = {w for cut_text in cuts for w in cut_text if w not in known}
@@ -185,10 +197,9 @@ class Vocabulary:
             self.remember(short)
         long = [w for w in new if len(w) > LONGEST_WORD]
         for w in long:
-            known[w] = self.best_path(w)
-        flat = chain.from_iterable
+            known[w] = self._bytes(w)
         out = [
-            None if text is None else list(flat(map(known.__getitem__, cut_text)))
+            None if text is None else b"".join(map(known.__getitem__, cut_text))
             for text, cut_text in zip(texts, cuts, strict=True)
         ]
         for w in long:
@@ -357,7 +368,7 @@ def chunk_ids(
 ) -> list[int]:
     """Ids of the pieces that end inside the chunk, back from its end state."""
     if clean and clean_end:
-        return vocabulary.encode_marked([body])[0]
+        return np.frombuffer(vocabulary.encode_bytes([body])[0], np.int32).tolist()
     s = context + body
     _, start, piece = vocabulary.forward(s, _scores_at_start(context, vector, clean))
     return vocabulary.trace(s, start, piece, len(s) - end_state, len(context))[0]
@@ -509,12 +520,11 @@ def encode_giant(giant: DataFrame, vocabulary: Vocabulary, n_keep: int, chunk: i
 # -- operators ------------------------------------------------------------------------------------------
 
 
-def _ids_array(lists: list[list[int] | None]) -> pa.Array:
-    sizes = np.fromiter((len(x) if x is not None else 0 for x in lists), np.int64, len(lists))
-    flat = np.fromiter((i for x in lists if x for i in x), np.int32, int(sizes.sum()))
+def _ids_array(ids: list[bytes | None]) -> pa.Array:
+    sizes = np.fromiter((len(x) // 4 if x else 0 for x in ids), np.int64, len(ids))
+    flat = np.frombuffer(b"".join(x for x in ids if x), np.int32)
     offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
-    nulls = pa.array([x is None for x in lists], pa.bool_())
-    return pa.ListArray.from_arrays(offsets, pa.array(flat), mask=nulls)
+    return pa.ListArray.from_arrays(offsets, pa.array(flat), mask=pa.array([x is None for x in ids], pa.bool_()))
 
 
 def _decoded(vocabulary: Vocabulary, batch: pa.RecordBatch, at: int) -> Iterator[tuple[pa.RecordBatch, list[str | None]]]:
@@ -556,7 +566,8 @@ def encode(
             texts = batch.column(n).to_pylist()
             for a, b in slices(texts, SLICE_CHARS, SLICE_ROWS):
                 kept = [c.slice(a, b - a) for c in batch.columns[:n]]
-                ids = _ids_array(own.encode_all(texts[a:b]))
+                some = [None if t is None else marked(t) if t else "" for t in texts[a:b]]
+                ids = _ids_array(own.encode_bytes(some))
                 yield pa.RecordBatch.from_arrays([*kept, ids], [*batch.schema.names[:n], "ids"])
 
     schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in source.schema.fields[:n]) + "ids array<int>"
