@@ -5,7 +5,9 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,14 +43,17 @@ def map_rows(
     return df.mapInArrow(fn, schema)
 
 
-def slices(texts: list, most_chars: int, most_rows: int) -> Iterator[tuple[int, int]]:
-    """Row ranges of at most ``most_rows`` rows and (single long texts aside) ``most_chars`` characters."""
-    start = chars = 0
-    for i, text in enumerate(texts):
-        n = len(text) if text else 0
-        if i > start and (chars + n > most_chars or i - start >= most_rows):
-            yield start, i
-            start, chars = i, 0
-        chars += n
-    if start < len(texts):
-        yield start, len(texts)
+def text_slices(batch: pa.RecordBatch, at: int, most_bytes: int, most_rows: int) -> Iterator[tuple[pa.RecordBatch, list]]:
+    """A batch in slices of at most ``most_rows`` rows and (single long texts aside) ``most_bytes``, with their texts.
+
+    Only a slice's texts are Python objects at a time.
+    """
+    sizes = pc.fill_null(pc.binary_length(batch.column(at)), 0).to_numpy(zero_copy_only=False)
+    ends = np.cumsum(sizes)
+    start = 0
+    while start < batch.num_rows:
+        upto = int(np.searchsorted(ends, (ends[start - 1] if start else 0) + most_bytes, side="right"))
+        end = min(max(upto, start + 1), start + most_rows, batch.num_rows)
+        part = batch.slice(start, end - start)
+        yield part, part.column(at).to_pylist()
+        start = end
