@@ -26,16 +26,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vocabshift.llm.common import id_remainder, map_rows
+from vocabshift.llm.common import id_remainder, map_rows, text_slices
 
 DIMS = 1 << 20
-SAMPLE = {1: 1500, 0: 4500}
+SAMPLE = {1: 1200, 0: 3600}
 LEAST_DOCS = 3
 STEPS = 150
 L1 = 2e-4
 SENTENCE = 0.5
 PREFIXES = range(3, 9)
 WIDTH = 1 + len(PREFIXES)
+SLICE_BYTES, SLICE_ROWS = 4_000_000, 1_024
 
 WORD = re.compile(r"[^\W_]+")
 END = re.compile(r"[.!?\n]+")
@@ -190,9 +191,9 @@ def score_documents(documents: DataFrame, model: Model, keep: tuple[str, ...], t
 
     def run(batches):
         own = shared.value
-        for batch in batches:
+        for part, texts in (x for b in batches for x in text_slices(b, len(keep), SLICE_BYTES, SLICE_ROWS)):
             scores, numbers, located = [], [], []
-            for text in batch.column(len(keep)).to_pylist():
+            for text in texts:
                 p, ranges = own.sentences(text)
                 scores.append(own.score(p) if len(p) else 0.0)
                 numbers.append(len(p))
@@ -201,12 +202,12 @@ def score_documents(documents: DataFrame, model: Model, keep: tuple[str, ...], t
                 )
             yield pa.RecordBatch.from_arrays(
                 [
-                    *batch.columns[: len(keep)],
+                    *part.columns[: len(keep)],
                     pa.array(scores, pa.float64()),
                     pa.array(numbers, pa.int64()),
                     pa.array(located, pa.list_(span)),
                 ],
-                [*batch.schema.names[: len(keep)], "score", "sentences", "offending"],
+                [*part.schema.names[: len(keep)], "score", "sentences", "offending"],
             )
 
     base = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in source.schema.fields[: len(keep)])
