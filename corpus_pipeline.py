@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vocabshift.llm import decontam, langid, ngram_join, pii, subword
-from vocabshift.llm.common import map_rows, read_table, slices, stored
+from vocabshift.llm.common import map_rows, read_table, stored, text_slices
 
 
 def _columns(df: DataFrame) -> str:
@@ -35,11 +35,9 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            texts = batch.column(at).to_pylist()
-            keep: list[bool] = []
-            for a, b in slices(texts, langid.BATCH_CHARS, langid.BATCH_ROWS):
-                keep += [not rejected for *_, rejected in shared.value.predict(texts[a:b])]
-            yield batch.filter(pa.array(keep, pa.bool_()))
+            for part, texts in text_slices(batch, at, langid.BATCH_BYTES, langid.BATCH_ROWS):
+                keep = [not rejected for *_, rejected in shared.value.predict(texts)]
+                yield part.filter(pa.array(keep, pa.bool_()))
 
     return map_rows(docs, run, _columns(docs))
 

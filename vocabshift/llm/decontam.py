@@ -27,10 +27,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vocabshift.llm.common import map_rows, stored
+from vocabshift.llm.common import map_rows, stored, text_slices
 
 WINDOW = 10
 PATTERNS_PER_PASS = 200_000
+SLICE_BYTES, SLICE_ROWS = 4_000_000, 1_024
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 LOWER = {c: c + 32 for c in range(ord("A"), ord("Z") + 1)}
 
@@ -108,8 +109,7 @@ def _search(batches, patterns: dict[tuple[str, ...], list[str]], width: int, tex
     for p in patterns:
         by_length.setdefault(len(p), []).append(p)
     searchers = [Searcher(ps) for ps in by_length.values()]
-    for batch in batches:
-        texts = batch.column(text_at).to_pylist()
+    for batch, texts in (x for b in batches for x in text_slices(b, text_at, SLICE_BYTES, SLICE_ROWS)):
         later = batch.num_columns > width
         old_hits = batch.column(width + 1).to_pylist() if later else [[]] * len(texts)
         old_items = batch.column(width + 2).to_pylist() if later else [[]] * len(texts)

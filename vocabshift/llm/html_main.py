@@ -30,13 +30,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vocabshift.llm.common import map_rows
+from vocabshift.llm.common import map_rows, text_slices
 
 SAMPLE_PAGES = 400
 PRIOR_OTHER = -40.0
 PRIOR_ARTICLE = 4.0
 SMOOTHING = 0.5
 STEPS = 300
+SLICE_BYTES, SLICE_ROWS = 4_000_000, 1_024
 
 # Element kinds.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -346,11 +347,11 @@ def main_text(pages: DataFrame, model: Model, keep: tuple[str, ...] = ("page_id"
     source = pages.select(*[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)], F.col("html").alias("h"))
 
     def run(batches):
-        for batch in batches:
-            texts = [model.extract(h) for h in batch.column(len(keep)).to_pylist()]
+        for part, sources in (x for b in batches for x in text_slices(b, len(keep), SLICE_BYTES, SLICE_ROWS)):
+            texts = [model.extract(h) for h in sources]
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[: len(keep)], pa.array(texts, pa.string())],
-                [*batch.schema.names[: len(keep)], "text"],
+                [*part.columns[: len(keep)], pa.array(texts, pa.string())],
+                [*part.schema.names[: len(keep)], "text"],
             )
 
     base = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in source.schema.fields[: len(keep)])

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vocabshift.llm.common import id_remainder, map_rows, slices
+from vocabshift.llm.common import id_remainder, map_rows, text_slices
 
 DIMS = 4096
 SAMPLE = 400
@@ -36,7 +36,7 @@ ROUNDS = 12
 SLACK = 0.10
 CHANCE = 0.95
 SHARPNESS = 25.0
-BATCH_CHARS = 400_000
+BATCH_BYTES = 400_000
 BATCH_ROWS = 64
 
 _letters: np.ndarray | None = None
@@ -146,11 +146,10 @@ def _frequencies(batches):
     total = np.zeros(DIMS, np.int64)
     rows = 0
     for batch in batches:
-        texts = batch.column(0).to_pylist()
-        for a, b in slices(texts, BATCH_CHARS, BATCH_ROWS):
-            counts, _ = gram_counts(texts[a:b])
+        for _, texts in text_slices(batch, 0, BATCH_BYTES, BATCH_ROWS):
+            counts, _ = gram_counts(texts)
             total += (counts > 0).sum(axis=0)
-            rows += b - a
+            rows += len(texts)
     cells = [*range(DIMS), -1] if rows else []
     values = [*total.tolist(), rows] if rows else []
     yield pa.RecordBatch.from_arrays([pa.array(cells, pa.int32()), pa.array(values, pa.int64())], ["cell", "n"])
@@ -158,14 +157,14 @@ def _frequencies(batches):
 
 def _sampled(batches):
     for batch in batches:
-        texts, langs = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-        for a, b in slices(texts, BATCH_CHARS, BATCH_ROWS):
-            counts, has = gram_counts(texts[a:b])
-            rows = [i for i in range(b - a) if has[i]]
+        for part, texts in text_slices(batch, 0, BATCH_BYTES, BATCH_ROWS):
+            langs = part.column(1).to_pylist()
+            counts, has = gram_counts(texts)
+            rows = [i for i in range(len(texts)) if has[i]]
             cells = [np.flatnonzero(counts[i]).astype(np.int32) for i in rows]
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array([langs[a + i] for i in rows], pa.string()),
+                    pa.array([langs[i] for i in rows], pa.string()),
                     pa.array(cells, pa.list_(pa.int32())),
                     pa.array([counts[i][c].astype(np.int32) for i, c in zip(rows, cells, strict=True)], pa.list_(pa.int32())),
                 ],
@@ -229,16 +228,13 @@ def identify(documents: DataFrame, model: Model, keep: tuple[str, ...], text_col
 
     def run(batches):
         for batch in batches:
-            texts = batch.column(len(keep)).to_pylist()
-            out: list[tuple] = []
-            for a, b in slices(texts, BATCH_CHARS, BATCH_ROWS):
-                out += model.predict(texts[a:b])
-            cols = list(zip(*out, strict=True)) if out else [[], [], [], []]
-            kinds = [pa.string(), pa.float64(), pa.float64(), pa.bool_()]
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns[: len(keep)], *[pa.array(c, k) for c, k in zip(cols, kinds, strict=True)]],
-                [*batch.schema.names[: len(keep)], "lang_pred", "score", "distance", "rejected"],
-            )
+            for part, texts in text_slices(batch, len(keep), BATCH_BYTES, BATCH_ROWS):
+                cols = zip(*model.predict(texts), strict=True)
+                kinds = [pa.string(), pa.float64(), pa.float64(), pa.bool_()]
+                yield pa.RecordBatch.from_arrays(
+                    [*part.columns[: len(keep)], *[pa.array(c, k) for c, k in zip(cols, kinds, strict=True)]],
+                    [*part.schema.names[: len(keep)], "lang_pred", "score", "distance", "rejected"],
+                )
 
     base = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[: len(keep)])
     schema = (base + ", " if base else "") + "lang_pred string, score double, distance double, rejected boolean"

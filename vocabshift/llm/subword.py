@@ -39,7 +39,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vocabshift.llm.common import map_rows, slices, stored
+from vocabshift.llm.common import map_rows, stored, text_slices
 
 MARK = "▁"
 MODEL_FILE = "/opt/tokenizers/piece_bpe_32k.model"
@@ -53,7 +53,7 @@ NEVER = -(1 << 60)
 LATIN = 0x250
 WORDS_AT_ONCE = 20_000
 LONGEST_WORD = 64
-SLICE_CHARS, SLICE_ROWS, SLICE_IDS = 1_500_000, 4_096, 500_000
+SLICE_BYTES, SLICE_ROWS, SLICE_IDS = 1_500_000, 4_096, 500_000
 WORD = re.compile(rf"{MARK}+[^{MARK}]*")
 
 
@@ -563,12 +563,10 @@ def encode(
     def run(batches):
         own = shared.value
         for batch in batches:
-            texts = batch.column(n).to_pylist()
-            for a, b in slices(texts, SLICE_CHARS, SLICE_ROWS):
-                kept = [c.slice(a, b - a) for c in batch.columns[:n]]
-                some = [None if t is None else marked(t) if t else "" for t in texts[a:b]]
+            for part, texts in text_slices(batch, n, SLICE_BYTES, SLICE_ROWS):
+                some = [None if t is None else marked(t) if t else "" for t in texts]
                 ids = _ids_array(own.encode_bytes(some))
-                yield pa.RecordBatch.from_arrays([*kept, ids], [*batch.schema.names[:n], "ids"])
+                yield pa.RecordBatch.from_arrays([*part.columns[:n], ids], [*part.schema.names[:n], "ids"])
 
     schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in source.schema.fields[:n]) + "ids array<int>"
     ordinary = map_rows(source.where(~F.coalesce(giant, F.lit(False))), run, schema)
