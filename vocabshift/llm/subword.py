@@ -46,7 +46,7 @@ MODEL_FILE = "/opt/tokenizers/piece_bpe_32k.model"
 CHUNK = 32_768
 SNAP = 1_024
 FAN = 256
-REMEMBERED = 400_000
+REMEMBERED = 250_000
 POINT = 1 << 10
 UNKNOWN_PENALTY = 10
 NEVER = -(1 << 60)
@@ -78,6 +78,12 @@ class Vocabulary:
     def __getstate__(self):
         return {**self.__dict__, "table": {}, "words": {}, "arrays": []}
 
+    def release(self) -> None:
+        """Forget what a task built; a worker outlives its tasks, and other work needs the memory."""
+        self.table.clear()
+        self.words.clear()
+        self.arrays.clear()
+
     def lookup(self) -> dict:
         """Piece -> (id, score); proper prefixes of pieces that are none themselves -> None."""
         if not self.table:
@@ -446,8 +452,8 @@ def _scan(items: DataFrame, last: int, join_two, apply, first: bytes, backwards:
     return seeded.groupBy("row", "g").applyInPandas(inside, "row string, idx long, state binary")
 
 
-def _per_chunk(chunks: DataFrame, fn, column: str, kind: pa.DataType, spark_kind: str) -> DataFrame:
-    """(row, idx, ``column``) by a function of a chunk row."""
+def _per_chunk(chunks: DataFrame, shared, fn, column: str, kind: pa.DataType, spark_kind: str) -> DataFrame:
+    """(row, idx, ``column``) by a function of the vocabulary and a chunk row."""
 
     def run(batches):
         for rows in (b.slice(i, 16).to_pylist() for b in batches for i in range(0, b.num_rows, 16)):
@@ -455,10 +461,11 @@ def _per_chunk(chunks: DataFrame, fn, column: str, kind: pa.DataType, spark_kind
                 [
                     pa.array([r["row"] for r in rows], pa.string()),
                     pa.array([r["idx"] for r in rows], pa.int64()),
-                    pa.array([fn(r) for r in rows], kind),
+                    pa.array([fn(shared.value, r) for r in rows], kind),
                 ],
                 ["row", "idx", column],
             )
+        shared.value.release()
 
     return map_rows(chunks, run, f"row string, idx long, {column} {spark_kind}")
 
@@ -476,7 +483,7 @@ def encode_giant(giant: DataFrame, vocabulary: Vocabulary, n_keep: int, chunk: i
     square = lambda b: vec(b).reshape(width, width)
 
     parts = lambda r: (r["context"], r["body"], r["clean"], r["clean_end"])
-    ops = _per_chunk(chunks, lambda r: _int64s(transfer(shared.value, *parts(r))), "op", pa.binary(), "binary")
+    ops = _per_chunk(chunks, shared, lambda v, r: _int64s(transfer(v, *parts(r))), "op", pa.binary(), "binary")
     start = np.full(width, NEVER, np.int64)
     start[0] = 0
     forward = stored(
@@ -493,7 +500,7 @@ def encode_giant(giant: DataFrame, vocabulary: Vocabulary, n_keep: int, chunk: i
     same = np.zeros(width, np.int64)  # from a clean start every backtrace leaves in state 0
     unclean = chunks.where("not clean").drop(*names).join(forward, ["row", "idx"])
     maps = _per_chunk(
-        unclean, lambda r: _int64s(back_map(shared.value, *parts(r), vec(r["state"]))), "op", pa.binary(), "binary"
+        unclean, shared, lambda v, r: _int64s(back_map(v, *parts(r), vec(r["state"]))), "op", pa.binary(), "binary"
     ).unionByName(chunks.where("clean").select("row", "idx", F.lit(_int64s(same)).alias("op")))
     # backwards, a state is the end state of an item: over an item, s becomes its map at s
     ends = _scan(
@@ -507,7 +514,8 @@ def encode_giant(giant: DataFrame, vocabulary: Vocabulary, n_keep: int, chunk: i
     states = forward.join(ends.withColumnRenamed("state", "end"), ["row", "idx"])
     traced = _per_chunk(
         chunks.drop(*names).join(states, ["row", "idx"]),
-        lambda r: chunk_ids(shared.value, *parts(r), vec(r["state"]), int(vec(r["end"])[0])),
+        shared,
+        lambda v, r: chunk_ids(v, *parts(r), vec(r["state"]), int(vec(r["end"])[0])),
         "ids",
         pa.list_(pa.int32()),
         "array<int>",
@@ -562,11 +570,11 @@ def encode(
 
     def run(batches):
         own = shared.value
-        for batch in batches:
-            for part, texts in text_slices(batch, n, SLICE_BYTES, SLICE_ROWS):
-                some = [None if t is None else marked(t) if t else "" for t in texts]
-                ids = _ids_array(own.encode_bytes(some))
-                yield pa.RecordBatch.from_arrays([*part.columns[:n], ids], [*part.schema.names[:n], "ids"])
+        for part, texts in (x for b in batches for x in text_slices(b, n, SLICE_BYTES, SLICE_ROWS)):
+            some = [None if t is None else marked(t) if t else "" for t in texts]
+            ids = _ids_array(own.encode_bytes(some))
+            yield pa.RecordBatch.from_arrays([*part.columns[:n], ids], [*part.schema.names[:n], "ids"])
+        own.release()
 
     schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in source.schema.fields[:n]) + "ids array<int>"
     ordinary = map_rows(source.where(~F.coalesce(giant, F.lit(False))), run, schema)
