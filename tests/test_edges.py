@@ -1,5 +1,6 @@
 """Edge rows: the easy-to-get-wrong semantics, one small table each."""
 
+import pytest
 from helpers import COUNTS, ITEMS, df, maps, rows, vocab
 
 from vocabshift import cohort_pair_report, normalise_items, vocabulary_change_report
@@ -156,12 +157,33 @@ def test_pair_renamed_set_and_two_new_cohorts(spark):
     assert ("a", 100, "Removed", 107) in got and ("a", 100, "Removed", 207) in got
 
 
-def test_person_flags_dedup_path_equals_broadcast_path(spark):
+def test_person_flags_with_and_without_broadcast(spark):
     diff = df(spark, [(7, 100, "same"), (7, 101, "added"), (8, 100, "removed")],
               "cohort_definition_id bigint, concept_id bigint, concept_type string")
     events = df(spark, [(1, 100), (1, 100), (1, 101), (2, 100), (None, 101)], "person_id bigint, source_concept_id bigint")
     a = rows(S.person_flags(events, diff, small=True))
     b = rows(S.person_flags(events, diff, small=False))
-    c = rows(S.person_flags(events, diff, small=False, salt_buckets=3))
-    assert a == b == c
+    assert a == b
     assert (7, 1, 1, 1, 0) in a
+
+
+def test_source_vocabularies_none_means_all_and_empty_is_an_error(spark):
+    old, new = _two_set_vocabs(spark)
+    items = df(spark, [(1, 0, 0, 1, "a", 7, "c")], ITEMS)
+    counts = df(spark, [(100, 5, 5)], COUNTS)
+    assert vocabulary_change_report(items, old, new, counts, included_source_vocabs=None)["mapping_diff"].count() == 1
+    for wrong in ([], 0, "ICD10CM"):
+        with pytest.raises(ValueError, match="included_source_vocabs"):
+            vocabulary_change_report(items, old, new, counts, included_source_vocabs=wrong)
+    with pytest.raises(ValueError, match="unknown reports"):
+        vocabulary_change_report(items, old, new, counts, reports=["cohort_stats"])
+
+
+def test_duplicate_count_rows_repeat_old_targets(spark):
+    concepts = [_std(1), _std(2), _src(100)]
+    old = vocab(spark, concepts, [(1, 1), (2, 2)], maps(100, 1))
+    new = vocab(spark, concepts, [(1, 1), (2, 2)], maps(100, 2))
+    items = df(spark, [(1, 0, 0, 1, "a", 7, "c")], ITEMS)
+    counts = df(spark, [(100, 5, 5), (100, 5, 9)], COUNTS)
+    got = vocabulary_change_report(items, old, new, counts)["mapping_diff"].collect()
+    assert [(r.old_mapped_concept_id, r.new_mapped_concept_id) for r in got] == [("1-1", "2")]

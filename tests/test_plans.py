@@ -35,22 +35,74 @@ def no_auto_broadcast(spark):
             spark.conf.set(k, v)
 
 
-def test_event_join_is_broadcast_and_not_shuffled_by_code(spark, no_auto_broadcast):
+def test_events_are_filtered_by_code_below_their_first_shuffle(spark, no_auto_broadcast):
     fx = Fixtures(spark, SMALL_SF)
     old_vc = resolve_concepts(fx.items, fx.old, EXCLUDED_NODES)
     new_vc = resolve_concepts(fx.items, fx.new, EXCLUDED_NODES)
     diff = S.concept_diff(S.concept_pool(old_vc, new_vc, fx.old, fx.new, INCLUDED_SOURCE_VOCABS))
-    events = S.union_events(fx.event_tables)
-    plan = _plan(S.person_flags(events, diff))
+    plan = _plan(S.person_flags(S.union_events(fx.event_tables), diff, small=True))
     tree = plan.split("\n\n(1)")[0]
-    # the union of the event branches is the streamed side of a broadcast hash join
-    join_line = re.search(r"^(\s*)\+- BroadcastHashJoin Inner BuildRight \(\d+\)$", tree, re.M)
-    assert join_line
-    after = tree[join_line.end():].lstrip("\n").splitlines()[0]
-    assert after.strip().startswith(":- Union")
-    # no hash-partitioning on the code: the first shuffle above the events is on (cohort, person)
+    # the union of the event branches is the streamed side of the semi join on the codes
+    semi = re.search(r"^(\s*)\+- BroadcastHashJoin LeftSemi BuildRight \(\d+\)$", tree, re.M)
+    assert semi and tree[semi.end() :].lstrip("\n").splitlines()[0].strip().startswith(":- Union")
+    # events are shuffled as distinct pairs and as (cohort, person), never by code
     exchanges = re.findall(r"Exchange \(\d+\)\nInput \[\d+\]: \[.*?\]\nArguments: hashpartitioning\((.*?)\)", plan)
-    assert all("source_concept_id" not in e for e in exchanges)
+    assert any("person_id" in e and "source_concept_id" in e for e in exchanges)
+    assert not any(e.startswith("source_concept_id") for e in exchanges)
+
+
+def _jobs(spark, build) -> list[int]:
+    """Jobs that building starts."""
+    group = f"build-{id(build)}"
+    spark.sparkContext.setJobGroup(group, "build")
+    try:
+        build()
+        return list(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+REPORTS = ("nonstandard_nodes_report", "mapping_diff", "domain_change_report", "cohort_stats", "pair_mapping_diff", "pair_domain_change")
+
+
+@pytest.mark.parametrize("name", REPORTS)
+def test_building_a_report_starts_no_job_and_leaves_nothing(spark, tables, name):
+    spark.catalog.clearCache()
+    assert _jobs(spark, lambda: QUERIES[name](spark, tables)) == []
+    QUERIES[name](spark, tables).count()
+    assert spark.sparkContext._jsc.getPersistentRDDs().isEmpty()
+
+
+def test_only_shared_sides_are_persisted_and_released(spark, tables):
+    from vocabshift import vocabulary_change_report
+    from vocabshift.sources.fixtures import inputs_for
+
+    spark.catalog.clearCache()
+    fx = inputs_for(spark, tables)
+    with vocabulary_change_report(fx.items, fx.old, fx.new, fx.concept_count, fx.event_tables) as reports:
+        for name in reports:
+            reports[name].count()
+        assert len(reports.held) == 2
+    assert spark.sparkContext._jsc.getPersistentRDDs().isEmpty()
+
+
+def test_mapping_report_scans_each_table_once_per_use(spark, tables):
+    scans = _scans(_plan(QUERIES["mapping_diff"](spark, tables)))
+    assert sum("concept_count" in s for s in scans) == 1
+    named = [s for s in scans if "concept_name" in s]
+    assert len(named) <= 3  # details and new targets, old targets
+
+
+def test_node_report_reads_the_relationships_once(spark, tables):
+    scans = _scans(_plan(QUERIES["nonstandard_nodes"](spark, tables)))
+    assert sum("relationship_new" in s for s in scans) == 1
+
+
+def test_reports_are_sorted_by_more_than_one_column(spark, tables):
+    for name in REPORTS:
+        plan = _plan(QUERIES[name](spark, tables))
+        order = re.findall(r"Arguments: rangepartitioning\((.*?)\)", plan)
+        assert order and all(o.count(" NULLS ") > 1 for o in order), name
 
 
 @pytest.fixture(scope="module")

@@ -68,16 +68,15 @@ def test_materialize_modes_give_same_reports(fx, mode):
     assert base.held == []
 
 
-def test_salted_event_join_equals_broadcast_join(fx):
+def test_event_join_with_and_without_broadcast(fx):
     from vocabshift.operators import stats as S
 
     old_vc = R.resolve_concepts(fx.items, fx.old, EXCLUDED_NODES)
     new_vc = R.resolve_concepts(fx.items, fx.new, EXCLUDED_NODES)
     diff = S.concept_diff(S.concept_pool(old_vc, new_vc, fx.old, fx.new, INCLUDED_SOURCE_VOCABS))
     events = S.union_events(fx.event_tables)
-    assert rows(S.person_flags(events, diff, small=True)) == rows(
-        S.person_flags(events, diff, small=False, salt_buckets=7)
-    )
+    assert rows(S.person_flags(events, diff, small=True)) == rows(S.person_flags(events, diff, small=False))
+    assert rows(S.matched_events(events, diff, small=True)) == rows(S.matched_events(events, diff, small=False))
 
 
 @pytest.mark.parametrize("changed_only", [False, True])
@@ -112,7 +111,7 @@ def test_summary_from_flags_equals_histogram_form(spark):
 
 
 def test_reports_equal_when_no_side_may_be_broadcast(spark, fx):
-    """Every size check fails (bound 0): shuffle joins and the salted event join give the same reports."""
+    """With a bound of 0 bytes no side gets a hint, and the reports are the same."""
     from vocabshift import cohort_pair_report
     from vocabshift.plans.broadcast import CONF_KEY
 

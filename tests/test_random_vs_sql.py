@@ -49,7 +49,7 @@ EVENT_TABLES = [
 
 def _draw(seed: int) -> dict[str, tuple[list, list]]:
     rnd = random.Random(seed)
-    std = list(range(1, 26))
+    std = list(range(20, 46))
     src = list(range(1001, 1031))
     domains = ["Condition", "Drug", "Observation", None]
 
@@ -95,7 +95,7 @@ def _draw(seed: int) -> dict[str, tuple[list, list]]:
     for _ in range(30):
         cohort = rnd.choice([7, 8])
         sid = rnd.choice([1, 2])
-        items.append((rnd.choice(std + [12, 13, 77]), rnd.choice([0, 0, 0, 0, 1, None, 2]), rnd.choice([0, 1, 1, 1, None]),
+        items.append((rnd.choice(std + [36, 39, 77]), rnd.choice([0, 0, 0, 0, 1, None, 2]), rnd.choice([0, 1, 1, 1, None]),
                       sid, f"s{sid}", cohort, None if cohort == 8 and rnd.random() < 0.5 else f"c{cohort}"))
     items += items[:2]  # duplicates
     updated = [(c, e, d, sid, name, cohort + 100, cname) for c, e, d, sid, name, cohort, cname in items

@@ -8,7 +8,9 @@ from helpers import ITEMS, df, rows
 
 from vocabshift.session import checkpoint_dir
 from vocabshift.sinks.reports import read_report, write_reports
+from vocabshift.sources import documents as DOCUMENTS
 from vocabshift.sources import items as I
+from vocabshift.sources import tables as T
 
 
 def _scratch(spark):
@@ -50,14 +52,16 @@ def test_read_definitions_from_files(spark):
     ]
     requested = spark.createDataFrame([(1,), (2,), (3,)], "cohortid bigint")
     assert rows(I.missing_cohorts(requested, defs)) == [(3,)]
-    assert rows(I.concept_set_items(defs, cohort_ids=[2])) == []
+    only = lambda i: spark.createDataFrame([(i,), (99,)], "cohortid bigint")
+    assert rows(I.concept_set_items(defs, only(2))) == []
+    assert rows(I.concept_set_items(defs, only(1))) == got
 
 
 def test_definition_round_trip(spark):
     items = df(spark, [(10, 0, 1, 0, "a", 1, "one"), (11, 1, 0, 0, "a", 1, "one"), (12, 0, 0, 5, "b", 2, "two")], ITEMS)
-    back = I.concept_set_items(I.parse_cohort_definitions(I.to_cohort_definitions(items)))
+    back = I.concept_set_items(I.parse_cohort_definitions(DOCUMENTS.to_cohort_definitions(items)))
     assert rows(back.drop("createddate")) == rows(items)
-    lib = I.to_library_concept_sets(items)
+    lib = DOCUMENTS.to_library_concept_sets(items)
     log = spark.createDataFrame([(1, "one", "2024-01-01")], "cohortId bigint, cohortName string, createdDate string")
     got = rows(I.library_items(lib, log))
     assert got == [(10, 0, 1, 0, "a", 1, "one", "2024-01-01"), (11, 1, 0, 0, "a", 1, "one", "2024-01-01")]
@@ -76,11 +80,11 @@ def test_write_reports_parquet_and_csv(spark):
 
 def test_documents_are_cut_into_bounded_parts(spark):
     items = df(spark, [(i, i % 2, 1, i % 3, f"s{i % 3}", 1 + i % 2, f"c{1 + i % 2}") for i in range(1, 40)], ITEMS)
-    docs = I.to_cohort_definitions(items, ids_per_document=5)
+    docs = DOCUMENTS.to_cohort_definitions(items, ids_per_document=5)
     assert docs.count() > 2
     parsed = I.parse_cohort_definitions(docs)
     assert rows(I.concept_set_items(parsed).drop("createddate")) == rows(items)
-    lib = I.to_library_concept_sets(items, ids_per_document=5)
+    lib = DOCUMENTS.to_library_concept_sets(items, ids_per_document=5)
     log = spark.createDataFrame([(1, "c1", "d"), (2, "c2", "d")], "cohortId bigint, cohortName string, createdDate string")
     assert rows(I.library_items(lib, log).drop("createddate")) == rows(items)
 
@@ -100,3 +104,34 @@ def test_write_a_report_set(spark):
     for name, path in paths.items():
         assert read_report(spark, path).count() == reports[name].count()
     reports.close()
+
+
+def test_readers_of_catalog_tables_and_delimited_text(spark):
+    name = f"release_{uuid.uuid4().hex[:8]}"
+    spark.sql(f"CREATE DATABASE {name}")
+    try:
+        concept = "CONCEPT_ID string, Concept_Name string, domain_id string, vocabulary_id string, standard_concept string, concept_code string, extra int"
+        df(spark, [("7", 'the "x" test', "Drug", "V", None, "c", 1)], concept).write.saveAsTable(f"{name}.concept")
+        df(spark, [(7, 7)], "ancestor_concept_id int, descendant_concept_id int").write.saveAsTable(f"{name}.concept_ancestor")
+        df(spark, [(7, 7, "Maps to", None)], "concept_id_1 int, concept_id_2 int, relationship_id string, invalid_reason string").write.saveAsTable(f"{name}.concept_relationship")
+        vocab = T.read_vocabulary(spark, name, "table")
+        assert rows(vocab.concept) == [(7, 'the "x" test', "Drug", "V", None, "c")]
+        assert dict(vocab.ancestor.dtypes) == {"ancestor_concept_id": "bigint", "descendant_concept_id": "bigint"}
+        base = _scratch(spark)
+        spark.table(f"{name}.concept").write.option("header", True).option("sep", "\t").option("quote", "").csv(f"{base}/concept")
+        for table in ("concept_ancestor", "concept_relationship"):
+            spark.table(f"{name}.{table}").write.option("header", True).option("sep", "\t").csv(f"{base}/{table}")
+        text = T.read_vocabulary(spark, base, "tsv")
+        for part in ("concept", "ancestor", "relationship"):
+            assert rows(getattr(text, part)) == rows(getattr(vocab, part))
+    finally:
+        spark.sql(f"DROP DATABASE {name} CASCADE")
+
+
+def test_readers_name_what_a_table_lacks(spark):
+    import pytest
+
+    base = _scratch(spark)
+    df(spark, [(1, 2)], "concept_id bigint, record_count bigint").write.parquet(base)
+    with pytest.raises(ValueError, match="descendant_record_count"):
+        T.read_counts(spark, base)

@@ -136,8 +136,10 @@ def normalise_items(items: DataFrame) -> DataFrame:
     return items.select(*cols)
 
 
-def as_list(values: Sequence | None) -> list | None:
-    """Parameter list helper: ``None`` stays ``None`` (= no filter)."""
+def source_vocabularies(values: Sequence[str] | None) -> list[str] | None:
+    """The source vocabularies of a report; ``None`` means all of them, an empty list or a non-list is an error."""
     if values is None:
         return None
+    if isinstance(values, (str, int)) or not list(values):
+        raise ValueError("included_source_vocabs must be a non-empty list of vocabulary ids, or None for all of them")
     return list(values)

@@ -10,7 +10,8 @@ version (``Removed``) or only in the new one (``Added``).  The one-pass
 form tags both sides, groups once on ``keys + source_concept_id`` and keeps
 groups seen on exactly one side: one shuffle (after map-side partial
 aggregation) instead of two ``EXCEPT`` plans.  Grouping treats NULL keys as
-equal, exactly like the set difference.
+equal, exactly like the set difference.  A concept that a large share of all
+codes map to makes a skewed join partition; AQE splits it.
 """
 
 from __future__ import annotations

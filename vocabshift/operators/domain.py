@@ -77,4 +77,10 @@ def domain_change(
             F.coalesce(F.col("record_count"), F.lit(0).cast("bigint")).alias("source_concept_record_count"),
         )
     )
-    return out.orderBy(F.col("source_concept_record_count").desc()) if sort else out
+    return out.orderBy(*report_order(keys)) if sort else out
+
+
+def report_order(keys: Sequence[str] = SET_KEYS) -> list:
+    """Largest source record count first; the other columns split ties."""
+    ties = ("concept_id", "source_vocabulary_id", "source_concept_code", "source_concept_name")
+    return [F.col("source_concept_record_count").desc(), *keys, *ties]

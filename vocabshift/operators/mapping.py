@@ -17,7 +17,7 @@ from collections.abc import Iterable, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.aggregate import ordered_join_columns
+from ..functions.aggregate import join_field, ordered_join_columns, sorted_struct_list
 from ..functions.columns import is_in
 from ..model import MAPS_TO, SET_KEYS, Vocabulary
 
@@ -121,7 +121,25 @@ def mapping_diff(
             F.coalesce(F.col("old_mapped_concept_id"), F.lit(""))
             != F.coalesce(F.col("new_mapped_concept_id"), F.lit(""))
         )
-    return out.orderBy(F.col("record_count").desc()) if sort else out
+    return out.orderBy(*report_order(keys)) if sort else out
+
+
+def report_order(keys: Sequence[str] = SET_KEYS) -> list:
+    """Largest record count first; set and code split ties."""
+    return [F.col("record_count").desc(), *keys, "source_concept_id", "action"]
+
+
+def target_lists(codes: DataFrame, vocab: Vocabulary, name: str) -> DataFrame:
+    """``_code, <name>``: the ordered targets of every code in ``codes`` (column ``_code``).
+
+    The edges are filtered by the codes before they meet the concept table, and gathered once per code, however many
+    sets hold it.  A code's array holds its own targets only; a code without a target has no row.
+    """
+    edges = vocab.edges(MAPS_TO).select(F.col("concept_id_1").alias("_from"), F.col("concept_id_2").alias("_to"))
+    edges = edges.join(codes, F.col("_from") == F.col("_code"), "left_semi")
+    targets = edges.join(vocab.concept.select(*TARGET_COLUMNS), F.col("_to") == F.col("concept_id"), "left")
+    lists = targets.groupBy("_from").agg(sorted_struct_list("concept_id", TARGET_COLUMNS).alias(name))
+    return lists.withColumnRenamed("_from", "_code")
 
 
 def mapping_diff_one_pass(
@@ -134,30 +152,35 @@ def mapping_diff_one_pass(
     changed_only: bool = False,
     sort: bool = True,
 ) -> DataFrame:
-    """Same rows as ``mapping_diff(aggregate(mapping_old), aggregate(mapping_new))``, one aggregation.
-
-    Old-target rows (one per source-detail row and old target) and
-    new-target rows (one per distinct key row and new target) are tagged
-    and grouped once on the report keys; each side's lists are built from
-    its own rows.  The new side starts from the distinct keys, so duplicate
-    count or concept rows repeat old targets exactly as the two-sided form
-    does, and new targets never.  This saves the two aggregated sides'
-    shuffle for the NULL-safe join.
+    """Same rows as ``mapping_diff(aggregate(mapping_old), aggregate(mapping_new))``, lists built once per code.
+
+    The report rows are the differing codes with their details; a row that duplicate count or concept rows repeat
+    repeats each of its old targets as often, as the two-sided form does.  Old and new target lists depend on the
+    code alone, so they are built per code and joined to the rows.
     """
     group = old_aggregate_keys(keys)
-    base = source_details(dif, new, counts, keys, included_source_vocabs)
-    old_rows = with_targets(base, old).withColumn("_side", F.lit("old"))
-    new_rows = with_targets(base.select(*group).distinct(), new).withColumn("_side", F.lit("new"))
-    rows = old_rows.select(*group, *TARGET_COLUMNS, "_side").unionByName(
-        new_rows.select(*group, *TARGET_COLUMNS, "_side")
+    base = source_details(dif, new, counts, keys, included_source_vocabs).groupBy(*group).agg(F.count("*").alias("_times"))
+    codes = dif.select(F.col("source_concept_id").alias("_code")).distinct()
+    lists = (
+        codes.join(target_lists(codes, old, "_old"), "_code", "left")
+        .join(target_lists(codes, new, "_new"), "_code", "left")
+        .select("_code", "_old", "_new")
+    )
+    # no target: one row of NULLs, as of a left join
+    missing = F.array(F.struct(F.lit(True).alias("_null"), *[F.lit(None).cast("string").alias(c) for c in TARGET_COLUMNS]))
+    text = lambda c: F.transform(
+        c, lambda t: F.struct(t["_null"].alias("_null"), *[t[x].cast("string").alias(x) for x in TARGET_COLUMNS])
     )
-    out = rows.groupBy(*group).agg(
-        *ordered_join_columns("concept_id", TARGET_COLUMNS, "old_mapped_", where=F.col("_side") == "old"),
-        *ordered_join_columns("concept_id", TARGET_COLUMNS, "new_mapped_", where=F.col("_side") == "new"),
+    repeated = F.flatten(F.transform(F.coalesce(text(F.col("_old")), missing), lambda t: F.array_repeat(t, F.col("_times").cast("int"))))
+    shown = F.coalesce(text(F.col("_new")), missing)
+    out = base.join(lists, F.col("source_concept_id") == F.col("_code")).select(
+        *group,
+        *[join_field(repeated, c).alias(f"old_mapped_{c}") for c in TARGET_COLUMNS],
+        *[join_field(shown, c).alias(f"new_mapped_{c}") for c in TARGET_COLUMNS],
     )
     if changed_only:
         out = out.where(
             F.coalesce(F.col("old_mapped_concept_id"), F.lit(""))
             != F.coalesce(F.col("new_mapped_concept_id"), F.lit(""))
         )
-    return out.orderBy(F.col("record_count").desc()) if sort else out
+    return out.orderBy(*report_order(keys)) if sort else out

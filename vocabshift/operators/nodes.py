@@ -7,12 +7,11 @@ targets.  The two target lists are independent LEFT joins, so a node with
 *m* and *n* targets yields *m x n* rows; that fan-out is the report's
 meaning and is not de-duplicated.
 
-Plan: the items are size-checked and broadcast into one scan of
-``concept``; their distinct ids (bounded by the items) are broadcast as
-semi-join filters into the count and relationship scans, and the edges'
-target ids (count checked) into the concept scan for the names.
-The large vocabulary tables are filtered map-side and never shuffled;
-everything after the filters is small.
+Plan: the non-standard concepts among the items' nodes are found first, with one
+scan of ``concept``; their ids, a subset of the items' ids, filter one scan of
+the counts and one of the relationships.  A node's valid edges of both types
+are gathered into one row per node, so they are read once and the fan-out is
+two ``explode``s.  Everything after the filters is as small as the items are.
 """
 
 from __future__ import annotations
@@ -37,29 +36,22 @@ NODE_COLUMNS = (
 
 
 def node_targets(vocab: Vocabulary, node_ids: DataFrame, small: bool) -> DataFrame:
-    """Valid ``Maps to`` / ``Maps to value`` edges of the nodes with target names.
+    """``_node, maps_to, maps_to_value``: the valid targets (id, name) of every node that has some.
 
-    One scan of the relationship table (both edge types, filtered map-side by
-    the broadcast node ids) and one scan of the concept table (filtered by the
-    edges' target ids, broadcast once their count has been checked).  Columns:
-    ``_node, relationship_id, _target_id, _target_name``; the target columns
-    are NULL when the target id is missing from ``concept``.
+    The id and name are NULL where the target is missing from ``concept``.
     """
     edges = (
         vocab.relationship.where(
             F.col("relationship_id").isin(MAPS_TO, MAPS_TO_VALUE) & F.col("invalid_reason").isNull()
         )
-        .select("concept_id_1", "concept_id_2", "relationship_id")
-        .join(broadcast_if(node_ids, small), F.col("concept_id_1") == F.col("_nid"), "left_semi")
-    )
-    target_ids = edges.select(F.col("concept_id_2").alias("_tid")).distinct()
-    names = vocab.concept.select(F.col("concept_id").alias("_target_id"), F.col("concept_name").alias("_target_name"))
-    names = names.join(
-        broadcast_if(target_ids, small and fits(target_ids)), F.col("_target_id") == F.col("_tid"), "left_semi"
-    )
-    return edges.join(names, F.col("concept_id_2") == F.col("_target_id"), "left").select(
-        F.col("concept_id_1").alias("_node"), "relationship_id", "_target_id", "_target_name"
+        .select(F.col("concept_id_1").alias("_node"), F.col("concept_id_2").alias("_to"), "relationship_id")
+        .join(broadcast_if(node_ids, small), F.col("_node") == F.col("_nid"), "left_semi")
     )
+    names = vocab.concept.select(F.col("concept_id").alias("id"), F.col("concept_name").alias("name"))
+    target = F.struct("id", "name")
+    of = lambda kind: F.collect_list(F.when(F.col("relationship_id") == kind, target))
+    named = edges.join(names, F.col("_to") == F.col("id"), "left")
+    return named.groupBy("_node").agg(of(MAPS_TO).alias("maps_to"), of(MAPS_TO_VALUE).alias("maps_to_value"))
 
 
 def nonstandard_nodes(
@@ -76,28 +68,18 @@ def nonstandard_nodes(
     cn = new.concept.where(F.col("standard_concept").isNull()).select(
         F.col("concept_id").alias("node_concept_id"), F.col("concept_name").alias("node_concept_name")
     )
-    nodes = cn.join(broadcast_if(it, small), F.col("node_concept_id") == F.col("conceptid")).drop("conceptid")
-    # The lookups below are filtered by the item ids (a checked-small superset of the
-    # non-standard node ids that needs no concept scan); the final LEFT joins to
-    # ``nodes`` keep exactly the non-standard ones.
-    node_ids = items.select(F.col("conceptid").alias("_nid")).distinct()
-
+    wanted = items.select(F.col("conceptid").alias("_wanted")).distinct()
+    nodes = cn.join(broadcast_if(wanted, small), F.col("node_concept_id") == F.col("_wanted"), "left_semi")
+    node_ids = nodes.select(F.col("node_concept_id").alias("_nid")).distinct()
     drc = counts.select(F.col("concept_id").alias("_cnt_node"), "descendant_record_count").join(
         broadcast_if(node_ids, small), F.col("_cnt_node") == F.col("_nid"), "left_semi"
     )
-    targets = node_targets(new, node_ids, small)
-
-    def side(relationship_id: str, prefix: str) -> DataFrame:
-        return targets.where(F.col("relationship_id") == relationship_id).select(
-            F.col("_node").alias(f"_{prefix}_node"),
-            F.col("_target_id").alias(f"{prefix}_concept_id"),
-            F.col("_target_name").alias(f"{prefix}_concept_name"),
-        )
-
     out = (
-        nodes.join(drc, F.col("node_concept_id") == F.col("_cnt_node"), "left")
-        .join(side(MAPS_TO, "maps_to"), F.col("node_concept_id") == F.col("_maps_to_node"), "left")
-        .join(side(MAPS_TO_VALUE, "maps_to_value"), F.col("node_concept_id") == F.col("_maps_to_value_node"), "left")
+        it.join(nodes, F.col("node_concept_id") == F.col("conceptid"))
+        .join(drc, F.col("node_concept_id") == F.col("_cnt_node"), "left")
+        .join(node_targets(new, node_ids, small), F.col("node_concept_id") == F.col("_node"), "left")
+        .withColumn("_to", F.explode_outer("maps_to"))
+        .withColumn("_value", F.explode_outer("maps_to_value"))
         .select(
             *keys,
             "isexcluded",
@@ -105,10 +87,16 @@ def nonstandard_nodes(
             "node_concept_id",
             "node_concept_name",
             F.coalesce(F.col("descendant_record_count"), F.lit(0).cast("bigint")).alias("drc"),
-            "maps_to_concept_id",
-            "maps_to_concept_name",
-            "maps_to_value_concept_id",
-            "maps_to_value_concept_name",
+            F.col("_to.id").alias("maps_to_concept_id"),
+            F.col("_to.name").alias("maps_to_concept_name"),
+            F.col("_value.id").alias("maps_to_value_concept_id"),
+            F.col("_value.name").alias("maps_to_value_concept_name"),
         )
     )
-    return out.orderBy(F.col("drc").desc()) if sort else out
+    return out.orderBy(*report_order(keys)) if sort else out
+
+
+def report_order(keys: Sequence[str] = SET_KEYS) -> list:
+    """Largest descendant record count first; the other columns split ties, so no range holds all zeros."""
+    ties = ("node_concept_id", "isexcluded", "includedescendants", "maps_to_concept_id", "maps_to_value_concept_id")
+    return [F.col("drc").desc(), *keys, *ties]

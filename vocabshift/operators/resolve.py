@@ -12,11 +12,12 @@ Semantics (per concept set, keyed by ``keys``):
   does not apply to them); other flag values do neither;
 * the result is a set (distinct rows).
 
-Plan: the (small, size-checked) item table is broadcast into one scan of
-``concept`` (existence) and one scan of ``concept_ancestor``; include and
-exclude rows are tagged in the same pass and reduced by one hash aggregate
-keyed on ``keys + descendant`` (partial aggregation map-side), which is
-``EXCEPT DISTINCT`` without a second scan of the hierarchy.
+Plan: the item table (broadcast while its bytes are bounded) is a filter on
+one scan of ``concept`` (which of its nodes exist) and joins one scan of
+``concept_ancestor``; include and exclude rows are tagged in the same pass and
+reduced by one hash aggregate keyed on ``keys + descendant`` (partial
+aggregation map-side), which is the set difference without a second scan of
+the hierarchy.
 """
 
 from __future__ import annotations
@@ -32,10 +33,15 @@ from ..plans.broadcast import broadcast_if, fits
 
 
 def existing_items(items: DataFrame, vocab: Vocabulary, small: bool | None = None) -> DataFrame:
-    """Items whose node exists in ``vocab.concept`` (inner join on the id)."""
+    """Items whose node exists in ``vocab.concept``.
+
+    The existing ids are a subset of the items' ids, so they are as small as the items are.
+    """
     small = fits(items) if small is None else small
+    wanted = items.select(F.col("conceptid").alias("_wanted")).distinct()
     ids = vocab.concept.select(F.col("concept_id").alias("_node_id"))
-    return ids.join(broadcast_if(items, small), F.col("_node_id") == F.col("conceptid")).drop("_node_id")
+    found = ids.join(broadcast_if(wanted, small), F.col("_node_id") == F.col("_wanted"), "left_semi").distinct()
+    return items.join(broadcast_if(found, small), F.col("_node_id") == F.col("conceptid"), "left_semi")
 
 
 def expand_items(

@@ -9,15 +9,14 @@ Stats work per cohort (concept-set ids dropped) and, like the reference,
 accept invalid ``Mapped from`` edges by default (``valid_only=False``).
 
 Plan for the event side (the only input that grows to terabytes): the six
-event tables are projected to ``(person_id, source_concept_id)`` and
-unioned, then joined once with the concept diff.  The diff holds one row
-per cohort and code; when its checked size allows it is broadcast, so the
-events are never shuffled by concept id (a hot code cannot skew a task)
-and the per-(cohort, person) flags are partially aggregated map-side
-before the only shuffle.  Beyond the bound the events are first reduced to
-distinct ``(person, code)`` pairs (map-side partial aggregation collapses
-hot pairs) and joined on ``(code, salt)`` with a salted copy of the diff,
-so a code holding a third of all events is spread over many tasks.
+event tables are projected to ``(person_id, source_concept_id)`` and unioned.
+Events of codes outside the diff are dropped first; the wanted codes are a
+subset of the concept ids, so while the concept tables' bytes are bounded
+they are broadcast and the filter runs in the scan stage.  What is left is
+reduced to distinct (person, code) pairs, map-side first, which collapses hot
+pairs; only then each pair meets its code's one row, which carries the code's
+cohorts as an array (broadcast under the same bound; beyond it a skewed code
+is split by AQE), and the flags are aggregated per (cohort, person).
 """
 
 from __future__ import annotations
@@ -30,7 +29,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import count_if, flag, is_in, safe_ratio
 from ..model import MAPPED_FROM, Vocabulary
-from ..plans.broadcast import broadcast_if, fits
+from ..plans.broadcast import broadcast_if
 
 SAME, REMOVED, ADDED = "same", "removed", "added"
 
@@ -75,18 +74,12 @@ def concept_pool(
 
 def concept_diff(pool: DataFrame) -> DataFrame:
     """``(cohort_definition_id, concept_id, concept_type same|removed|added)``."""
-    t = F.col("concept_type")
-    g = pool.groupBy("cohort_definition_id", "concept_id").agg(
-        F.max(flag(t == "old")).alias("is_old"), F.max(flag(t == "new")).alias("is_new")
-    )
-    o, n = F.col("is_old"), F.col("is_new")
+    first, last = F.min("concept_type").alias("first"), F.max("concept_type").alias("last")
+    sides = pool.groupBy("cohort_definition_id", "concept_id").agg(first, last)  # 'new' < 'old'
     kind = (
-        F.when((o == 1) & (n == 1), SAME)
-        .when((o == 1) & (n == 0), REMOVED)
-        .when((o == 0) & (n == 1), ADDED)
-        .otherwise("error")
+        F.when(F.col("first") != F.col("last"), SAME).when(F.col("last") == "old", REMOVED).otherwise(ADDED)
     )
-    return g.select("cohort_definition_id", "concept_id", kind.alias("concept_type"))
+    return sides.select("cohort_definition_id", "concept_id", kind.alias("concept_type"))
 
 
 def concept_count_change(diff: DataFrame) -> DataFrame:
@@ -107,56 +100,43 @@ def union_events(tables: Mapping[str, DataFrame], columns: Mapping[str, str] = E
     return reduce(DataFrame.unionByName, parts)
 
 
-def matched_events(events: DataFrame, diff: DataFrame, small: bool | None = None) -> DataFrame:
-    """``(cohort_definition_id, person_id, concept_type)``, one row per event and matching cohort."""
-    small = fits(diff) if small is None else small
-    d = broadcast_if(diff, small)
-    return events.join(d, F.col("source_concept_id") == F.col("concept_id")).select(
-        "cohort_definition_id", "person_id", "concept_type"
-    )
+def _wanted(events: DataFrame, codes: DataFrame, small: bool) -> DataFrame:
+    """Events of the given codes (column ``concept_id``)."""
+    ids = codes.select("concept_id").distinct()
+    return events.join(broadcast_if(ids, small), F.col("source_concept_id") == F.col("concept_id"), "left_semi")
 
 
-SALT_CONF = "vocabshift.stats.saltBuckets"
-DEFAULT_SALT_BUCKETS = 32
+def cohorts_of_codes(diff: DataFrame) -> DataFrame:
+    """One row per code with its cohorts: ``concept_id, cohorts`` (array of cohort and type)."""
+    cohort = F.struct("cohort_definition_id", "concept_type")
+    return diff.groupBy("concept_id").agg(F.collect_list(cohort).alias("cohorts"))
+
+
+def _per_cohort(events: DataFrame, diff: DataFrame, small: bool) -> DataFrame:
+    """Every event (or pair) once per cohort that holds its code."""
+    codes = broadcast_if(cohorts_of_codes(diff), small)
+    met = events.join(codes, F.col("source_concept_id") == F.col("concept_id"))
+    return met.select("person_id", F.explode("cohorts").alias("c")).select(
+        "c.cohort_definition_id", "person_id", "c.concept_type"
+    )
 
 
-def salted_match(pairs: DataFrame, diff: DataFrame, buckets: int) -> DataFrame:
-    """Join ``(person_id, source_concept_id)`` pairs with a large diff, hot codes spread.
+def matched_events(events: DataFrame, diff: DataFrame, small: bool = False) -> DataFrame:
+    """``(cohort_definition_id, person_id, concept_type)``, one row per event and matching cohort.
 
-    Each pair gets a salt from its person id; every diff row is repeated
-    once per salt value (``explode(sequence)``), and the join key is
-    ``(code, salt)``.  A code carrying a third of all pairs is then split
-    over ``buckets`` tasks, and every pair still meets exactly the diff rows
-    of its code once.
+    ``small``: the caller knows that the diff's codes are bounded in bytes.
     """
-    p = pairs.withColumn("_salt", F.pmod(F.xxhash64("person_id"), F.lit(buckets)))
-    d = diff.select(
-        "cohort_definition_id",
-        F.col("concept_id").alias("_code"),
-        "concept_type",
-        F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(buckets - 1).cast("bigint"))).alias("_dsalt"),
-    )
-    return p.join(d, (F.col("source_concept_id") == F.col("_code")) & (F.col("_salt") == F.col("_dsalt"))).select(
-        "cohort_definition_id", "person_id", "concept_type"
-    )
+    return _per_cohort(_wanted(events, diff, small), diff, small)
 
 
-def person_flags(
-    events: DataFrame, diff: DataFrame, small: bool | None = None, salt_buckets: int | None = None
-) -> DataFrame:
-    """Per (cohort, person): ``has_same``, ``has_new``, ``has_old`` (INT 0/1)."""
-    small = fits(diff) if small is None else small
-    if small:
-        matched = matched_events(events, diff, small=True)
-    else:
-        # Only the presence of a (person, code) pair matters for MAX flags; the
-        # distinct is partially aggregated map-side, which collapses hot pairs.
-        pairs = events.select("person_id", "source_concept_id").distinct()
-        conf = events.sparkSession.conf.get(SALT_CONF, None)
-        buckets = salt_buckets or (int(conf) if conf else DEFAULT_SALT_BUCKETS)
-        matched = salted_match(pairs, diff, buckets)
+def person_flags(events: DataFrame, diff: DataFrame, small: bool = False) -> DataFrame:
+    """Per (cohort, person): ``has_same``, ``has_new``, ``has_old`` (INT 0/1).
+
+    Only whether a person has a code matters, so events become distinct pairs before they meet the cohorts.
+    """
+    pairs = _wanted(events.select("person_id", "source_concept_id"), diff, small).distinct()
     t = F.col("concept_type")
-    return matched.groupBy("cohort_definition_id", "person_id").agg(
+    return _per_cohort(pairs, diff, small).groupBy("cohort_definition_id", "person_id").agg(
         F.max(flag(t == SAME)).alias("has_same"),
         F.max(flag(t == ADDED)).alias("has_new"),
         F.max(flag(t == REMOVED)).alias("has_old"),
@@ -242,5 +222,6 @@ def cohort_stats(
     cc = count_change.withColumnRenamed("cohort_definition_id", "_cc_id")
     out = out.join(cc, F.col("cohort_definition_id") == F.col("_cc_id")).select(*STATS_COLUMNS)
     if sort:
-        out = out.orderBy(safe_ratio(F.col("same_persons_no_change"), F.col("total_persons")))
+        share = safe_ratio(F.col("same_persons_no_change"), F.col("total_persons"))
+        out = out.orderBy(share.asc_nulls_first(), "cohort_definition_id")
     return out

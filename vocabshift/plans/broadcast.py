@@ -1,10 +1,11 @@
-"""Size-checked broadcast.
-
-A broadcast hint is only placed on a side whose row count has been
-checked against a bound; beyond the bound the join is left to the
-planner (sort-merge join, with AQE skew splitting and runtime broadcast
-conversion).  The check is ``limit(n + 1).count()``: it stops after
-``n + 1`` rows, so it is cheap even when the side turns out to be large.
+"""Broadcast of sides with a known bound on their bytes.
+
+A broadcast hint is only placed on a side whose size Spark's own statistics
+bound: file sizes for a table, and upper estimates (a join counts as the
+product of its inputs) for what is derived from it.  Reading them starts no
+job.  Beyond the bound the join is left to the planner: sort-merge, with AQE
+splitting skewed partitions and switching to a broadcast when a finished
+stage proves small.
 """
 
 from __future__ import annotations
@@ -12,31 +13,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Default bound for sides built from concept-set items or per-cohort concept
-# lists.  Rows are a handful of ids and short strings, so 2M rows stay well
-# below a few hundred MB once hashed on every executor.
-DEFAULT_MAX_BROADCAST_ROWS = 2_000_000
-
-CONF_KEY = "vocabshift.broadcast.maxRows"
-
+DEFAULT_MAX_BROADCAST_BYTES = 64 * 1024 * 1024
 
-def max_rows_for(df: DataFrame, default: int = DEFAULT_MAX_BROADCAST_ROWS) -> int:
-    """Bound from the session (``vocabshift.broadcast.maxRows``) or the default."""
-    value = df.sparkSession.conf.get(CONF_KEY, None)
-    return int(value) if value else default
+CONF_KEY = "vocabshift.broadcast.maxBytes"
 
 
-def fits(df: DataFrame, max_rows: int | None = None) -> bool:
-    """True when ``df`` has at most ``max_rows`` rows."""
-    bound = max_rows_for(df) if max_rows is None else max_rows
-    return df.limit(bound + 1).count() <= bound
+def known_bytes(df: DataFrame) -> int:
+    """Spark's upper estimate of the size of ``df`` (no job)."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int | None = None) -> DataFrame:
-    """``broadcast(df)`` when its size is within the bound, else ``df`` unchanged."""
-    return F.broadcast(df) if fits(df, max_rows) else df
+def fits(*frames: DataFrame, max_bytes: int | None = None) -> bool:
+    """True when the frames together have at most ``max_bytes`` bytes by Spark's statistics."""
+    if max_bytes is None:
+        max_bytes = int(frames[0].sparkSession.conf.get(CONF_KEY, str(DEFAULT_MAX_BROADCAST_BYTES)))
+    return sum(known_bytes(df) for df in frames) <= max_bytes
 
 
-def broadcast_if(df: DataFrame, checked_small: bool) -> DataFrame:
-    """``broadcast(df)`` when the caller has checked its size (see :func:`fits`)."""
-    return F.broadcast(df) if checked_small else df
+def broadcast_if(df: DataFrame, known_small: bool) -> DataFrame:
+    """``broadcast(df)`` when the caller knows its bound (see :func:`fits`)."""
+    return F.broadcast(df) if known_small else df

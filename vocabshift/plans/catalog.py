@@ -1,9 +1,12 @@
 """Registered queries: each operator run over the fixture tables of one scale factor.
 
-Every callable takes ``(spark, sf_dir)`` and returns a lazy DataFrame whose
+Every callable takes ``(spark, sf_dir)`` and returns a DataFrame whose
 work grows with the driver tables under ``sf_dir`` (the fixtures are
-derived from ``part``, ``orders`` and ``lineitem``).  Parameters are the
-fixture parameters (``EXCLUDED_NODES``, ``INCLUDED_SOURCE_VOCABS``).
+derived from ``part``, ``orders`` and ``lineitem``).  Queries that test a
+file source or sink write its files under the shared checkpoint folder while
+they are built; all others are lazy and start no job.  Nothing stays
+persisted.  Parameters are the fixture parameters (``EXCLUDED_NODES``,
+``INCLUDED_SOURCE_VOCABS``).
 """
 
 from __future__ import annotations
@@ -11,7 +14,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import cached_property
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..model import ITEM_COLUMNS, PAIR_SET_KEYS, SET_KEYS
@@ -21,10 +24,11 @@ from ..operators import mapping as M
 from ..operators import nodes as N
 from ..operators import resolve as R
 from ..operators import stats as S
-from ..sources import items as I
-from ..sources.fixtures import EXCLUDED_NODES, INCLUDED_SOURCE_VOCABS, inputs_for
 from ..sinks.reports import read_report, write_reports
-from ..sources.tables import read_cohort_map
+from ..sources import documents as DOCS
+from ..sources import items as I
+from ..sources.fixtures import EXCLUDED_NODES, INCLUDED_SOURCE_VOCABS, PAIR_VERSION, inputs_for
+from ..sources.tables import read_cohort_map, read_cohort_names, read_counts, read_events, read_vocabulary
 from .broadcast import fits
 from .report import cohort_pair_report, vocabulary_change_report
 
@@ -86,22 +90,23 @@ class _Main:
         return S.union_events(self.fx.event_tables)
 
 
-def _pair_report(spark: SparkSession, sf_dir: str, changed_only: bool = True):
+def _pair_report(spark: SparkSession, sf_dir: str, name: str, changed_only: bool = True) -> DataFrame:
+    """One report of the pair path (so nothing is persisted)."""
     fx = inputs_for(spark, sf_dir)
     return cohort_pair_report(
         fx.items, fx.items_updated, fx.cohort_map, fx.old, fx.new, fx.concept_count,
-        EXCLUDED_NODES, INCLUDED_SOURCE_VOCABS, changed_only=changed_only,
-    )
+        EXCLUDED_NODES, INCLUDED_SOURCE_VOCABS, changed_only=changed_only, reports=[name],
+    )[name]
 
 
 def q_pair_mapping_diff_all(spark, sf_dir):
     """Pair mapping report with every differing code, mapping text changed or not."""
-    return _pair_report(spark, sf_dir, changed_only=False)["mapping_diff"]
+    return _pair_report(spark, sf_dir, "mapping_diff", changed_only=False)
 
 
 def _pair_blocks(spark: SparkSession, sf_dir: str):
     fx = inputs_for(spark, sf_dir)
-    small = fits(fx.items.select("conceptid").unionByName(fx.items_updated.select("conceptid")))
+    small = fits(fx.items, fx.items_updated)
     old_vc = R.resolve_concepts(fx.items, fx.old, EXCLUDED_NODES, PAIR_SET_KEYS, small)
     new_vc = R.resolve_concepts(fx.items_updated, fx.new, EXCLUDED_NODES, PAIR_SET_KEYS, small)
     return fx, old_vc, new_vc
@@ -129,7 +134,7 @@ def q_nonstandard_nodes(spark, sf_dir):
 
 
 def q_nonstandard_nodes_pair(spark, sf_dir):
-    return _pair_report(spark, sf_dir)["nonstandard_nodes"]
+    return _pair_report(spark, sf_dir, "nonstandard_nodes")
 
 
 def q_resolve_old(spark, sf_dir):
@@ -197,31 +202,165 @@ def q_mapping_agg_new(spark, sf_dir):
     return _Main(spark, sf_dir).new_agg()
 
 
-def _main_report(spark, sf_dir, vocabs=INCLUDED_SOURCE_VOCABS, **kw):
+def _main_report(spark, sf_dir, name: str, vocabs=INCLUDED_SOURCE_VOCABS, **kw) -> DataFrame:
+    """One report of the main path (so nothing is persisted)."""
     fx = inputs_for(spark, sf_dir)
+    if name == "cohort_stats":
+        kw["events"] = fx.event_tables
     return vocabulary_change_report(
         fx.items, fx.old, fx.new, fx.concept_count, cohort_names=fx.cohort_names,
-        excluded_nodes=EXCLUDED_NODES, included_source_vocabs=vocabs, **kw,
-    )
+        excluded_nodes=EXCLUDED_NODES, included_source_vocabs=vocabs, reports=[name], **kw,
+    )[name]
 
 
 def q_mapping_diff_all_vocabs(spark, sf_dir):
     """Every source vocabulary (``included_source_vocabs=None``)."""
-    return _main_report(spark, sf_dir, vocabs=None)["mapping_diff"]
+    return _main_report(spark, sf_dir, "mapping_diff", vocabs=None)
 
 
 def q_cohort_stats_valid_edges(spark, sf_dir):
     """Stats counting valid ``Mapped from`` edges only."""
-    fx = inputs_for(spark, sf_dir)
-    return _main_report(spark, sf_dir, events=fx.event_tables, stats_valid_edges_only=True)["cohort_stats"]
+    return _main_report(spark, sf_dir, "cohort_stats", stats_valid_edges_only=True)
 
 
 def q_mapping_diff(spark, sf_dir):
-    return _main_report(spark, sf_dir)["mapping_diff"]
+    return _main_report(spark, sf_dir, "mapping_diff")
 
 
 def q_mapping_diff_changed(spark, sf_dir):
-    return _main_report(spark, sf_dir, changed_only=True)["mapping_diff"]
+    return _main_report(spark, sf_dir, "mapping_diff", changed_only=True)
+
+
+def q_domain_change_report(spark, sf_dir):
+    """The domain report through the report function."""
+    return _main_report(spark, sf_dir, "domain_change")
+
+
+def q_nonstandard_nodes_report(spark, sf_dir):
+    """The node report through the report function."""
+    return _main_report(spark, sf_dir, "nonstandard_nodes")
+
+
+# -- written order ---------------------------------------------------------------
+def _places(spark: SparkSession, report: DataFrame, name: str) -> DataFrame:
+    """The written report with the place of every row in the order it was written in.
+
+    The part files are read in name order; a row's place is the rows of the earlier files plus its place in its own.
+    """
+    path = write_reports({name: report}, _scratch(spark, "order"))[name]
+    rows = read_report(spark, path).select(
+        "*", F.col("_metadata.file_name").alias("_file"), F.monotonically_increasing_id().alias("_at")
+    )
+    # monotonically_increasing_id grows along a file; a file of a report is far below one input split's id range
+    before = Window.orderBy("_file").rowsBetween(Window.unboundedPreceding, -1)
+    files = rows.groupBy("_file").agg(F.count("*").alias("_rows"))
+    first = files.select("_file", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_first"))
+    own = F.row_number().over(Window.partitionBy("_file").orderBy("_at"))
+    placed = rows.withColumn("_own", own).join(first, "_file")
+    return placed.withColumn("place", F.col("_first") + F.col("_own")).drop("_file", "_at", "_rows", "_first", "_own")
+
+
+def q_nonstandard_nodes_order(spark, sf_dir):
+    return _places(spark, q_nonstandard_nodes_report(spark, sf_dir), "nonstandard_nodes")
+
+
+def q_mapping_diff_order(spark, sf_dir):
+    return _places(spark, q_mapping_diff(spark, sf_dir), "mapping_diff")
+
+
+def q_domain_change_order(spark, sf_dir):
+    return _places(spark, q_domain_change_report(spark, sf_dir), "domain_change")
+
+
+def q_cohort_stats_order(spark, sf_dir):
+    return _places(spark, q_cohort_stats(spark, sf_dir), "cohort_stats")
+
+
+def q_pair_mapping_diff_order(spark, sf_dir):
+    return _places(spark, q_pair_mapping_diff(spark, sf_dir), "mapping_diff")
+
+
+def q_pair_domain_change_order(spark, sf_dir):
+    return _places(spark, q_pair_domain_change(spark, sf_dir), "domain_change")
+
+
+# -- reports from tables that the readers read -----------------------------------------
+def _delivered(spark: SparkSession, sf_dir: str):
+    """The inputs as a site delivers them, read by the library's readers.
+
+    The old vocabulary is tab-separated text, the new one Parquet; counts and events are Parquet, names and pairs CSV.
+    """
+    fx = inputs_for(spark, sf_dir)
+    base = _scratch(spark, "delivered")
+    for version, vocab, text in (("old", fx.old, True), ("new", fx.new, False)):
+        for name, df in (
+            ("concept", vocab.concept),
+            ("concept_ancestor", vocab.ancestor),
+            ("concept_relationship", vocab.relationship),
+        ):
+            if text:
+                df.write.option("header", True).option("sep", "\t").csv(f"{base}/{version}/{name}")
+            else:
+                df.write.parquet(f"{base}/{version}/{name}")
+    fx.concept_count.write.parquet(f"{base}/counts")
+    for name, df in fx.event_tables.items():
+        df.write.parquet(f"{base}/events/{name}")
+    fx.cohort_names.write.option("header", True).csv(f"{base}/names")
+    fx.cohort_pairs.write.option("header", True).csv(f"{base}/pairs")
+    return {
+        "items": fx.items,
+        "items_updated": fx.items_updated,
+        "old": read_vocabulary(spark, f"{base}/old", "tsv"),
+        "new": read_vocabulary(spark, f"{base}/new"),
+        "counts": read_counts(spark, f"{base}/counts"),
+        "events": read_events(spark, f"{base}/events"),
+        "names": read_cohort_names(spark, f"{base}/names"),
+        "pairs": read_cohort_map(spark, f"{base}/pairs", PAIR_VERSION),
+    }
+
+
+def _from_tables(name: str):
+    def query(spark, sf_dir):
+        d = _delivered(spark, sf_dir)
+        return vocabulary_change_report(
+            d["items"], d["old"], d["new"], d["counts"], d["events"], d["names"], EXCLUDED_NODES,
+            INCLUDED_SOURCE_VOCABS, reports=[name],
+        )[name]
+
+    return query
+
+
+def _pair_from_tables(name: str):
+    def query(spark, sf_dir):
+        d = _delivered(spark, sf_dir)
+        return cohort_pair_report(
+            d["items"], d["items_updated"], d["pairs"], d["old"], d["new"], d["counts"], EXCLUDED_NODES,
+            INCLUDED_SOURCE_VOCABS, reports=[name],
+        )[name]
+
+    return query
+
+
+def q_written_cohort_stats(spark, sf_dir):
+    """All four reports written with a prefix and camelCase headers; the stats read back."""
+    fx = inputs_for(spark, sf_dir)
+    reports = vocabulary_change_report(
+        fx.items, fx.old, fx.new, fx.concept_count, fx.event_tables, fx.cohort_names, EXCLUDED_NODES, INCLUDED_SOURCE_VOCABS
+    )
+    with reports:
+        paths = write_reports(reports, _scratch(spark, "reports"), project="study_", camel_case=True)
+    return read_report(spark, paths["cohort_stats"])
+
+
+def q_written_pair_domain_change(spark, sf_dir):
+    """All reports of the pair path written with a prefix and camelCase headers; the domain report read back."""
+    fx = inputs_for(spark, sf_dir)
+    reports = cohort_pair_report(
+        fx.items, fx.items_updated, fx.cohort_map, fx.old, fx.new, fx.concept_count, EXCLUDED_NODES, INCLUDED_SOURCE_VOCABS
+    )
+    with reports:
+        paths = write_reports(reports, _scratch(spark, "pair-reports"), project="pair_", camel_case=True)
+    return read_report(spark, paths["domain_change"])
 
 
 def q_common_concepts(spark, sf_dir):
@@ -273,7 +412,7 @@ def q_person_change_summary(spark, sf_dir):
 
 
 def q_cohort_stats(spark, sf_dir):
-    return _main_report(spark, sf_dir, events=inputs_for(spark, sf_dir).event_tables)["cohort_stats"]
+    return _main_report(spark, sf_dir, "cohort_stats")
 
 
 def q_pair_resolve_new(spark, sf_dir):
@@ -291,29 +430,29 @@ def q_pair_source_diff(spark, sf_dir):
 
 
 def q_pair_mapping_diff(spark, sf_dir):
-    return _pair_report(spark, sf_dir)["mapping_diff"]
+    return _pair_report(spark, sf_dir, "mapping_diff")
 
 
 def q_pair_domain_change(spark, sf_dir):
-    return _pair_report(spark, sf_dir)["domain_change"]
+    return _pair_report(spark, sf_dir, "domain_change")
 
 
 def q_items_json(spark, sf_dir):
     fx = inputs_for(spark, sf_dir)
-    docs = I.parse_cohort_definitions(I.to_cohort_definitions(fx.items))
+    docs = I.parse_cohort_definitions(DOCS.to_cohort_definitions(fx.items))
     return I.concept_set_items(docs).select(*ITEM_COLUMNS)
 
 
 def q_items_json_files(spark, sf_dir):
     """Definition documents written as JSON-lines files, read back with the declared schema."""
     path = _scratch(spark, "definitions")
-    I.to_cohort_definitions(inputs_for(spark, sf_dir).items).write.text(path)
+    DOCS.to_cohort_definitions(inputs_for(spark, sf_dir).items).write.text(path)
     return I.concept_set_items(I.read_cohort_definitions(spark, path, multi_line=False)).select(*ITEM_COLUMNS)
 
 
 def q_library_items(spark, sf_dir):
     fx = inputs_for(spark, sf_dir)
-    library = I.to_library_concept_sets(fx.items)
+    library = DOCS.to_library_concept_sets(fx.items)
     log = fx.cohort_names.select(
         F.col("cohortid").alias("cohortId"),
         F.col("cohortname").alias("cohortName"),
@@ -331,8 +470,52 @@ def q_report_roundtrip(spark, sf_dir):
 def q_cohort_map_csv(spark, sf_dir):
     """Write the pair table as CSV and read it back for one vocabulary version."""
     path = _scratch(spark, "cohort-map")
-    inputs_for(spark, sf_dir).cohort_map.write.option("header", True).csv(path)
-    return read_cohort_map(spark, path, version="v0")
+    inputs_for(spark, sf_dir).cohort_pairs.write.option("header", True).csv(path)
+    return read_cohort_map(spark, path, version=PAIR_VERSION)
+
+
+def _dated_items(fx) -> DataFrame:
+    day = (F.lit(1) + F.col("cohortid") % 9).cast("string")
+    return fx.items.withColumn("createddate", F.concat(F.lit("2024-01-0"), day))
+
+
+def q_definitions_createddate(spark, sf_dir):
+    """Items of dated definitions, the date kept."""
+    docs = DOCS.to_cohort_definitions(_dated_items(inputs_for(spark, sf_dir)))
+    return I.concept_set_items(I.parse_cohort_definitions(docs)).select(*ITEM_COLUMNS, "createddate")
+
+
+def _odd_definitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Definition files: every fourth cohort's text is cut off; each other cohort also has a document without
+    concept sets and one with a set without items."""
+    path = _scratch(spark, "odd-definitions")
+    items = inputs_for(spark, sf_dir).items
+    docs = DOCS.to_cohort_definitions(items)
+    cohort = F.get_json_object("definition", "$.id").cast("bigint")
+    cut = F.substring("definition", 1, 30)
+    texts = docs.select(F.when(cohort % 4 == 0, cut).otherwise(F.col("definition")).alias("definition"))
+    good = items.select("cohortid").distinct().where("cohortid % 4 <> 0")
+    bare = good.select(F.format_string('{"id": %d, "name": "bare", "expression": {"ConceptSets": []}}', "cohortid").alias("definition"))
+    hollow = good.select(
+        F.format_string(
+            '{"id": %d, "name": "hollow", "expression": {"ConceptSets": [{"id": 9, "name": "x", "expression": {"items": []}}]}}',
+            "cohortid",
+        ).alias("definition")
+    )
+    texts.unionByName(bare).unionByName(hollow).write.text(path)
+    return I.read_cohort_definitions(spark, path, multi_line=False)
+
+
+def q_definitions_odd_documents(spark, sf_dir):
+    """Items of definition files among which some are corrupt, some have no sets and some sets have no items."""
+    return I.concept_set_items(_odd_definitions(spark, sf_dir)).select(*ITEM_COLUMNS)
+
+
+def q_missing_cohorts(spark, sf_dir):
+    """Requested cohorts without a parsable definition: unknown ids and corrupt documents."""
+    known = inputs_for(spark, sf_dir).items.select("cohortid").distinct()
+    requested = known.unionByName(known.select((F.col("cohortid") + 1000).alias("cohortid")))
+    return I.missing_cohorts(requested, _odd_definitions(spark, sf_dir))
 
 
 def q_person_flags_streaming(spark, sf_dir):
@@ -346,9 +529,10 @@ def q_person_flags_streaming(spark, sf_dir):
         paths[name] = f"{base}/events/{name}"
         events.write.parquet(paths[name])
     diff = S.concept_diff(m.pool())
-    query = start_person_flags(read_event_streams(spark, paths), diff, f"{base}/flags", f"{base}/ckpt")
+    events = read_event_streams(spark, paths, max_files_per_trigger=64)
+    query = start_person_flags(events, diff, f"{base}/flags", f"{base}/ckpt", "v1")
     query.awaitTermination()
-    return current_flags(spark, f"{base}/flags")
+    return current_flags(spark, f"{base}/flags", "v1")
 
 
 QUERIES: dict[str, Query] = {
@@ -397,4 +581,23 @@ QUERIES: dict[str, Query] = {
     "library_items_with_names": q_library_items,
     "report_roundtrip": q_report_roundtrip,
     "cohort_map_csv": q_cohort_map_csv,
+    "domain_change_report": q_domain_change_report,
+    "nonstandard_nodes_report": q_nonstandard_nodes_report,
+    "nonstandard_nodes_order": q_nonstandard_nodes_order,
+    "mapping_diff_order": q_mapping_diff_order,
+    "domain_change_order": q_domain_change_order,
+    "cohort_stats_order": q_cohort_stats_order,
+    "pair_mapping_diff_order": q_pair_mapping_diff_order,
+    "pair_domain_change_order": q_pair_domain_change_order,
+    "tables_nonstandard_nodes": _from_tables("nonstandard_nodes"),
+    "tables_mapping_diff": _from_tables("mapping_diff"),
+    "tables_domain_change": _from_tables("domain_change"),
+    "tables_cohort_stats": _from_tables("cohort_stats"),
+    "tables_pair_mapping_diff": _pair_from_tables("mapping_diff"),
+    "tables_pair_domain_change": _pair_from_tables("domain_change"),
+    "written_cohort_stats": q_written_cohort_stats,
+    "written_pair_domain_change": q_written_pair_domain_change,
+    "definitions_createddate": q_definitions_createddate,
+    "definitions_odd_documents": q_definitions_odd_documents,
+    "missing_cohorts": q_missing_cohorts,
 }

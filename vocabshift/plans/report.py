@@ -1,13 +1,12 @@
 """User-level reports: the four-table vocabulary change report and the cohort-pair report.
 
-Both are one lazy DAG of DataFrames; nothing is collected.  The resolved
-concept sets, the source-code difference and the per-cohort concept diff
-feed several branches (the old and the new side of the mapping report, the
-size check and the event join of the stats), so by default they are
-materialised once: ``materialize="persist"`` (default, MEMORY_AND_DISK, lost
-blocks recomputed from lineage), ``"checkpoint"`` (written to the shared
-``spark.checkpoint.dir`` folder, lineage cut) or ``"none"``.  ``close()``
-releases persisted blocks.
+Both are lazy: building a report starts no job and collects nothing.  A
+resolved side that several of the *requested* reports read is materialised
+once: ``materialize="persist"`` (default, MEMORY_AND_DISK, lost blocks
+recomputed from lineage), ``"checkpoint"`` (written to the shared
+``spark.checkpoint.dir`` folder on first use, lineage cut) or ``"none"``.
+A single requested report persists nothing.  A report set is a context
+manager; leaving it, or ``close()``, releases what it holds.
 """
 
 from __future__ import annotations
@@ -18,7 +17,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..model import PAIR_SET_KEYS, SET_KEYS, Vocabulary, as_list, normalise_items
+from ..model import PAIR_SET_KEYS, SET_KEYS, Vocabulary, normalise_items, source_vocabularies
 from ..operators import diff as D
 from ..operators import domain as DOM
 from ..operators import mapping as M
@@ -54,6 +53,12 @@ class ReportSet(Mapping):
             df.unpersist()
         self.held.clear()
 
+    def __enter__(self) -> ReportSet:
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        self.close()
+
 
 MATERIALIZE = ("persist", "checkpoint", "none")
 
@@ -78,6 +83,40 @@ def _keep(df: DataFrame, held: list[DataFrame], materialize: str | bool) -> Data
     return df
 
 
+# The resolved sides that each report reads.
+SIDES = {
+    "nonstandard_nodes": (),
+    "mapping_diff": ("old_vc", "new_vc"),
+    "domain_change": ("old_vc", "new_vc"),
+    "cohort_stats": ("old_vc", "new_vc"),
+}
+
+
+def _requested(reports: Iterable[str] | None, available: Iterable[str]) -> list[str]:
+    available = list(available)
+    chosen = available if reports is None else list(reports)
+    unknown = [r for r in chosen if r not in available]
+    if unknown:
+        raise ValueError(f"unknown reports {unknown}; available here: {available}")
+    return chosen
+
+
+class _Shared:
+    """Sides built on first use, kept when several requested reports read them."""
+
+    def __init__(self, requested: list[str], materialize: str | bool):
+        self.readers = {side: sum(side in SIDES[r] for r in requested) for side in ("old_vc", "new_vc")}
+        self.materialize = materialize
+        self.built: dict[str, DataFrame] = {}
+        self.held: list[DataFrame] = []
+
+    def __call__(self, side: str, build: Callable[[], DataFrame]) -> DataFrame:
+        if side not in self.built:
+            df = build()
+            self.built[side] = _keep(df, self.held, self.materialize) if self.readers[side] > 1 else df
+        return self.built[side]
+
+
 def vocabulary_change_report(
     items: DataFrame,
     old: Vocabulary,
@@ -90,24 +129,21 @@ def vocabulary_change_report(
     changed_only: bool = False,
     stats_valid_edges_only: bool = False,
     materialize: str = "persist",
+    reports: Iterable[str] | None = None,
 ) -> ReportSet:
     """``nonstandard_nodes``, ``mapping_diff``, ``domain_change`` and (with events) ``cohort_stats``.
 
     ``events`` is either the six event tables by name or one DataFrame of
     ``(person_id, source_concept_id)``.  ``included_source_vocabs=None``
-    keeps every source vocabulary.
+    keeps every source vocabulary; an empty list is an error.  ``reports``
+    names the wanted reports (default: all).
     """
     items = normalise_items(items)
-    vocabs = as_list(included_source_vocabs)
-    held: list[DataFrame] = []
+    vocabs = source_vocabularies(included_source_vocabs)
     small = fits(items)
-
-    state: dict[str, DataFrame] = {}
-
-    def shared(name: str, build: Callable[[], DataFrame]) -> DataFrame:
-        if name not in state:
-            state[name] = _keep(build(), held, materialize)
-        return state[name]
+    available = ["nonstandard_nodes", "mapping_diff", "domain_change"] + (["cohort_stats"] if events is not None else [])
+    requested = _requested(reports, available)
+    shared = _Shared(requested, materialize)
 
     def old_vc() -> DataFrame:
         return shared("old_vc", lambda: R.resolve_concepts(items, old, excluded_nodes, SET_KEYS, small))
@@ -115,22 +151,15 @@ def vocabulary_change_report(
     def new_vc() -> DataFrame:
         return shared("new_vc", lambda: R.resolve_concepts(items, new, excluded_nodes, SET_KEYS, small))
 
-    def dif() -> DataFrame:
-        return shared(
-            "dif",
-            lambda: D.source_concept_diff(D.source_concepts(old_vc(), old), D.source_concepts(new_vc(), new)),
-        )
-
     def mapping_diff() -> DataFrame:
-        return M.mapping_diff_one_pass(dif(), old, new, counts, SET_KEYS, vocabs, changed_only)
+        dif = D.source_concept_diff(D.source_concepts(old_vc(), old), D.source_concepts(new_vc(), new))
+        return M.mapping_diff_one_pass(dif, old, new, counts, SET_KEYS, vocabs, changed_only)
 
     def cohort_stats() -> DataFrame:
         ev = events if isinstance(events, DataFrame) else S.union_events(events)
-        cdiff = shared(
-            "concept_diff",
-            lambda: S.concept_diff(S.concept_pool(old_vc(), new_vc(), old, new, vocabs, stats_valid_edges_only)),
-        )
-        flags = S.person_flags(ev, cdiff)
+        cdiff = S.concept_diff(S.concept_pool(old_vc(), new_vc(), old, new, vocabs, stats_valid_edges_only))
+        # the codes of the diff are concept ids of one version or the other
+        flags = S.person_flags(ev, cdiff, fits(old.concept, new.concept))
         summary = S.person_change_summary_from_flags(flags)
         return S.cohort_stats(summary, S.concept_count_change(cdiff), cohort_names)
 
@@ -143,7 +172,7 @@ def vocabulary_change_report(
     }
     if events is not None:
         builders["cohort_stats"] = cohort_stats
-    return ReportSet(builders, held)
+    return ReportSet({name: builders[name] for name in requested}, shared.held)
 
 
 def cohort_pair_report(
@@ -157,6 +186,7 @@ def cohort_pair_report(
     included_source_vocabs: Iterable[str] | None = None,
     changed_only: bool = True,
     materialize: str = "persist",
+    reports: Iterable[str] | None = None,
 ) -> ReportSet:
     """Old cohorts on the old vocabulary vs their updated versions on the new one.
 
@@ -167,18 +197,11 @@ def cohort_pair_report(
     """
     items_old = normalise_items(items_old)
     items_new = normalise_items(items_new)
-    vocabs = as_list(included_source_vocabs)
-    held: list[DataFrame] = []
-    # One bounded count over both item tables bounds each of them.
-    small = fits(items_old.select("conceptid").unionByName(items_new.select("conceptid")))
+    vocabs = source_vocabularies(included_source_vocabs)
+    small = fits(items_old, items_new)
     map_small = fits(cohort_map)
-
-    state: dict[str, DataFrame] = {}
-
-    def shared(name: str, build: Callable[[], DataFrame]) -> DataFrame:
-        if name not in state:
-            state[name] = _keep(build(), held, materialize)
-        return state[name]
+    requested = _requested(reports, ("nonstandard_nodes", "mapping_diff", "domain_change"))
+    shared = _Shared(requested, materialize)
 
     def old_vc() -> DataFrame:
         return shared("old_vc", lambda: R.resolve_concepts(items_old, old, excluded_nodes, PAIR_SET_KEYS, small))
@@ -191,32 +214,27 @@ def cohort_pair_report(
             ),
         )
 
-    def dif() -> DataFrame:
-        return shared(
-            "dif",
-            lambda: D.source_concept_diff(
-                D.source_concepts(old_vc(), old, PAIR_SET_KEYS),
-                D.source_concepts(new_vc(), new, PAIR_SET_KEYS),
-                PAIR_SET_KEYS,
-            ),
-        )
-
     def mapping_diff() -> DataFrame:
-        mapdif = M.mapping_diff_one_pass(dif(), old, new, counts, PAIR_SET_KEYS, vocabs, changed_only, sort=False)
-        return with_pair_columns(mapdif, cohort_map, map_small).orderBy(F.col("record_count").desc())
+        dif = D.source_concept_diff(
+            D.source_concepts(old_vc(), old, PAIR_SET_KEYS),
+            D.source_concepts(new_vc(), new, PAIR_SET_KEYS),
+            PAIR_SET_KEYS,
+        )
+        mapdif = M.mapping_diff_one_pass(dif, old, new, counts, PAIR_SET_KEYS, vocabs, changed_only, sort=False)
+        return with_pair_columns(mapdif, cohort_map, map_small).orderBy(*M.report_order(PAIR_SET_KEYS), "new_cohort_id")
 
     def domain_change() -> DataFrame:
         domain = DOM.domain_change(
             DOM.common_concepts(old_vc(), new_vc()), old, new, counts, PAIR_SET_KEYS, vocabs, sort=False
         )
-        return with_pair_columns(domain, cohort_map, map_small).orderBy(F.col("source_concept_record_count").desc())
+        return with_pair_columns(domain, cohort_map, map_small).orderBy(*DOM.report_order(PAIR_SET_KEYS), "new_cohort_id")
 
     builders = {
         "nonstandard_nodes": lambda: N.nonstandard_nodes(items_new, new, counts, SET_KEYS, small),
         "mapping_diff": mapping_diff,
         "domain_change": domain_change,
     }
-    return ReportSet(builders, held)
+    return ReportSet({name: builders[name] for name in requested}, shared.held)
 
 
 def with_pair_columns(df: DataFrame, cohort_map: DataFrame, small: bool | None = None) -> DataFrame:

@@ -14,7 +14,7 @@ grows with the driver tables, nothing is collected or made up locally.
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import cached_property
+from functools import cached_property, reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,10 +31,8 @@ from ..model import (
 )
 
 # Fixed fixture parameters (FIXTURES.md §3).
-EXCLUDED_NODES = (12, 13)
+EXCLUDED_NODES = (36, 39)
 INCLUDED_SOURCE_VOCABS = ("ICD10CM", "ICD9CM", "CPT4", "NDC", "HCPCS")
-# Hierarchy levels of the 4-ary concept tree: divisor 4**k for k = 0..7.
-LEVEL_DIVISORS = tuple(4**k for k in range(8))
 # Event table names and their source-concept column, in fixture order (tbl 0..5).
 EVENT_TABLES = (
     ("condition_occurrence", "condition_source_concept_id"),
@@ -44,7 +42,13 @@ EVENT_TABLES = (
     ("measurement", "measurement_source_concept_id"),
     ("observation", "observation_source_concept_id"),
 )
-SOURCE_OFFSET = 1_000_000
+# The vocabulary version whose cohort pairs the pair reports use.
+PAIR_VERSION = "v0"
+# A standard concept c has id 3c and its two source codes 3c + 1 and 3c + 2, so ids never meet at any size.
+IDS_PER_CONCEPT = 3
+# Planted skew: a concept that most sets hold and that a fifth of the codes map to, and the code of a third of all events.
+HOT_CONCEPT = 7
+HOT_EVENT_CODE = 31
 
 
 def _div(c: Column, f: int) -> Column:
@@ -52,6 +56,16 @@ def _div(c: Column, f: int) -> Column:
     return F.floor(c / F.lit(f)).cast("bigint")
 
 
+def _id(c: Column) -> Column:
+    """Id of the standard concept ``c``."""
+    return (c * F.lit(IDS_PER_CONCEPT)).cast("bigint")
+
+
+def _levels(c: Column) -> Column:
+    """0, 1, ... as long as ``c >> 2 * level`` is at least 1 (the depth of ``c`` in the 4-ary tree)."""
+    return F.sequence(F.lit(0), F.floor((F.length(F.bin(c)) - 1) / 2).cast("int"))
+
+
 def _str(c: Column) -> Column:
     return c.cast("string")
 
@@ -92,20 +106,20 @@ class Fixtures:
     # -- concepts -----------------------------------------------------------
     @cached_property
     def c(self) -> DataFrame:
-        return self.table("part").select((F.col("p_partkey") + 1).alias("c"), "p_name")
+        return self.table("part").select((F.col("p_partkey") + 1).cast("bigint").alias("c"), "p_name")
 
     @cached_property
     def src(self) -> DataFrame:
         # Two source codes per standard concept, j = 1, 2.
         return self.c.select(
             "c", F.explode(F.array(F.lit(1), F.lit(2))).alias("j"), "p_name"
-        ).select("c", "j", (F.col("c") + F.lit(SOURCE_OFFSET) * F.col("j")).alias("s"), "p_name")
+        ).select("c", "j", (_id(F.col("c")) + F.col("j")).alias("s"), "p_name")
 
     @cached_property
     def concept_old(self) -> DataFrame:
         c = F.col("c")
         standard = self.c.select(
-            c.alias("concept_id"),
+            _id(c).alias("concept_id"),
             F.col("p_name").alias("concept_name"),
             _standard_domain(c).alias("domain_id"),
             F.lit("STD").alias("vocabulary_id"),
@@ -128,95 +142,68 @@ class Fixtures:
     @cached_property
     def concept_new(self) -> DataFrame:
         cid = F.col("concept_id")
-        std = cid < SOURCE_OFFSET
-        return self.concept_old.where(
-            ~(std & (cid % 97 == 0)) & ~((cid > 2 * SOURCE_OFFSET) & (cid % 101 == 0))
-        ).select(
+        std = cid % IDS_PER_CONCEPT == 0
+        second = cid % IDS_PER_CONCEPT == 2
+        c = _div(cid, IDS_PER_CONCEPT)
+        return self.concept_old.where(~(std & (c % 97 == 0)) & ~(second & (c % 101 == 0))).select(
             "concept_id",
             "concept_name",
-            F.when(std & (cid % 17 == 0), "Device").otherwise(F.col("domain_id")).alias("domain_id"),
+            F.when(std & (c % 17 == 0), "Device").otherwise(F.col("domain_id")).alias("domain_id"),
             "vocabulary_id",
-            F.when(std & (cid % 19 == 0), F.lit(None).cast("string"))
+            F.when(std & (c % 19 == 0), F.lit(None).cast("string"))
             .otherwise(F.col("standard_concept"))
             .alias("standard_concept"),
             "concept_code",
         )
 
     # -- hierarchy ----------------------------------------------------------
+    @cached_property
+    def tree(self) -> DataFrame:
+        """Every concept with itself and all its ancestors in the 4-ary tree, up to the root."""
+        levels = self.c.select("c", F.explode(_levels(F.col("c"))).alias("k"))
+        return levels.select("c", F.expr("shiftright(c, 2 * k)").alias("a"))
+
+    @staticmethod
+    def _closure(tree: DataFrame) -> DataFrame:
+        return tree.select(_id(F.col("a")).alias("ancestor_concept_id"), _id(F.col("c")).alias("descendant_concept_id"))
+
     @cached_property
     def ancestor_old(self) -> DataFrame:
-        c = F.col("c")
-        levels = F.array(*[F.lit(f) for f in LEVEL_DIVISORS])
-        a = F.floor(c / F.col("f")).cast("bigint")
-        return (
-            self.c.select("c", F.explode(levels).alias("f"))
-            .where((F.floor(c / F.col("f")) >= 1) & (c % 23 != 0) & (a % 23 != 0))
-            .select(a.alias("ancestor_concept_id"), c.alias("descendant_concept_id"))
-        )
+        return self._closure(self.tree.where("c % 23 <> 0 AND a % 23 <> 0"))
 
     @cached_property
     def ancestor_new(self) -> DataFrame:
-        a, d = F.col("ancestor_concept_id"), F.col("descendant_concept_id")
-        return self.ancestor_old.where(
-            (a % 19 != 0)
-            & (d % 19 != 0)
-            & (a % 97 != 0)
-            & (d % 97 != 0)
-            & ((d % 31 != 0) | (a == d))
-        )
+        kept = self.tree.where("c % 23 <> 0 AND a % 23 <> 0 AND a % 19 <> 0 AND c % 19 <> 0 AND a % 97 <> 0 AND c % 97 <> 0")
+        return self._closure(kept.where("c % 31 <> 0 OR a = c"))
 
     # -- mappings -----------------------------------------------------------
+    @staticmethod
+    def _edges(frame: DataFrame, source: Column, target: Column, invalid: Column | None = None) -> DataFrame:
+        reason = F.lit(None).cast("string") if invalid is None else F.when(invalid, "D")
+        return frame.select(source.alias("source_id"), target.alias("target_id"), reason.alias("invalid_reason"))
+
     @cached_property
     def mapsto_old(self) -> DataFrame:
         c, j, s = F.col("c"), F.col("j"), F.col("s")
-        null = F.lit(None).cast("string")
-        return (
-            self.src.where(c % 43 != 0)
-            .select(
-                s.alias("source_id"),
-                c.alias("target_id"),
-                F.when(c % 41 == 0, "D").otherwise(null).alias("invalid_reason"),
-            )
-            .unionByName(
-                self.src.where((c % 13 == 0) & (j == 1)).select(
-                    s.alias("source_id"), _div(c, 2).alias("target_id"), null.alias("invalid_reason")
-                )
-            )
-            .unionByName(
-                self.c.where(c % 23 != 0).select(
-                    c.alias("source_id"), c.alias("target_id"), null.alias("invalid_reason")
-                )
-            )
+        parts = (
+            self._edges(self.src.where(c % 43 != 0), s, _id(c), c % 41 == 0),
+            self._edges(self.src.where((c % 13 == 0) & (j == 1)), s, _id(_div(c, 2))),
+            self._edges(self.src.where((c % 5 == 1) & (j == 2)), s, _id(F.lit(HOT_CONCEPT))),
+            self._edges(self.c.where(c % 23 != 0), _id(c), _id(c)),
         )
+        return reduce(DataFrame.unionByName, parts)
 
     @cached_property
     def mapsto_new(self) -> DataFrame:
         c, j, s = F.col("c"), F.col("j"), F.col("s")
-        null = F.lit(None).cast("string")
-        target = (
-            F.when(c % 19 == 0, _div(c, 4))
-            .when((c % 7 == 0) & (j == 1), c + 1)
-            .otherwise(c)
-        )
-        return (
-            self.src.select(
-                s.alias("source_id"),
-                target.alias("target_id"),
-                F.when(c % 47 == 0, "D").otherwise(null).alias("invalid_reason"),
-            )
-            .unionByName(
-                self.src.where((c % 26 == 0) & (j == 1)).select(
-                    s.alias("source_id"), _div(c, 2).alias("target_id"), null.alias("invalid_reason")
-                )
-            )
-            .unionByName(
-                self.c.where(c % 23 != 0).select(
-                    c.alias("source_id"),
-                    F.when(c % 19 == 0, _div(c, 4)).otherwise(c).alias("target_id"),
-                    null.alias("invalid_reason"),
-                )
-            )
+        moved = F.when(c % 19 == 0, _id(_div(c, 4)))
+        parts = (
+            self._edges(self.src, s, moved.when((c % 7 == 0) & (j == 1), _id(c + 1)).otherwise(_id(c)), c % 47 == 0),
+            self._edges(self.src.where((c % 26 == 0) & (j == 1)), s, _id(_div(c, 2))),
+            self._edges(self.src.where((c % 10 == 1) & (j == 2)), s, _id(F.lit(HOT_CONCEPT))),
+            self._edges(self.c.where(c % 23 != 0), _id(c), moved.otherwise(_id(c))),
         )
+        return reduce(DataFrame.unionByName, parts)
 
     @staticmethod
     def _relationship(mapsto: DataFrame) -> DataFrame:
@@ -242,8 +229,8 @@ class Fixtures:
     def relationship_new(self) -> DataFrame:
         c = F.col("c")
         value = self.c.where(c % 38 == 0).select(
-            c.alias("concept_id_1"),
-            _div(c, 2).alias("concept_id_2"),
+            _id(c).alias("concept_id_1"),
+            _id(_div(c, 2)).alias("concept_id_2"),
             F.lit(MAPS_TO_VALUE).alias("relationship_id"),
             F.lit(None).cast("string").alias("invalid_reason"),
         )
@@ -262,22 +249,35 @@ class Fixtures:
     def items(self) -> DataFrame:
         c = F.col("c")
         set_id = _div(c, 8) % 2
+
+        def rows(frame: DataFrame, concept: Column, excluded: Column, descendants: Column, cohort: Column) -> DataFrame:
+            return frame.select(
+                concept.alias("conceptid"),
+                excluded.alias("isexcluded"),
+                descendants.alias("includedescendants"),
+                set_id.alias("conceptsetid"),
+                F.concat(F.lit("set "), _str(set_id)).alias("conceptsetname"),
+                cohort.alias("cohortid"),
+                F.concat(F.lit("cohort "), _str(cohort)).alias("cohortname"),
+            )
+
         cohort = F.lit(1) + c % 8
-        return self.c.select(
-            c.alias("conceptid"),
-            F.when(c % 5 == 0, 1).otherwise(0).alias("isexcluded"),
-            F.when((c <= 64) | (c % 3 == 0), 1).otherwise(0).alias("includedescendants"),
-            set_id.alias("conceptsetid"),
-            F.concat(F.lit("set "), _str(set_id)).alias("conceptsetname"),
-            cohort.alias("cohortid"),
-            F.concat(F.lit("cohort "), _str(cohort)).alias("cohortname"),
+        every = rows(
+            self.c,
+            _id(c),
+            F.when(c % 5 == 0, 1).otherwise(0),
+            F.when((c <= 64) | (c % 3 == 0), 1).otherwise(0),
+            F.when(c % 3 == 0, F.lit(1).cast("bigint")).otherwise(cohort),
         )
+        # the hot concept once more, in 14 of the 16 sets
+        hot = rows(self.c.where(c.between(8, 21)), _id(F.lit(HOT_CONCEPT)), F.lit(0), F.lit(1), cohort)
+        return every.unionByName(hot)
 
     @cached_property
     def items_updated(self) -> DataFrame:
-        cid = F.col("conceptid")
-        return self.items.where(cid % 37 != 0).select(
-            F.when(cid % 19 == 0, _div(cid, 4)).otherwise(cid).alias("conceptid"),
+        c = _div(F.col("conceptid"), IDS_PER_CONCEPT)
+        return self.items.where(c % 37 != 0).select(
+            F.when(c % 19 == 0, _id(_div(c, 4))).otherwise(F.col("conceptid")).alias("conceptid"),
             "isexcluded",
             "includedescendants",
             "conceptsetid",
@@ -287,15 +287,22 @@ class Fixtures:
         )
 
     @cached_property
-    def cohort_map(self) -> DataFrame:
-        return (
-            self.items.select(
+    def cohort_pairs(self) -> DataFrame:
+        """The pair table with two vocabulary versions."""
+        cohorts = self.items.select("cohortid").distinct()
+
+        def pairs(frame: DataFrame, shift: int, version: str) -> DataFrame:
+            return frame.select(
                 F.col("cohortid").alias("old_cohort_id"),
-                (F.col("cohortid") + 100).alias("new_cohort_id"),
-                F.lit("v0").alias("old_cohort_vocab_version"),
+                (F.col("cohortid") + shift).alias("new_cohort_id"),
+                F.lit(version).alias("old_cohort_vocab_version"),
             )
-            .distinct()
-        )
+
+        return pairs(cohorts, 100, PAIR_VERSION).unionByName(pairs(cohorts.where("cohortid % 2 = 0"), 101, "v1"))
+
+    @cached_property
+    def cohort_map(self) -> DataFrame:
+        return self.cohort_pairs.where(F.col("old_cohort_vocab_version") == PAIR_VERSION)
 
     @cached_property
     def cohort_names(self) -> DataFrame:
@@ -306,11 +313,12 @@ class Fixtures:
     def event(self) -> DataFrame:
         li = self.table("lineitem").select("l_orderkey", "l_partkey", "l_linenumber")
         od = self.table("orders").select("o_orderkey", "o_custkey")
-        part = F.col("l_partkey") + 1
+        own = _id(F.col("l_partkey") + 1) + 1 + F.col("l_linenumber") % 2
+        code = F.when(F.col("l_orderkey") % 3 == 0, F.lit(HOT_EVENT_CODE).cast("bigint")).otherwise(own)
         return li.join(od, F.col("l_orderkey") == F.col("o_orderkey")).select(
             F.col("o_custkey").alias("person_id"),
-            (part + F.lit(SOURCE_OFFSET) * (F.lit(1) + F.col("l_linenumber") % 2)).alias("source_concept_id"),
-            (part % 6).alias("tbl"),
+            code.alias("source_concept_id"),
+            (_div(code, IDS_PER_CONCEPT) % 6).alias("tbl"),
         )
 
     @cached_property
@@ -358,7 +366,7 @@ INPUT_TABLES = (
     "relationship_new",
     "items",
     "items_updated",
-    "cohort_map",
+    "cohort_pairs",
     "cohort_names",
     "concept_count",
 )
@@ -377,7 +385,7 @@ INPUT_SCHEMAS = {
     "relationship_new": RELATIONSHIP_SCHEMA,
     "items": _ITEMS_DDL,
     "items_updated": _ITEMS_DDL,
-    "cohort_map": "old_cohort_id bigint, new_cohort_id bigint, old_cohort_vocab_version string",
+    "cohort_pairs": "old_cohort_id bigint, new_cohort_id bigint, old_cohort_vocab_version string",
     "cohort_names": "cohortid bigint, cohortname string",
     "concept_count": COUNT_SCHEMA,
     **{name: f"person_id bigint, {column} bigint" for name, column in EVENT_TABLES},
@@ -417,6 +425,10 @@ class TableInputs:
             return self._t(name)
         raise AttributeError(name)
 
+    @property
+    def cohort_map(self) -> DataFrame:
+        return self._t("cohort_pairs").where(F.col("old_cohort_vocab_version") == PAIR_VERSION)
+
     @property
     def old(self) -> Vocabulary:
         return Vocabulary(self._t("concept_old"), self._t("ancestor_old"), self._t("relationship_old"))
