@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -39,8 +40,24 @@ def id_remainder(column: str, modulus: int) -> Column:
 def map_rows(
     df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str
 ) -> DataFrame:
-    """``mapInArrow``: batches are bounded in bytes by Spark, so long texts do not pile up in a worker."""
-    return df.mapInArrow(fn, schema)
+    """``mapInArrow``: batches are bounded in bytes by Spark, so long texts do not pile up in a worker.
+
+    A worker outlives its task, so what its allocators hold in reserve goes back at the end of it.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from fn(batches)
+        give_back()
+
+    return df.mapInArrow(run, schema)
+
+
+def give_back() -> None:
+    """Return unused memory of Arrow's pool and (where the C library can) of the heap to the system."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
 
 
 def text_slices(batch: pa.RecordBatch, at: int, most_bytes: int, most_rows: int) -> Iterator[tuple[pa.RecordBatch, list]]:

@@ -46,7 +46,7 @@ MODEL_FILE = "/opt/tokenizers/piece_bpe_32k.model"
 CHUNK = 32_768
 SNAP = 1_024
 FAN = 256
-REMEMBERED = 250_000
+REMEMBERED = 200_000
 POINT = 1 << 10
 UNKNOWN_PENALTY = 10
 NEVER = -(1 << 60)
@@ -113,8 +113,9 @@ class Vocabulary:
             nodes = {"": 0}
             for p in sorted((p for p in table if usual.issuperset(p)), key=len):
                 nodes[p] = len(nodes)
-            child = np.full((len(nodes), len(usual)), -1, np.int32)
-            score, piece = np.full(len(nodes), 2 * NEVER, np.int64), np.full(len(nodes), -1, np.int32)
+            none = len(nodes)  # one row more, without children, stands for "no node"
+            child = np.full((none + 1, len(usual)), none, np.uint16 if none < 1 << 16 else np.int32)
+            score, piece = np.full(none + 1, 2 * NEVER, np.int64), np.full(none + 1, -1, np.int32)
             for p, k in nodes.items():
                 if p:
                     child[nodes[p[:-1]], column[ord(p[-1])]] = k
@@ -147,7 +148,7 @@ class Vocabulary:
                 at = np.flatnonzero((n > i) & plain)
                 base, node = best[i, at], np.zeros(len(at), np.int32)
                 single = child[0, codes[i, at]]
-                none = (codes[i, at] < 0) | (single < 0) | (piece[single] < 0)
+                none = (codes[i, at] < 0) | (piece[single] < 0)
                 if none.any():
                     to, total = at[none], base[none] + self.unknown
                     better = total > best[i + 1, to]
@@ -156,8 +157,8 @@ class Vocabulary:
                     last[i + 1, to] = byte_id[np.minimum(points[i, to], 128)]
                 for j in range(i, min(i + self.longest, width)):
                     col = codes[j, at]
-                    node = np.where(col >= 0, child[node, col], -1)
-                    on = node >= 0
+                    node = np.where(col >= 0, child[node, col], len(piece) - 1)
+                    on = node < len(piece) - 1
                     if not on.all():
                         at, node, base = at[on], node[on], base[on]
                         if not len(at):
