@@ -1,11 +1,11 @@
-"""Write the formatted physical plans of the headline reports to docs/plans/.
+"""Write the formatted physical plans of the headline reports to a folder.
 
 Automatic broadcast is switched off, so the plans show what Spark does when
-every table is too large for it: only the explicit, size-checked broadcasts
+every table is too large for it: only the explicit, byte-bounded broadcasts
 remain.  Inputs: the fixture tables of one scale factor written as Parquet
 (into the session's checkpoint folder).
 
-    python scripts/dump_plans.py [/root/testdata/sf0.01]
+    python scripts/dump_plans.py OUT_FOLDER [/root/testdata/sf0.01]
 """
 
 from __future__ import annotations
@@ -23,7 +23,8 @@ REPORTS = ("nonstandard_nodes", "mapping_diff", "domain_change", "cohort_stats",
 
 
 def main() -> None:
-    sf_dir = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
+    out = sys.argv[1]
+    sf_dir = sys.argv[2] if len(sys.argv) > 2 else "/root/testdata/sf0.01"
     from vocabshift.plans.catalog import QUERIES
     from vocabshift.session import build_session, checkpoint_dir
     from vocabshift.sources.fixtures import Fixtures, write_inputs
@@ -39,7 +40,6 @@ def main() -> None:
     )
     spark.sparkContext.setLogLevel("ERROR")
     inputs = write_inputs(Fixtures(spark, sf_dir), f"{checkpoint_dir(spark).rstrip('/')}/plans-{uuid.uuid4().hex}")
-    out = os.path.join(HERE, "docs", "plans")
     os.makedirs(out, exist_ok=True)
     for name in REPORTS:
         buf = io.StringIO()

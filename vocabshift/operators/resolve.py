@@ -41,7 +41,7 @@ def existing_items(items: DataFrame, vocab: Vocabulary, small: bool | None = Non
     wanted = items.select(F.col("conceptid").alias("_wanted")).distinct()
     ids = vocab.concept.select(F.col("concept_id").alias("_node_id"))
     found = ids.join(broadcast_if(wanted, small), F.col("_node_id") == F.col("_wanted"), "left_semi").distinct()
-    return items.join(broadcast_if(found, small), F.col("_node_id") == F.col("conceptid"), "left_semi")
+    return items.join(broadcast_if(found, small), F.col("_node_id") == F.col("conceptid")).drop("_node_id")
 
 
 def expand_items(

@@ -101,9 +101,13 @@ def union_events(tables: Mapping[str, DataFrame], columns: Mapping[str, str] = E
 
 
 def _wanted(events: DataFrame, codes: DataFrame, small: bool) -> DataFrame:
-    """Events of the given codes (column ``concept_id``)."""
-    ids = codes.select("concept_id").distinct()
-    return events.join(broadcast_if(ids, small), F.col("source_concept_id") == F.col("concept_id"), "left_semi")
+    """Events of the given codes (column ``concept_id``).
+
+    An inner join with distinct ids: a semi join would be pushed into every event table, each with a copy of the
+    whole derivation of the codes.
+    """
+    ids = codes.select(F.col("concept_id").alias("_wanted")).distinct()
+    return events.join(broadcast_if(ids, small), F.col("source_concept_id") == F.col("_wanted")).drop("_wanted")
 
 
 def cohorts_of_codes(diff: DataFrame) -> DataFrame:
