@@ -41,8 +41,11 @@ def test_events_are_filtered_by_code_below_their_first_shuffle(spark, no_auto_br
     new_vc = resolve_concepts(fx.items, fx.new, EXCLUDED_NODES)
     diff = S.concept_diff(S.concept_pool(old_vc, new_vc, fx.old, fx.new, INCLUDED_SOURCE_VOCABS))
     plan = _plan(S.person_flags(S.union_events(fx.event_tables), diff, small=True))
+    # the union of the event branches is the streamed side of the join with the distinct codes
+    lines = plan.splitlines()
+    assert any("BroadcastHashJoin Inner BuildRight" in x and ":- Union" in y for x, y in zip(lines, lines[1:], strict=False))
     # events are shuffled as distinct pairs and as (cohort, person), never by code
-    exchanges = re.findall(r"Exchange \(\d+\)\nInput \[\d+\]: \[.*?\]\nArguments: hashpartitioning\((.*?)\)", plan)
+    exchanges = re.findall(r"\(\d+\) Exchange\nInput \[\d+\]: \[.*?\]\nArguments: hashpartitioning\((.*?)\)", plan)
     assert any("person_id" in e and "source_concept_id" in e for e in exchanges)
     assert not any(e.startswith("source_concept_id") for e in exchanges)
 
