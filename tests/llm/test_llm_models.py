@@ -51,6 +51,37 @@ def test_language_defined_cases(spark, docs):
     assert [(r.lang_pred, r.score) for r in L.report(unlabelled).collect()] == [("und", 0.0)]
 
 
+def test_language_rejects_long_unseen_languages_and_gibberish(spark, docs):
+    model = L.fit_documents(docs)
+    rng = np.random.default_rng(1)
+    draw = lambda letters, n: "".join(rng.choice(list(letters), n))
+    finnish = "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu järki ja "
+    finnish += "omatunto, ja heidän on toimittava toisiaan kohtaan veljeyden hengessä. "
+    polish = "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. Są oni obdarzeni rozumem i "
+    polish += "sumieniem i powinni postępować wobec innych w duchu braterstwa. "
+    russian = "Все люди рождаются свободными и равными в своем достоинстве и правах. Они наделены разумом и совестью. "
+    syllables = ["ka", "ik", "ki", "mi", "set", "yn", "ty", "vät", "pai", "na", "ar", "vol", "taan", "oi", "keuk", "sil", " ", "ja "]
+    texts = [finnish, finnish * 100, polish, polish * 100, russian, "asdf jkl qwer zxcv hjkl uiop " * 40, draw(syllables, 9000)]
+    for n in (1000, 20_000, 200_000):
+        texts += [draw(map(chr, range(0x4E00, 0x9FA5)), n), draw("абвгдежзийклмнопрстуфхцчшщъыьэюя     ", n)]
+        texts.append(draw("abcdefghijklmnopqrstuvwxyz     ", n))
+    assert [t[:20] for t, p in zip(texts, model.predict(texts), strict=True) if not p[3]] == []
+
+    held = [(r.lang, r.text) for r in docs.where(L.held_out()).orderBy("doc_id").collect() if r.lang and r.text]
+    clean = [t[:n] for _, t in held for n in (12, 40, 150, 600, 3000)]
+    for lang in sorted({lang for lang, _ in held}):
+        own = [t for x, t in held if x == lang]
+        clean += [" ".join(own), *[" ".join(own[i : i + 8]) for i in range(0, len(own), 8)]]
+    lost = [p[3] and any(c.isalpha() for c in t) for t, p in zip(clean, model.predict(clean), strict=True)]
+    assert np.mean(lost) < 0.002
+
+
+def test_language_rejection_needs_members(spark):
+    rows = [(i, "the of and that with this", "en") for i in range(300)]
+    model = L.fit_documents(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert not model.predict(["mail me now and then"])[0][3] and model.predict(["漢字かな交じり文"])[0][3]
+
+
 def test_gram_counts_do_not_depend_on_the_batch():
     texts = ["Hello, World!", None, "", "a", "  ß é  ", "x\0y", "İstanbul"]
     together, has = L.gram_counts(texts)

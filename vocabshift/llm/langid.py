@@ -8,9 +8,12 @@ in ``DIMS`` hashed cells.  Cell weights are ``log(1 + count) * idf``, scaled to
   text decides, with a rate from the language's row count) gives ``CLUSTERS`` centroids.
 * *Prediction*: the language of the centroid with the largest cosine; score is the softmax share of that language's
   best cosine.
-* *Rejection*: a text whose distance (1 - cosine) to the nearest centroid exceeds the largest distance of that
-  centroid's own members by more than ``SLACK`` of it, and ``CHANCE`` besides, is rejected (as is one without
-  letters).  Short texts lie far from every centroid by nature; up to ``CHANCE`` they are not rejected for that.
+* *Rejection*: a text is rejected (as is one without letters) when its cosine with the nearest centroid is under
+  ``MARGIN`` times the cosine that the share ``QUANTILE`` of that centroid's members of like size exceed, or under
+  1 - ``CHANCE``.  Size is the number of different cells, in bands of half an octave: few cells lie far from every
+  centroid by nature, and many cells lie near each by chance.  The members are the sampled texts, a piece of each at every
+  length from ``SHORTEST`` characters, and joined texts of a language.  A band with fewer than ``LEAST`` different members
+  takes those of all centroids, then the limit of the next smaller band, and ``CHANCE`` below the first.
 
 Defined cases: a null text, or one without a letter, is ``und`` with score 0 and rejected; of languages with equal
 cosine the alphabetically first wins; null ids are neither held out nor learned from; repeated rows are
@@ -20,6 +23,8 @@ columns of the input are ignored (or kept, by ``keep``).
 
 from __future__ import annotations
 
+import zlib
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -33,8 +38,12 @@ DIMS = 4096
 SAMPLE = 400
 CLUSTERS = 4
 ROUNDS = 12
-SLACK = 0.10
+QUANTILE = 0.995
+MARGIN = 0.5
+LEAST = 20
+SHORTEST = 8
 CHANCE = 0.95
+BANDS = 2 * int(DIMS).bit_length()
 SHARPNESS = 25.0
 BATCH_BYTES = 400_000
 BATCH_ROWS = 64
@@ -86,9 +95,14 @@ def gram_counts(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     return out.reshape(n, DIMS), has
 
 
+def bands(counts: np.ndarray) -> np.ndarray:
+    """Size band of every row: half octaves of the number of different cells."""
+    return (2 * np.log2(np.maximum((counts > 0).sum(axis=1), 1))).astype(int)
+
+
 @dataclass
 class Model:
-    """Centroids (rows of ``centroids``), their language and rejection distance, and cell weights."""
+    """Centroids (rows of ``centroids``), their language and rejection distance by size band, and cell weights."""
 
     languages: list[str]
     owner: np.ndarray
@@ -115,7 +129,7 @@ class Model:
         score = share.max(axis=1) / share.sum(axis=1)
         nearest = cosine.argmax(axis=1)
         distance = 1.0 - cosine.max(axis=1)
-        rejected = distance > np.maximum(self.reach[nearest] * (1 + SLACK), CHANCE)
+        rejected = distance > self.reach[nearest, bands(counts)]
         return [
             (self.languages[lang[i]], float(score[i]), float(distance[i]), bool(rejected[i]))
             if has[i]
@@ -124,8 +138,8 @@ class Model:
         ]
 
 
-def _cluster(vectors: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Spherical k-means from spread-out first centres: (centres, member distances to the nearest)."""
+def _cluster(vectors: np.ndarray, k: int) -> np.ndarray:
+    """Centres of spherical k-means from spread-out first centres."""
     centres = [vectors.mean(axis=0)]
     for _ in range(1, min(k, len(vectors))):
         near = np.max(vectors @ np.array(centres).T, axis=1)
@@ -135,11 +149,44 @@ def _cluster(vectors: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         c /= np.maximum(np.linalg.norm(c, axis=1, keepdims=True), 1e-12)
         own = (vectors @ c.T).argmax(axis=1)
         c = np.array([vectors[own == j].sum(axis=0) if (own == j).any() else c[j] for j in range(len(c))])
-    c /= np.maximum(np.linalg.norm(c, axis=1, keepdims=True), 1e-12)
-    cosine = vectors @ c.T
-    own = cosine.argmax(axis=1)
-    reach = np.array([1 - cosine[own == j, j].min() if (own == j).any() else 0.0 for j in range(len(c))])
-    return c, reach
+    return c / np.maximum(np.linalg.norm(c, axis=1, keepdims=True), 1e-12)
+
+
+def pieces(text: str) -> list[str]:
+    """A piece of every length ``SHORTEST``, twice that and so on below the text's own, each at a place that a hash decides."""
+    out, size = [], SHORTEST
+    while size < len(text):
+        start = zlib.crc32(f"{size} {text}".encode("utf-8", "surrogatepass")) % (len(text) - size + 1)
+        out.append(text[start : start + size])
+        size *= 2
+    return out
+
+
+def _joined(counts: np.ndarray) -> np.ndarray:
+    """Counts of the texts joined by 4, 16 and so on up to all."""
+    out, size = [], 4
+    while size < 4 * len(counts):
+        out.append(np.add.reduceat(counts, np.arange(0, len(counts), size), axis=0))
+        size *= 4
+    return np.vstack(out) if out else counts[:0]
+
+
+def _limits(nearest: np.ndarray, cosine: np.ndarray, band: np.ndarray, centroids: int) -> np.ndarray:
+    """Rejection distance by centroid and size band from its members' cosines."""
+
+    def limit(members: np.ndarray) -> float | None:
+        if members.sum() < LEAST:
+            return None
+        return min(CHANCE, 1 - MARGIN * float(np.quantile(cosine[members], 1 - QUANTILE)))
+
+    out = np.full((centroids, BANDS), CHANCE)
+    for b in range(BANDS):
+        of_all = limit(band == b)
+        for k in range(centroids):
+            own = limit((band == b) & (nearest == k))
+            known = own if own is not None else of_all
+            out[k, b] = known if known is not None else out[k, max(b - 1, 0)]
+    return out
 
 
 def _frequencies(batches):
@@ -159,17 +206,26 @@ def _sampled(batches):
     for batch in batches:
         for part, texts in text_slices(batch, 0, BATCH_BYTES, BATCH_ROWS):
             langs = part.column(1).to_pylist()
-            counts, has = gram_counts(texts)
-            rows = [i for i in range(len(texts)) if has[i]]
-            cells = [np.flatnonzero(counts[i]).astype(np.int32) for i in rows]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([langs[i] for i in rows], pa.string()),
-                    pa.array(cells, pa.list_(pa.int32())),
-                    pa.array([counts[i][c].astype(np.int32) for i, c in zip(rows, cells, strict=True)], pa.list_(pa.int32())),
-                ],
-                ["lang", "cells", "counts"],
-            )
+            yield _counted(texts, langs, True)
+            parts = [(p, lang) for t, lang in zip(texts, langs, strict=True) for p in pieces(t or "")]
+            for i in range(0, len(parts), BATCH_ROWS):
+                yield _counted(*zip(*parts[i : i + BATCH_ROWS], strict=True), False)
+
+
+def _counted(texts: Sequence[str | None], langs: Sequence[str], whole: bool) -> pa.RecordBatch:
+    """Language, whether it is a whole text, cells and counts of the texts with a letter."""
+    counts, has = gram_counts(list(texts))
+    rows = [i for i in range(len(texts)) if has[i]]
+    cells = [np.flatnonzero(counts[i]).astype(np.int32) for i in rows]
+    return pa.RecordBatch.from_arrays(
+        [
+            pa.array([langs[i] for i in rows], pa.string()),
+            pa.array([whole] * len(rows), pa.bool_()),
+            pa.array(cells, pa.list_(pa.int32())),
+            pa.array([counts[i][c].astype(np.int32) for i, c in zip(rows, cells, strict=True)], pa.list_(pa.int32())),
+        ],
+        ["lang", "whole", "cells", "counts"],
+    )
 
 
 def fit(training: DataFrame, sample: int = SAMPLE, clusters: int = CLUSTERS) -> Model:
@@ -186,24 +242,51 @@ def fit(training: DataFrame, sample: int = SAMPLE, clusters: int = CLUSTERS) ->
         u = F.pmod(F.col("key"), F.lit(1_000_003)) / 1_000_003.0
         chosen = F.when(F.col("lang") == lang, u < rate).otherwise(chosen)
     picked = map_rows(
-        labelled.where(chosen).select("text", "lang"), _sampled, "lang string, cells array<int>, counts array<int>"
+        labelled.where(chosen).select("text", "lang"),
+        _sampled,
+        "lang string, whole boolean, cells array<int>, counts array<int>",
     )
     vectors: dict[str, list] = {}
-    empty = Model([], np.zeros(0, int), np.zeros((0, DIMS)), np.zeros(0), idf)
+    whole: dict[str, set[bytes]] = {}
+    parts: set[tuple[bytes, bytes]] = set()
+    empty = Model([], np.zeros(0, int), np.zeros((0, DIMS)), np.zeros((0, BANDS)), idf)
     for r in picked.toLocalIterator():
-        dense = np.zeros((1, DIMS), np.int64)
-        dense[0, r["cells"]] = r["counts"]
+        cells, n = np.array(r["cells"], np.int32), np.array(r["counts"], np.int32)
+        if not r["whole"]:
+            parts.add((cells.tobytes(), n.tobytes()))
+            continue
+        dense = np.zeros((1, DIMS), np.int32)
+        dense[0, cells] = n
         vectors.setdefault(r["lang"], []).append(empty.vectors(dense)[0])
+        whole.setdefault(r["lang"], set()).add(dense.tobytes())
     languages = sorted(vectors)
     if not languages:
         return empty
-    owner, centres, reach = [], [], []
+    owner, centres = [], []
     for i, lang in enumerate(languages):
-        c, d = _cluster(np.array(sorted(map(tuple, vectors[lang])), np.float32), clusters)
+        c = _cluster(np.array(sorted(map(tuple, vectors.pop(lang))), np.float32), clusters)
         owner += [i] * len(c)
         centres.append(c)
-        reach.append(d)
-    return Model(languages, np.array(owner), np.vstack(centres).astype(np.float32), np.concatenate(reach), idf)
+    model = Model(languages, np.array(owner), np.vstack(centres).astype(np.float32), empty.reach, idf)
+
+    found = []
+    for lang in languages:
+        own = np.frombuffer(b"".join(sorted(whole.pop(lang))), np.int32).reshape(-1, DIMS)
+        found += [_members(model, own), _members(model, _joined(own))]
+    some = sorted(parts)
+    for i in range(0, len(some), BATCH_ROWS):
+        dense = np.zeros((len(some[i : i + BATCH_ROWS]), DIMS), np.int32)
+        for k, (cells, n) in enumerate(some[i : i + BATCH_ROWS]):
+            dense[k, np.frombuffer(cells, np.int32)] = np.frombuffer(n, np.int32)
+        found.append(_members(model, dense))
+    model.reach = _limits(*map(np.concatenate, zip(*found, strict=True)), len(model.owner))
+    return model
+
+
+def _members(model: Model, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(nearest centroid, cosine with it, size band) of some texts' counts."""
+    cosine = model.vectors(counts) @ model.centroids.T
+    return cosine.argmax(axis=1), cosine.max(axis=1), bands(counts)
 
 
 def training_rows(documents: DataFrame, usable: Column) -> DataFrame:
