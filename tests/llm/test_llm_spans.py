@@ -145,6 +145,29 @@ def test_iban_by_checksum_and_telephone_by_context(spark):
     assert not [s for s in spans_of(spark, pii, run, "room 030 1234567") if s.startswith("tel")]
 
 
+def valid_iban(country, rest):
+    number = "".join(str(int(c, 36)) for c in rest + country + "00")
+    return f"{country}{98 - int(number) % 97:02d}{rest}"
+
+
+def test_iban_before_words_and_numbers(spark):
+    plain = ["DE89370400440532013000", "GB82WEST12345698765432", "NO9386011117947", "MT84MALT011000012345MTLCAST001S"]
+    plain += [valid_iban("ZZ", "123456789012345"), valid_iban("ZZ", "A" * 30), valid_iban("RU", "1" * 29)]
+    grouped = [" ".join(p[i : i + 4] for i in range(0, len(p), 4)) for p in plain]
+    after = ["", " Please pay", " EUR", " 12 May", " A", " 5", ", then", " é", " DE88 3704", ".", " BIC COBADEFFXXX 2024"]
+    texts = [(f"é to {iban}{end}", iban) for iban in plain + grouped for end in after]
+    texts += [("DE89 37040044 0532013000 EUR", "DE89 37040044 0532013000")]
+    rows = [(i, t) for i, (t, _) in enumerate(texts)]
+    rows += [(-1, f"{grouped[0]} {grouped[1]} {plain[2]} X"), (-2, f"{plain[0]}x {plain[1]}1 x{plain[2]} {plain[0]}é")]
+    rows += [(-3, f"{plain[0]} " * 2000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: [s.match for s in r.pii if s.kind == "iban"] for r in pii.personal_data(df).collect()}
+    assert [(t, got[i]) for i, (t, iban) in enumerate(texts) if got[i] != [iban]] == []
+    assert got[-1] == [grouped[0], grouped[1], plain[2]] and got[-2] == [plain[0]] and len(got[-3]) == 2000
+    masks = pii.masked(spark.createDataFrame([(1, f"é to {grouped[0]} Please")], "doc_id long, text string"))
+    assert masks.collect()[0].text == "é to <iban> Please"
+
+
 def test_masked_text(spark):
     df = spark.createDataFrame([(1, "é a@b.de, 𝒳 10.0.0.1!", 5), (2, None, 6), (3, "plain", 7)], "doc_id long, text string, pii int")
     got = {r.doc_id: (r.text, r.pii) for r in pii.masked(df).collect()}

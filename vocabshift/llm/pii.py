@@ -4,13 +4,15 @@ Patterns propose spans; validators confirm them (octets up to 255, Luhn, digit c
 an uncertain span move its score up or down.
 
 * ``email ip card phone`` are the base kinds: a proposal that passes its validator has score 1 and stays.
-* ``iban`` (added): country code, two check digits, 11 to 30 letters or digits, optionally in groups of four;
-  kept when the rearranged number is 1 modulo 97.
+* ``iban`` (added): country code, two check digits, 11 to 30 letters or digits with single spaces; kept when the
+  rearranged number is 1 modulo 97.  Words and numbers may follow after a space, so every word end of the run is
+  tried: that with the country's length, else (where the length is not known) the last that leaves an
+  unspaced number or groups of four, else the end of the run.
 * ``tel`` (added): national numbers of 8 to 15 digits without ``+``, in two or more groups.  Base score 0.3;
   a telephone word within ``NEAR`` characters before it adds 0.4, a word for amounts, orders or references
   takes 0.3; kept from 0.5.  A ``tel`` inside a base span or an ``iban`` is dropped.
 
-The email, address and IBAN patterns look at the character before a start, or at the end of the last match,
+The email and address patterns look at the character before a start, or at the end of the last match,
 and use possessive repeats: that finds the spans that the plain patterns find, in time proportional to the
 text, where the plain ones try every suffix of a long run again.
 
@@ -30,7 +32,16 @@ EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Z
 IP = r"(?:\G|(?<![0-9]))[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
-IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}+(?![A-Za-z0-9])"
+#: the head of a number, looking ahead at the longest run after it (and a letter or digit that cuts the run's last word)
+IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?=((?:\x20?[A-Z0-9]){11,30}+[A-Za-z0-9]?))"
+IBAN_GROUPS = r"^[A-Z]{2}[0-9]{2}(?:[A-Z0-9]+|(?:\x20[A-Z0-9]{4})*\x20[A-Z0-9]{1,4})$"
+IBAN_MOST = 34
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG",
+    25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV",
+    29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
 TEL = r"(?<![0-9A-Za-z+])[0-9(][0-9()]{1,6}+(?:[\x20./-][0-9()]{2,9}+){1,5}+(?![0-9A-Za-z])"
 
 OCTET = r"0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
@@ -67,6 +78,60 @@ def _when(has: Column, spans: Column) -> Column:
     return F.when(has, spans).otherwise(F.array().cast(NO_SPANS))
 
 
+def _ibans(text: Column) -> Column:
+    """Confirmed account numbers, the leftmost of those that overlap."""
+
+    def confirmed(head: Column, run: Column) -> Column:
+        return let(F.concat(head["match"], run), lambda whole: let(ends(whole), lambda e: span(head, whole, e)))
+
+    def ends(whole: Column) -> Column:
+        upto = lambda e: F.substring(whole, F.lit(1), e)
+        plain = lambda e: F.length(F.regexp_replace(upto(e), " ", ""))
+        country = F.substring(whole, 1, 2)
+        length = F.coalesce(*[F.when(country.isin(c.split()), n) for n, c in IBAN_LENGTHS.items()], F.lit(0))
+        good = F.filter(
+            F.sequence(F.lit(15), F.length(whole)),
+            lambda e: F.substring(whole, e + 1, F.lit(1)).isin("", " ")
+            & upto(e).rlike("[A-Z0-9]$")
+            & plain(e).between(15, IBAN_MOST)
+            & (_mod97(upto(e)) == 1),
+        )
+
+        def best(good: Column, length: Column) -> Column:
+            usual = F.filter(good, lambda e: plain(e) == length)
+            other = F.filter(
+                good, lambda e: (e == F.length(whole)) | ((length == 0) & upto(e).rlike(IBAN_GROUPS))
+            )
+            return F.coalesce(F.array_max(usual), F.array_max(other), F.lit(0))
+
+        return let(good, lambda g: let(length, lambda n: best(g, n)))
+
+    def span(head: Column, whole: Column, end: Column) -> Column:
+        return F.struct(
+            head["start"].alias("start"),
+            (head["start"] + end).alias("end"),
+            F.substring(whole, F.lit(1), end).alias("match"),
+        )
+
+    def apart(spans: Column) -> Column:
+        dropped = F.aggregate(
+            spans,
+            F.struct(F.lit(0).alias("upto"), F.array().cast("array<int>").alias("starts")),
+            lambda acc, s: F.struct(
+                F.when(s["start"] < acc["upto"], acc["upto"]).otherwise(s["end"]).alias("upto"),
+                F.when(s["start"] < acc["upto"], F.concat(acc["starts"], F.array(s["start"])))
+                .otherwise(acc["starts"])
+                .alias("starts"),
+            ),
+            lambda acc: acc["starts"],
+        )
+        return let(dropped, lambda d: F.filter(spans, lambda s: ~F.array_contains(d, s["start"])))
+
+    runs = F.regexp_extract_all(text, F.lit(IBAN), F.lit(1))
+    found = F.filter(F.zip_with(match_spans(text, IBAN), runs, confirmed), lambda s: s["end"] > s["start"])
+    return let(found, apart)
+
+
 def proposals(text: Column) -> dict[str, Column]:
     """Confirmed spans of every kind but ``tel``, by kind."""
     digit = text.rlike("[0-9]")
@@ -80,10 +145,7 @@ def proposals(text: Column) -> dict[str, Column]:
         _when(text.rlike(r"\+[0-9]"), match_spans(text, PHONE)),
         lambda s: F.length(_digits(s["match"])).between(10, 15),
     )
-    iban = F.filter(
-        _when(text.rlike("[A-Z]{2}[0-9]{2}"), match_spans(text, IBAN)),
-        lambda s: (F.length(F.regexp_replace(s["match"], " ", "")) <= 34) & (_mod97(s["match"]) == 1),
-    )
+    iban = _when(text.rlike("[A-Z]{2}[0-9]{2}"), _ibans(text))
     return {"email": email, "ip": ip, "card": card, "phone": phone, "iban": iban}
 
 
