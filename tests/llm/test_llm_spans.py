@@ -186,6 +186,31 @@ def test_random_tokens_are_found_and_words_are_not(spark):
     assert not found & set(range(80, 83))
 
 
+def random_tokens(n):
+    """Uniform tokens by kind: alphabet and length."""
+    low, up, digits = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+    kinds = [(low + up + digits + "+/", size) for size in (20, 24, 40, 64)]
+    kinds += [(low + up + digits, 40), (up + "234567", 20), (low, 24), (up, 24), (low + up, 40), (low + digits, 32)]
+    rng = random.Random(8)
+    return [(k, "".join(rng.choices(a, k=size))) for k, (a, size) in enumerate(kinds) for _ in range(n)]
+
+
+def test_random_tokens_without_digits_are_tested(spark):
+    tokens = random_tokens(100)
+    prose = ["internationalization", "donaudampfschifffahrtsgesellschaft", "the-quick-brown-fox-jumps-over-the-lazy-dog"]
+    prose += ["some/path/to/the/source/files/of/a/module", "configuration_value_for_the_module_of_the_day"]
+    rows = [(i, f"x {t} y") for i, t in enumerate([t for _, t in tokens] + prose)]
+    out = secret_scan.report(secret_scan.secrets(spark.createDataFrame(rows, "doc_id long, text string"))).collect()
+    found = {r.doc_id for r in out if "random" in r.spans}
+    for k in sorted({k for k, _ in tokens}):
+        assert sum(i in found for i, (kind, _) in enumerate(tokens) if kind == k) >= 97, k
+    few = {i for i, (_, t) in enumerate(tokens) if sum(c.isdigit() for c in t) * 12 < len(t)}
+    assert len(few) > 300 and len(few & found) >= 0.97 * len(few)
+    rejected = {r.t.match: r.t.p for r in spark.createDataFrame(rows, "doc_id long, text string").select(
+        F.explode(secret_scan.tested_tokens(F.col("text"))).alias("t")).collect()}
+    assert all(rejected[t] < 0.002 for t in prose)
+
+
 def test_running_sums_of_many_parts(spark):
     sizes = F.transform(F.sequence(F.lit(1), F.lit(1000)), lambda x: x % 7)
     got = spark.range(1).select(running_sums(sizes).alias("s")).collect()[0].s

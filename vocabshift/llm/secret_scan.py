@@ -4,12 +4,13 @@ Base kinds (``assign access hex``) are pattern matches with a least length.  The
 tokens in no base span that look drawn at random:
 
 1. A *token* is a maximal run of at least ``LEAST`` letters, digits and ``+/_-`` (with ``=`` padding) that holds
-   letters and, a digit for every twelve characters, digits; words of prose hold none.
-2. The *encoding* is the smallest alphabet that has all its characters: hexadecimal, base 32, base 36 (one
-   case), base 62, base 64 (standard or URL-safe).
-3. Three tests of "drawn independently and uniformly from this alphabet", each a two-sided normal score:
+   letters.
+2. The *encoding* is the smallest alphabet that has all its characters: hexadecimal, letters of one case, base 32,
+   base 36 (one case), letters, base 62, base 64 (standard or URL-safe).
+3. Four tests of "drawn independently and uniformly from this alphabet", each a two-sided normal score:
    chi-squared uniformity of the symbols, the number of runs of the lower and upper half of the alphabet,
-   and the serial correlation of neighbouring symbols.  The token's p-value is three times the least (at most 1).
+   the serial correlation of neighbouring symbols, and the mean log frequency that the symbols have in prose (which
+   tells words).  The token's p-value is four times the least (at most 1).
 4. *False-discovery control*: in each length class the Benjamini-Hochberg step-up rule at level ``FDR`` over all
    tokens of the corpus says which are not random.  Long tokens, whose tests have power, are so held to
    their own kind and not to the many short ones.  Tokens that are not rejected are reported.
@@ -25,10 +26,12 @@ input stay, but one called as the result column is replaced.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vocabshift.llm.spans import NO_SPANS, TAGGED, joined, let, match_spans, tagged
+from vocabshift.llm.spans import NO_SPANS, joined, let, match_spans, tagged
 
 # The base patterns and the alphabets.
 ASSIGN = (
@@ -46,14 +49,32 @@ UPPER = LOWER.upper()
 ENCODINGS = (
     ("^[0-9a-f]+$", DIGITS + "abcdef"),
     ("^[0-9A-F]+$", DIGITS + "ABCDEF"),
+    ("^[a-z]+$", LOWER),
+    ("^[A-Z]+$", UPPER),
     ("^[A-Z2-7]+$", UPPER + "234567"),
     ("^[0-9a-z]+$", DIGITS + LOWER),
     ("^[0-9A-Z]+$", DIGITS + UPPER),
+    ("^[A-Za-z]+$", UPPER + LOWER),
     ("^[0-9A-Za-z]+$", DIGITS + UPPER + LOWER),
     ("^[0-9A-Za-z+/]+$", UPPER + LOWER + DIGITS + "+/"),
     ("^[0-9A-Za-z_-]+$", UPPER + LOWER + DIGITS + "-_"),
 )
 
+#: letters of a thousand in prose; capitals among small letters and what is no letter are rarer
+PROSE = dict(zip(LOWER, (82, 15, 28, 43, 127, 22, 20, 61, 70, 3, 8, 40, 24, 67, 75, 19, 3, 60, 63, 91, 28, 10, 24, 3, 20, 3), strict=True))
+PROSE_CAPITAL, PROSE_OTHER = 0.1, 2.0
+
+
+def _prose(alphabet: str) -> str:
+    """Log frequency in prose of every symbol, scaled to mean 0 and variance 1 over the alphabet, comma-joined."""
+    mixed = "a" in alphabet and "A" in alphabet
+    size = [PROSE.get(c.lower(), PROSE_OTHER) * (PROSE_CAPITAL if mixed and c.isupper() else 1) for c in alphabet]
+    logs = [math.log(x) for x in size]
+    mean = sum(logs) / len(logs)
+    spread = math.sqrt(sum((x - mean) ** 2 for x in logs) / len(logs))
+    return ",".join(f"{(x - mean) / spread:.9f}" for x in logs)
+
+
 BASE = ("assign", "access", "hex")
 LEAST = 20
 FDR = 0.05
@@ -88,8 +109,8 @@ def _two_sided(z: Column) -> Column:
     return let(F.abs(z) / F.sqrt(F.lit(2.0)), erfc)
 
 
-def _battery(values: Column, k: Column) -> Column:
-    """p-value of the three tests for symbol numbers ``values`` of an alphabet of ``k`` symbols."""
+def _battery(values: Column, k: Column, prose: Column) -> Column:
+    """p-value of the four tests for symbol numbers ``values`` of an alphabet of ``k`` symbols."""
     n = F.size(values).cast("double")
     each = F.transform(F.sequence(F.lit(0), k.cast("int") - 1), lambda i: F.size(F.filter(values, lambda v: v == i)))
     squares = F.aggregate(each, F.lit(0.0), lambda acc, c: acc + c.cast("double") * c)
@@ -109,8 +130,9 @@ def _battery(values: Column, k: Column) -> Column:
         z_runs = (changes - (n - 1) / 2) / F.sqrt((n - 1) / 4)
         products = F.aggregate(pairs, F.lit(0.0), lambda acc, x: acc + (x["a"] - mean) * (x["b"] - mean))
         z_serial = products / ((k * k - 1) / 12) / F.sqrt(n - 1)
-        least = F.least(_two_sided(z_chi), _two_sided(z_runs), _two_sided(z_serial))
-        return F.least(least * 3, F.lit(1.0))
+        z_prose = F.aggregate(values, F.lit(0.0), lambda acc, v: acc + F.get(prose, v)) / F.sqrt(n)
+        least = F.least(_two_sided(z_chi), _two_sided(z_runs), _two_sided(z_serial), _two_sided(z_prose))
+        return F.least(least * 4, F.lit(1.0))
 
     return let(pairs, rest)
 
@@ -120,13 +142,17 @@ def tested_tokens(text: Column) -> Column:
 
     def test(s: Column) -> Column:
         core = F.regexp_replace(s["match"], "=+$", "")
-        alphabet = F.coalesce(*[F.when(core.rlike(pattern), F.lit(a)) for pattern, a in ENCODINGS], F.lit(""))
+        number = F.coalesce(*[F.when(core.rlike(pattern), i) for i, (pattern, _) in enumerate(ENCODINGS)], F.lit(-1))
 
-        def run(alphabet: Column) -> Column:
+        def run(number: Column) -> Column:
+            alphabet = F.get(F.split(F.lit(" ".join(a for _, a in ENCODINGS)), " "), number)
+            prose = F.get(F.split(F.lit(" ".join(_prose(a) for _, a in ENCODINGS)), " "), number)
+            weights = F.split(prose, ",").cast("array<double>")
             values = F.transform(F.split(core, ""), lambda c: F.call_function("instr", alphabet, c) - 1)
-            return let(values, lambda v: _battery(v, F.length(alphabet).cast("double")))
+            p = let(values, lambda v: let(weights, lambda w: _battery(v, F.length(alphabet).cast("double"), w)))
+            return F.when(number < 0, 0.0).otherwise(p)
 
-        p = F.when(alphabet == "", 0.0).otherwise(let(alphabet, run))
+        p = let(number, run)
         return F.struct(
             s["start"].alias("start"),
             s["end"].alias("end"),
@@ -135,12 +161,8 @@ def tested_tokens(text: Column) -> Column:
             p.alias("p"),
         )
 
-    mixed = F.filter(
-        match_spans(text, TOKEN),
-        lambda s: s["match"].rlike("[A-Za-z]")
-        & (F.length(F.regexp_replace(s["match"], "[^0-9]", "")) * 12 >= F.length(s["match"])),
-    )
-    return F.when(text.rlike("[0-9]"), F.transform(mixed, test)).otherwise(F.array().cast(TESTED))
+    lettered = F.filter(match_spans(text, TOKEN), lambda s: s["match"].rlike("[A-Za-z]"))
+    return F.when(text.rlike(TOKEN), F.transform(lettered, test)).otherwise(F.array().cast(TESTED))
 
 
 def rejection_levels(documents: DataFrame, text_col: str = "text", fdr: float = FDR) -> dict[int, float]:
@@ -175,10 +197,7 @@ def secrets(documents: DataFrame, text_col: str = "text", into: str = "secrets",
         & ~F.exists(F.col(into), lambda s: (s["start"] < t["end"]) & (t["start"] < s["end"])),
     )
     added = tagged("random", len(BASE), random)
-    none = F.array().cast(TAGGED)
-    return staged.withColumn(
-        into, F.array_sort(F.concat(F.col(into), F.when(text.rlike("[0-9]"), added).otherwise(none)))
-    )
+    return staged.withColumn(into, F.array_sort(F.concat(F.col(into), added)))
 
 
 def _level(len_class: Column, levels: dict[int, float]) -> Column:
