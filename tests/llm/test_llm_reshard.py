@@ -86,3 +86,29 @@ def test_rewrite_writes_the_affected_shards(spark, tmp_path):
     place = {r.doc_id: r.shard for r in assigned.collect()}
     written = {r.doc_id: (r.shard, r.text) for r in spark.read.parquet(str(tmp_path / "new")).collect()}
     assert written == {i: (place[i], t) for i, t in rows if place[i] in affected}
+
+
+def test_rewrite_keeps_null_and_repeated_ids_and_other_shards(spark, tmp_path):
+    rows = [(i, f"text {i}") for i in range(60)] + [(7, f"other {i}") for i in range(30)] + [(8, "same")] * 30
+    rows += [(None, None), (None, ""), (None, "n"), (None, "n"), (9, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assigned = R.assign(R.numbered(docs))
+    path = str(tmp_path / "live")
+    live = spark.createDataFrame([(1, "old", 0, 99), (1, "stale", 0, 5)], "doc_id long, text string, slot long, shard int")
+    live.write.partitionBy("shard").parquet(path)
+    affected = R.rewrite(docs, assigned, path)
+    places = [r for r in assigned.collect() if r.shard in affected]
+    written = spark.read.parquet(path).collect()
+    assert [r.text for r in written if r.shard == 99] == ["old"] and 5 in affected
+    written = [r for r in written if r.shard != 99]
+    key = lambda i, size, crc, shard, slot: (str(i), size, crc, shard, slot)
+    raw = [(r, (r.text or "").encode()) for r in written]
+    assert sorted(key(r.doc_id, len(t) + 8, zlib.crc32(t), r.shard, r.slot) for r, t in raw) == sorted(
+        key(r.doc_id, r["size"], r.text_crc32, r.shard, r.slot) for r in places
+    )
+    assert not {(r.doc_id, r.text) for r in written} - set(rows)
+
+    fewer = R.assign(R.numbered(docs, 24), 24, 16)
+    spark.createDataFrame([(1, "gone", 0, 20)], live.schema).write.partitionBy("shard").parquet(str(tmp_path / "less"))
+    assert 20 in R.rewrite(docs, fewer, str(tmp_path / "less"))
+    assert "gone" not in {r.text for r in spark.read.parquet(str(tmp_path / "less")).collect()}

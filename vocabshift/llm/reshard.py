@@ -198,13 +198,42 @@ def report(documents: DataFrame) -> DataFrame:
 def rewrite(documents: DataFrame, assigned: DataFrame, path: str) -> list[int]:
     """Writes the files of the shards that gained or lost rows under ``path``; returns these shards.
 
-    ``documents`` need unique ids here.  A shard is split into files by slot range, so a hot shard is no single task.
+    Every row is written once: rows of equal id, size and checksum (nulls equal) are numbered on both sides and matched by
+    that number too, in one task for each such group.  Files of other shards under ``path`` stay, and a shard that lost
+    all its rows loses its files.
     """
     moved = assigned.where(F.col("shard") != F.col("old_shard"))
     ends = moved.select("shard").union(moved.select("old_shard")).distinct().collect()
     affected = sorted(r[0] for r in ends)
-    place = assigned.where(F.col("shard").isin(affected)).select("doc_id", "shard", "slot")
-    content = documents.join(place, "doc_id").withColumn("part", F.floor(F.col("slot") / 100_000))
-    spread = content.repartition("shard", "part").sortWithinPartitions("shard", "slot")
-    spread.drop("part").write.mode("overwrite").partitionBy("shard").parquet(path)
+    raw = F.coalesce(F.col("text"), F.lit("")).cast("binary")
+    mine = documents.select(
+        F.struct(*documents.columns).alias("document"),
+        F.col("doc_id").alias("id"),
+        (F.length(raw) + F.lit(ROW_OVERHEAD)).cast("long").alias("n"),
+        F.crc32(raw).alias("crc"),
+    )
+    same = Window.partitionBy("id", "n", "crc")
+    mine = mine.withColumn("copy", F.row_number().over(same.orderBy("crc")))
+    theirs = assigned.select(
+        F.col("doc_id").alias("p_id"), F.col("size").alias("p_n"), F.col("text_crc32").alias("p_crc"), "shard", "slot", "row"
+    )
+    place = theirs.withColumn("p_copy", F.row_number().over(Window.partitionBy("p_id", "p_n", "p_crc").orderBy("row")))
+    place = place.where(F.col("shard").isin(affected)).select(
+        "p_id", "p_n", "p_crc", "p_copy", F.col("shard").alias("p_shard"), F.col("slot").alias("p_slot")
+    )
+    equal = F.col("id").eqNullSafe(F.col("p_id"))
+    for c in ("n", "crc", "copy"):
+        equal &= F.col(c) == F.col(f"p_{c}")
+    kept = [F.col("document")[c].alias(c) for c in documents.columns if c not in ("shard", "slot")]
+    content = mine.join(place, equal).select(*kept, F.col("p_slot").alias("slot"), F.col("p_shard").alias("shard"))
+    spread = content.withColumn("__part", F.floor(F.col("slot") / 100_000)).repartition("shard", "__part")
+    out = spread.sortWithinPartitions("shard", "slot").drop("__part").write.mode("overwrite")
+    out.option("partitionOverwriteMode", "dynamic").partitionBy("shard").parquet(path)
+
+    filled = {r[0] for r in assigned.where(F.col("shard").isin(affected)).select("shard").distinct().collect()}
+    spark = documents.sparkSession
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    for shard in sorted(set(affected) - filled):
+        files.delete(spark._jvm.org.apache.hadoop.fs.Path(folder, f"shard={shard}"), True)
     return affected
