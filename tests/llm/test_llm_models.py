@@ -163,6 +163,26 @@ def test_main_text_without_article_markup(page_model):
     assert page_model.extract(page(body)) == " ".join(["Title", LOREM.strip(), LOREM.strip()])
 
 
+@pytest.mark.parametrize("opening", ["<div id=comments>", "<aside>", "<footer>", "<div id=comments><div>", "<div class='comment-list'>"])
+def test_many_paragraphs_do_not_outvote_a_name(page_model, opening):
+    article = f"<div><h1>Title</h1><p>{LOREM}<p>{LOREM}</div>"
+    want = " ".join(["Title", LOREM.strip(), LOREM.strip()])
+    for n in (1, 30):
+        assert page_model.extract(page(article + opening + f"<p>Reply. {LOREM}</p>" * n)) == want
+
+
+@pytest.mark.parametrize("name", ["post has-sidebar", "with-comments", "entry no-sidebar"])
+def test_modifiers_do_not_name_the_element(page_model, name):
+    want = f"T {LOREM.strip()}"
+    assert page_model.extract(page(f"<article class='{name}'><h1>T</h1><p>{LOREM}</article>")) == want
+    assert page_model.extract(page(f"<div class='{name}'><h1>T</h1><p>{LOREM}<p>{LOREM}</div>")) == f"{want} {LOREM.strip()}"
+
+
+def test_copies_count_once_in_the_sample(spark):
+    rows = [(f"<article><p>{i % 3}</article>",) for i in range(300)]
+    assert len(H.sampled(spark.createDataFrame(rows, "html string"), 100)) == 3
+
+
 def test_marginals_are_those_of_all_states(page_model):
     source = page(f"<div><p>{LOREM}</p><ul><li>a</li></ul></div><div><p>x</div>")
     p = H.Page(source)

@@ -9,9 +9,13 @@ every node; text of nodes with a content marginal over one half is the main text
 *Training* uses a bounded sample of pages whose markup names their article (``<article>`` or ``<main>``): a node is
 content if it lies in it, with no element in between, or itself, that is named as something else.  Each page is
 used twice, once with the naming element turned into a plain ``div``, so the text features carry pages without
-such markup.  Own potentials are logistic weights (maximum a posteriori; names in ``OTHER`` have a prior so
-strong that it holds without examples), edge potentials are the smoothed ratio of joint to independent
-frequencies.
+such markup.  Own potentials are logistic weights (maximum a posteriori; words of ``OTHER`` have a negative prior
+mean), edge potentials are the smoothed ratio of joint to independent frequencies.
+
+*Names*: an element with a tag of ``OTHER_TAGS``, or a class, id or role that begins or ends with a word of ``OTHER``, is observed as
+other, whatever it holds, and so is all in it down to an ``<article>`` or ``<main>`` (a ``<form>`` or ``<header>``, which may
+hold a whole page, only itself).  Such a word elsewhere ("content-sidebar-wrap"), or on ``<body>``, is a learned feature.  A name with a word of
+``MODIFIERS`` ("has-sidebar") says nothing about the element itself; its words are features of their own.
 
 Defined cases: null or empty html, and pages without content, give an empty text; markup that never closes
 is read to its end; comments, scripts and styles are never text; without any labelled page the priors decide;
@@ -33,7 +37,7 @@ from pyspark.sql import functions as F
 from vocabshift.llm.common import map_rows, text_slices
 
 SAMPLE_PAGES = 400
-PRIOR_OTHER = -40.0
+PRIOR_OTHER = -4.0
 PRIOR_ARTICLE = 4.0
 SMOOTHING = 0.5
 STEPS = 300
@@ -65,6 +69,8 @@ OTHER = frozenset(
     "consent notice notices popup modal overlay subscribe newsletter signup login share sharing social related "
     "recommended widget complementary contentinfo search toolbar pagination pager".split()
 )
+OPEN_TAGS = frozenset("form header".split())
+MODIFIERS = frozenset("has have with without no not is show hide enable enabled disable disabled".split())
 NAME = re.compile(r"[a-z][^\s/>]*", re.I)
 ATTRIBUTE = re.compile(r"(?:^|[\s\"'/])(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 WORDS = re.compile(r"[a-z]+")
@@ -77,6 +83,7 @@ class Page:
         self.parent: list[int] = [-1]
         self.tag: list[str] = ["html"]
         self.names: list[frozenset[str]] = [frozenset()]
+        self.named: list[int] = [0]  # whether names say other: not (0), in part (1), by a first or last word (2)
         self.pieces: list[tuple[int, str, bool] | None] = []
         self._read(source)
 
@@ -140,9 +147,19 @@ class Page:
             if name in SCOPE:
                 break
         names: set[str] = set()
+        named = 2 if tag in OTHER_TAGS else 0
         if "=" in attributes:
             for found in ATTRIBUTE.finditer(attributes):
-                names.update(WORDS.findall((found[2] or found[3] or found[4] or "").lower()))
+                for name in (found[2] or found[3] or found[4] or "").lower().split():
+                    words = WORDS.findall(name)
+                    if not MODIFIERS.isdisjoint(words):
+                        names.update(f"m:{w}" for w in words)
+                        continue
+                    names.update(f"c:{w}" for w in words)
+                    if not OTHER.isdisjoint(words):
+                        ends = tag not in ("html", "body") and not OTHER.isdisjoint((words[0], words[-1]))
+                        named = max(named, 2 if ends else 1)
+        self.named.append(named)
         self.parent.append(open_nodes[-1])
         self.tag.append(tag)
         self.names.append(frozenset(names))
@@ -177,7 +194,7 @@ class Page:
         out = []
         for i, tag in enumerate(self.tag):
             f = [f"t:{tag}", f"l:{min(6, (size[i].bit_length() + 1) // 2)}"]
-            f += [f"c:{w}" for w in self.names[i]]
+            f += self.names[i]
             if size[i]:
                 f.append(f"a:{4 * linked[i] // size[i]}")
                 f.append("e:1" if last[i] in ".!?:;…\"'»”" else "e:0")
@@ -228,16 +245,21 @@ def _after_raw(s: str, pos: int, tag: str) -> int:
     return m.end() if m else len(s)
 
 
-def named_other(tag: str, names: frozenset[str]) -> bool:
-    """Whether markup names an element as something other than content."""
-    return tag in OTHER_TAGS or not OTHER.isdisjoint(names)
+def observed_other(page: Page) -> list[bool]:
+    """Whether markup says of every node that it is, or lies in, something other than content."""
+    out, inner = [], []
+    for i, tag in enumerate(page.tag):
+        held = i > 0 and inner[page.parent[i]] and tag not in ("article", "main")
+        out.append(held or page.named[i] == 2)
+        inner.append(held or (page.named[i] == 2 and tag not in OPEN_TAGS))
+    return out
 
 
 def labels(page: Page) -> list[int] | None:
     """Content (1) or other (0) of every node by the page's own naming; None if it names no article."""
     state = [0] * len(page.tag)
     for i, tag in enumerate(page.tag):
-        if named_other(tag, page.names[i]):
+        if page.named[i]:
             continue
         if tag in ("article", "main") or (i and state[page.parent[i]]):
             state[i] = 1
@@ -256,11 +278,11 @@ class Model:
         """Whether each node's content marginal is over one half (sum-product, two passes)."""
         get = self.weights.get
         n = len(page.tag)
-        named = [named_other(t, names) for t, names in zip(page.tag, page.names, strict=True)]
+        named = observed_other(page)
         score = []
         for i, names in enumerate(page.features()):
-            u = PRIOR_OTHER if named[i] else self.bias + sum(get(f, 0.0) for f in names)
-            score.append(math.exp(max(-60.0, min(60.0, u))))
+            u = self.bias + sum(get(f, 0.0) for f in names)
+            score.append(0.0 if named[i] else math.exp(max(-60.0, min(60.0, u))))
         kind = [self.edges[tag in CONTAINER] for tag in page.tag]
         up = score[:]  # odds of content from the node and all below it
         message = [1.0] * n
@@ -269,7 +291,8 @@ class Model:
                 continue  # its name says what it is, whatever its parent is: no message either way
             e, odds = kind[i], up[i]
             message[i] = (e[1][0] + e[1][1] * odds) / (e[0][0] + e[0][1] * odds)
-            up[page.parent[i]] = min(max(up[page.parent[i]] * message[i], 1e-250), 1e250)
+            if not named[page.parent[i]]:
+                up[page.parent[i]] = min(max(up[page.parent[i]] * message[i], 1e-250), 1e250)
         full = up[:]
         for i in range(1, n):
             if named[i]:
@@ -300,12 +323,12 @@ def fit(sources: list[str]) -> Model:
             if hide:
                 page.tag = ["div" if t in ("article", "main") else t for t in page.tag]
             for i, names in enumerate(page.features()):
-                if named_other(page.tag[i], page.names[i]):
-                    continue  # the prior alone decides
+                if page.named[i] == 2:
+                    continue  # observed
                 feats.append(names)
                 target.append(state[i])
         for i in range(1, len(page.tag)):
-            if named_other(page.tag[i], page.names[i]):
+            if page.named[i] == 2:
                 continue
             joint[page.tag[i] in CONTAINER][state[page.parent[i]]][state[i]] += 1
     edges = []
@@ -314,6 +337,7 @@ def fit(sources: list[str]) -> Model:
         rows, cols = [sum(r) for r in table], [sum(c) for c in zip(*table, strict=True)]
         edges.append([[table[p][c] * total / (rows[p] * cols[c]) for c in range(2)] for p in range(2)])
     prior = {"t:article": PRIOR_ARTICLE, "t:main": PRIOR_ARTICLE, "t:html": -PRIOR_ARTICLE, "t:body": -PRIOR_ARTICLE}
+    prior |= {f"c:{w}": PRIOR_OTHER for w in OTHER}
     names = sorted({f for fs in feats for f in fs} | set(prior))
     index = {f: k for k, f in enumerate(names)}
     mean = np.array([prior.get(f, 0.0) for f in names] + [0.0])
@@ -332,13 +356,13 @@ def fit(sources: list[str]) -> Model:
 
 
 def sampled(pages: DataFrame, most: int = SAMPLE_PAGES) -> list[str]:
-    """About ``most`` pages for training (a hash of the page decides; pages without article markup don't count)."""
+    """About ``most`` different pages for training (a hash of the page decides; pages without article markup don't count)."""
     named = pages.select("html").where(F.col("html").rlike("(?i)<(?:article|main)[\\s>]"))
-    n = named.count()
+    n = named.select(F.count_distinct(F.xxhash64("html"))).first()[0]
     if not n:
         return []
     u = F.pmod(F.xxhash64("html"), F.lit(1_000_003)) / 1_000_003.0
-    rows = named.where(u < min(1.0, most / n)).toLocalIterator()
+    rows = named.where(u < min(1.0, most / n)).distinct().toLocalIterator()
     return sorted(r["html"] for r in rows)
 
 
