@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import ctypes
 import uuid
 from collections.abc import Callable, Iterator
@@ -28,7 +30,53 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark).rstrip('/')}/llm-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    if not _stored_at:
+        atexit.register(_discard_all, spark)
+    _stored_at.add(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+_stored_at: set[str] = set()
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove the files of ``stored`` tables that nothing will read again."""
+    for table in tables:
+        _remove(table.sparkSession, table.stored_at)
+        _stored_at.discard(table.stored_at)
+
+
+def _discard_all(spark: SparkSession) -> None:
+    """At the end of the driver: remove what is left of the ``stored`` tables, if the session still runs."""
+    with contextlib.suppress(Exception):
+        for path in _stored_at:
+            _remove(spark, path)
+
+
+def many_to_one(rows: DataFrame, table: DataFrame, keys: list[str], weight: str) -> DataFrame:
+    """Inner join of ``rows`` with a table of distinct ``keys`` that says by ``weight`` how many rows have a key.
+
+    Keys with at least one in ``HEAVY`` of all rows are at most ``HEAVY`` and are broadcast, so their rows are not shuffled;
+    the others are joined by a shuffle in which no key weighs much.
+    """
+    total = table.agg(F.sum(weight)).first()[0] or 0
+    heavy = F.col(weight) * HEAVY >= total
+    some = table.where(heavy).limit(1).count() if total else 0
+    if not some:
+        return rows.join(table, keys)
+    few = F.broadcast(table.where(heavy))
+    rest = rows.join(F.broadcast(table.where(heavy).select(*keys)), keys, "left_anti").join(table.where(~heavy), keys)
+    return rows.join(few, keys).unionByName(rest)
+
+
+HEAVY = 2_000
 
 
 def id_remainder(column: str, modulus: int) -> Column:

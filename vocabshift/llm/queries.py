@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vocabshift.llm import decontam, html_main, infill, langid, ngram_join, pii, reshard, secret_scan, subword, topk, toxicity
+from vocabshift.llm import decontam, html_main, infill, langid, ngram_join, pii, repeats, reshard, secret_scan, subword, topk, toxicity
 from vocabshift.llm.common import read_table
 
 
@@ -59,6 +59,11 @@ def op10_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_main.report(read_table(spark, sf_dir, "pages"))
 
 
+def op11_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document that lie in passages of an earlier one."""
+    return repeats.report(repeats.without_repeats(read_table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
 def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fill-in-middle form of every document."""
     return infill.report(infill.fill_in_middle(read_table(spark, sf_dir, "documents").select("doc_id", "text")))
@@ -75,6 +80,7 @@ QUERIES = {
     "op8_sentencepiece": op8_sentencepiece,
     "op9_benchmark_decontamination": op9_benchmark_decontamination,
     "op10_html_main_text": op10_html_main_text,
+    "op11_substring_dedup": op11_substring_dedup,
     "op12_fill_in_middle": op12_fill_in_middle,
 }
 
@@ -82,5 +88,6 @@ ORACLE_SQL = {
     "op3_exact_top_k": topk.ORACLE,
     "op5_ngram_jaccard_join": ngram_join.ORACLE,
     "op9_benchmark_decontamination": decontam.ORACLE,
+    "op11_substring_dedup": repeats.ORACLE,
     "op12_fill_in_middle": infill.ORACLE,
 }

@@ -14,9 +14,11 @@ def _mixed(h: np.ndarray) -> np.ndarray:
     return (h ^ (h >> np.uint64(29))) * STEP ^ (h >> np.uint64(31))
 
 
-def word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """(64-bit hash of every word of all texts in order, words per text); A-Z count as a-z."""
-    raw = [(t or "").encode("utf-8", "surrogatepass").lower() for t in texts]
+def word_hashes(texts: list[str | None], lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """(64-bit hash of every word of all texts in order, words per text); A-Z count as a-z if ``lower``."""
+    raw = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
+    if lower:
+        raw = [r.lower() for r in raw]
     b = np.frombuffer(b" ".join([*raw, b""]), np.uint8)
     space = (b == 32) | ((b >= 9) & (b <= 13))
     start = ~space
