@@ -61,6 +61,13 @@ class Staging:
             self.paths.remove(table.staged_at)
             _remove(self.spark, table.staged_at)
 
+    def drop_all_but(self, *tables: DataFrame) -> None:
+        """Remove everything but the given staged tables."""
+        kept = [t.staged_at for t in tables]
+        for path in [p for p in self.paths if p not in kept]:
+            self.paths.remove(path)
+            _remove(self.spark, path)
+
     def close(self) -> None:
         """Remove all that is left."""
         while self.paths:
