@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vocabshift.llm import decontam, html_main, infill, langid, ngram_join, pii, repeats, reshard, secret_scan, subword, topk, toxicity
+from vocabshift.llm import decontam, html_main, infill, langid, ngram_join, pii, prefix_trie, repeats, reshard, secret_scan, subword, topk, toxicity
 from vocabshift.llm.common import read_table
 
 
@@ -69,6 +69,11 @@ def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return infill.report(infill.fill_in_middle(read_table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The trie of all rebuilt conversations."""
+    return prefix_trie.report(prefix_trie.prefix_trie(read_table(spark, sf_dir, "conversations")))
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_toxicity": op2_toxicity,
@@ -82,6 +87,7 @@ QUERIES = {
     "op10_html_main_text": op10_html_main_text,
     "op11_substring_dedup": op11_substring_dedup,
     "op12_fill_in_middle": op12_fill_in_middle,
+    "op13_prefix_trie": op13_prefix_trie,
 }
 
 ORACLE_SQL = {
@@ -90,4 +96,5 @@ ORACLE_SQL = {
     "op9_benchmark_decontamination": decontam.ORACLE,
     "op11_substring_dedup": repeats.ORACLE,
     "op12_fill_in_middle": infill.ORACLE,
+    "op13_prefix_trie": prefix_trie.ORACLE,
 }
