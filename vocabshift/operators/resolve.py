@@ -12,8 +12,8 @@ Semantics (per concept set, keyed by ``keys``):
   does not apply to them); other flag values do neither;
 * the result is a set (distinct rows).
 
-Plan: the item table (broadcast while its bytes are bounded) is a filter on
-one scan of ``concept`` (which of its nodes exist) and joins one scan of
+Plan: the item table, read once (broadcast while its bytes are bounded), meets
+one scan of ``concept`` (which of its nodes exist) and then one scan of
 ``concept_ancestor``; include and exclude rows are tagged in the same pass and
 reduced by one hash aggregate keyed on ``keys + descendant`` (partial
 aggregation map-side), which is the set difference without a second scan of
@@ -32,18 +32,6 @@ from ..model import SET_KEYS, Vocabulary
 from ..plans.broadcast import broadcast_if, fits
 
 
-def existing_items(items: DataFrame, vocab: Vocabulary, small: bool | None = None) -> DataFrame:
-    """Items whose node exists in ``vocab.concept``.
-
-    The existing ids are a subset of the items' ids, so they are as small as the items are.
-    """
-    small = fits(items) if small is None else small
-    wanted = items.select(F.col("conceptid").alias("_wanted")).distinct()
-    ids = vocab.concept.select(F.col("concept_id").alias("_node_id"))
-    found = ids.join(broadcast_if(wanted, small), F.col("_node_id") == F.col("_wanted"), "left_semi").distinct()
-    return items.join(broadcast_if(found, small), F.col("_node_id") == F.col("conceptid")).drop("_node_id")
-
-
 def expand_items(
     items: DataFrame,
     vocab: Vocabulary,
@@ -60,7 +48,9 @@ def expand_items(
         items.where(include | exclude)
         .select(*keys, "conceptid", "includedescendants", flag(include).alias("_inc"), flag(exclude).alias("_exc"))
     )
-    nodes = existing_items(tagged, vocab, small)
+    # A node that the concept table repeats repeats its rows, which no set operation below sees.
+    ids = vocab.concept.select(F.col("concept_id").alias("_node_id"))
+    nodes = ids.join(broadcast_if(tagged, small), F.col("_node_id") == conceptid).drop("_node_id")
     anc = vocab.ancestor.select("ancestor_concept_id", "descendant_concept_id")
     a, d = F.col("ancestor_concept_id"), F.col("descendant_concept_id")
     desc = F.col("includedescendants")

@@ -10,13 +10,17 @@ accept invalid ``Mapped from`` edges by default (``valid_only=False``).
 
 Plan for the event side (the only input that grows to terabytes): the six
 event tables are projected to ``(person_id, source_concept_id)`` and unioned.
-Events of codes outside the diff are dropped first; the wanted codes are a
-subset of the concept ids, so while the concept tables' bytes are bounded
-they are broadcast and the filter runs in the scan stage.  What is left is
-reduced to distinct (person, code) pairs, map-side first, which collapses hot
-pairs; only then each pair meets its code's one row, which carries the code's
-cohorts as an array (broadcast under the same bound; beyond it a skewed code
-is split by AQE), and the flags are aggregated per (cohort, person).
+
+* Events of codes outside the diff are dropped in the scan stage: by a
+  broadcast of the diff's codes while their bytes are bounded, beyond that by a
+  filter of bounded size (``code_filter``) whatever the vocabulary's size.
+* What is left is reduced to distinct (person, code) pairs, map-side first,
+  which collapses hot pairs, before anything is shuffled by code.
+* A code's cohorts are bitmaps of ``WORD`` cohorts a row (``cohort_words``), so
+  no row grows with the cohorts, and flags of ``WORD`` cohorts are aggregated
+  at once per person by OR.  Cohorts are told apart only in the result.
+* Above the bound the pairs meet the bitmaps in a join whose output is
+  shuffled anew by (person, word), so AQE may split a code that many have.
 """
 
 from __future__ import annotations
@@ -24,10 +28,11 @@ from __future__ import annotations
 from collections.abc import Iterable, Mapping
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import count_if, flag, is_in, safe_ratio
+from ..functions.bits import bit_at, bits_in, one_bit
+from ..functions.columns import count_if, is_in, safe_ratio
 from ..model import MAPPED_FROM, Vocabulary
 from ..plans.broadcast import broadcast_if
 
@@ -100,37 +105,88 @@ def union_events(tables: Mapping[str, DataFrame], columns: Mapping[str, str] = E
     return reduce(DataFrame.unionByName, parts)
 
 
+WORD = 64  # cohorts in one bitmap
+FILTER_BLOCKS = 1 << 18  # most rows of a code filter: 40 bytes each, about 10 MB
+FILTER_LANES = 4  # 64 bits each
+WORD_ROW_BYTES = 64  # a row of cohort_words in memory, with room to spare
+CODE_ROW_BYTES = 32
+
+
+def code_filter(codes: DataFrame, blocks: int = FILTER_BLOCKS) -> DataFrame:
+    """A blocked Bloom filter of the ids in ``concept_id``: ``_block`` and ``FILTER_LANES`` words, at most ``blocks`` rows.
+
+    An id sets one bit in each lane of its block.  The bound on the rows holds for any number of ids; with
+    ten million in the default size about one other id in twenty passes.
+    """
+    ids = codes.select(F.col("concept_id").alias("_id")).where("_id is not null").distinct()
+    h = F.xxhash64("_id")
+    block = F.pmod(h, F.lit(blocks)).alias("_block")
+    lanes = [F.bit_or(one_bit(_lane_bit("_id", k))).alias(f"_lane{k}") for k in range(FILTER_LANES)]
+    return ids.groupBy(block).agg(*lanes)
+
+
+def _lane_bit(column: str, lane: int):
+    return F.pmod(F.hash(F.lit(lane), F.col(column)), F.lit(64))
+
+
+def filtered_events(events: DataFrame, codes: DataFrame, blocks: int = FILTER_BLOCKS) -> DataFrame:
+    """Events whose code may be one of ``codes``: all of those that are, and few others.
+
+    The filter has a bounded size and is broadcast, so this happens in the scan stage however many codes there are.
+    """
+    code = F.col("source_concept_id")
+    tested = events.join(F.broadcast(code_filter(codes, blocks)), F.pmod(F.xxhash64(code), F.lit(blocks)) == F.col("_block"))
+    passed = [bit_at(F.col(f"_lane{k}"), _lane_bit("source_concept_id", k)) == 1 for k in range(FILTER_LANES)]
+    return tested.where(reduce(Column.__and__, passed)).select(*events.columns)
+
+
 def _wanted(events: DataFrame, codes: DataFrame, small: bool) -> DataFrame:
-    """Events of the given codes (column ``concept_id``).
+    """Events of the given codes (column ``concept_id``); beyond the bound few others may be left.
 
     An inner join with distinct ids: a semi join would be pushed into every event table, each with a copy of the
     whole derivation of the codes.
     """
+    if not small:
+        return filtered_events(events, codes)
     ids = codes.select(F.col("concept_id").alias("_wanted")).distinct()
-    return events.join(broadcast_if(ids, small), F.col("source_concept_id") == F.col("_wanted")).drop("_wanted")
+    return events.join(F.broadcast(ids), F.col("source_concept_id") == F.col("_wanted")).drop("_wanted")
 
 
-def cohorts_of_codes(diff: DataFrame) -> DataFrame:
-    """One row per code with its cohorts: ``concept_id, cohorts`` (array of cohort and type)."""
-    cohort = F.struct("cohort_definition_id", "concept_type")
-    return diff.groupBy("concept_id").agg(F.collect_list(cohort).alias("cohorts"))
+KINDS = {SAME: "has_same", ADDED: "has_new", REMOVED: "has_old"}
 
 
-def _per_cohort(events: DataFrame, diff: DataFrame, small: bool) -> DataFrame:
-    """Every event (or pair) once per cohort that holds its code."""
-    codes = broadcast_if(cohorts_of_codes(diff), small)
-    met = events.join(codes, F.col("source_concept_id") == F.col("concept_id"))
-    return met.select("person_id", F.explode("cohorts").alias("c")).select(
-        "c.cohort_definition_id", "person_id", "c.concept_type"
-    )
+def cohort_words(diff: DataFrame) -> DataFrame:
+    """The cohorts of each code as bitmaps: ``concept_id, word`` and one bitmap for each kind.
+
+    Cohort ``c`` is bit ``c mod WORD`` of word ``floor(c / WORD)``; a NULL cohort is bit 0 of a NULL word.
+    """
+    c, kind = F.col("cohort_definition_id"), F.col("concept_type")
+    bit = F.coalesce(F.pmod(c, F.lit(WORD)), F.lit(0))
+    marks = [F.bit_or(F.when(kind == k, one_bit(bit)).otherwise(F.lit(0).cast("long"))).alias(n) for k, n in KINDS.items()]
+    return diff.groupBy("concept_id", F.floor(c / WORD).cast("long").alias("word")).agg(*marks)
+
+
+def _per_cohort(words: DataFrame, *columns: str) -> DataFrame:
+    """One row for each cohort that any bitmap holds: ``cohort_definition_id``, the columns, and a flag for each kind."""
+    held = reduce(Column.bitwiseOR, [F.col(n) for n in KINDS.values()])
+    rows = words.select(*columns, "word", *KINDS.values(), F.explode(bits_in(held)).alias("_bit"))
+    flags = [bit_at(F.col(n), F.col("_bit")).cast("int").alias(n) for n in KINDS.values()]
+    return rows.select((F.col("word") * WORD + F.col("_bit")).alias("cohort_definition_id"), *columns, *flags)
+
+
+def _met(events: DataFrame, diff: DataFrame, small: bool) -> DataFrame:
+    """Every event (or pair) once per word of cohorts that hold its code."""
+    return events.join(broadcast_if(cohort_words(diff), small), F.col("source_concept_id") == F.col("concept_id"))
 
 
 def matched_events(events: DataFrame, diff: DataFrame, small: bool = False) -> DataFrame:
     """``(cohort_definition_id, person_id, concept_type)``, one row per event and matching cohort.
 
-    ``small``: the caller knows that the diff's codes are bounded in bytes.
+    ``small``: the caller knows that the diff is bounded in bytes.
     """
-    return _per_cohort(_wanted(events, diff, small), diff, small)
+    rows = _per_cohort(_met(_wanted(events, diff, small), diff, small), "person_id")
+    kind = F.coalesce(*[F.when(F.col(n) == 1, F.lit(k)) for k, n in KINDS.items()])
+    return rows.select("cohort_definition_id", "person_id", kind.alias("concept_type"))
 
 
 def person_flags(events: DataFrame, diff: DataFrame, small: bool = False) -> DataFrame:
@@ -139,12 +195,8 @@ def person_flags(events: DataFrame, diff: DataFrame, small: bool = False) -> Dat
     Only whether a person has a code matters, so events become distinct pairs before they meet the cohorts.
     """
     pairs = _wanted(events.select("person_id", "source_concept_id"), diff, small).distinct()
-    t = F.col("concept_type")
-    return _per_cohort(pairs, diff, small).groupBy("cohort_definition_id", "person_id").agg(
-        F.max(flag(t == SAME)).alias("has_same"),
-        F.max(flag(t == ADDED)).alias("has_new"),
-        F.max(flag(t == REMOVED)).alias("has_old"),
-    )
+    words = _met(pairs, diff, small).groupBy("person_id", "word").agg(*[F.bit_or(n).alias(n) for n in KINDS.values()])
+    return _per_cohort(words, "person_id").select("cohort_definition_id", "person_id", *KINDS.values())
 
 
 def flag_histogram(flags: DataFrame) -> DataFrame:

@@ -1,12 +1,20 @@
 """User-level reports: the four-table vocabulary change report and the cohort-pair report.
 
-Both are lazy: building a report starts no job and collects nothing.  A
-resolved side that several of the *requested* reports read is materialised
-once: ``materialize="persist"`` (default, MEMORY_AND_DISK, lost blocks
-recomputed from lineage), ``"checkpoint"`` (written to the shared
-``spark.checkpoint.dir`` folder on first use, lineage cut) or ``"none"``.
-A single requested report persists nothing.  A report set is a context
-manager; leaving it, or ``close()``, releases what it holds.
+A report is built on first access.  What several consumers read - the
+resolved sides, if more than one requested report needs them, the code
+difference of the mapping report, the cohort difference of the stats - is
+built and run once (``materialize``):
+
+* ``"stage"`` (default): written as Parquet under ``spark.checkpoint.dir``,
+  owned by the report set and removed when it is left.  Its consumers' plans
+  begin at a scan with known sizes, and a lost executor recomputes nothing.
+* ``"persist"`` (MEMORY_AND_DISK, lost blocks recomputed from lineage) and
+  ``"checkpoint"``: the resolved sides only.
+* ``"none"``: nothing; building starts no job and every consumer recomputes.
+
+A report set is a context manager; leaving it, or ``close()``, releases what
+it holds, so its reports are read before.  What a set that was never left holds
+goes when the driver ends.
 """
 
 from __future__ import annotations
@@ -14,7 +22,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable, Iterator, Mapping
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..model import PAIR_SET_KEYS, SET_KEYS, Vocabulary, normalise_items, source_vocabularies
@@ -25,16 +33,18 @@ from ..operators import nodes as N
 from ..operators import resolve as R
 from ..operators import stats as S
 from ..session import checkpoint_dir
-from .broadcast import broadcast_if, fits
+from ..staging import Staging
+from .broadcast import broadcast_if, fits, rows_fit
 
 
 class ReportSet(Mapping):
-    """Named report DataFrames, built on first access, plus the intermediates held in memory."""
+    """Named report DataFrames, built on first access, plus the shared intermediates."""
 
-    def __init__(self, builders: dict[str, Callable[[], DataFrame]], held: list[DataFrame]):
+    def __init__(self, builders: dict[str, Callable[[], DataFrame]], shared: _Shared):
         self._builders = builders
         self._built: dict[str, DataFrame] = {}
-        self.held = held
+        self.held = shared.held
+        self.staging = shared.staging
 
     def __getitem__(self, name: str) -> DataFrame:
         if name not in self._built:
@@ -48,10 +58,11 @@ class ReportSet(Mapping):
         return len(self._builders)
 
     def close(self) -> None:
-        """Release the persisted intermediates."""
+        """Release the persisted and staged intermediates."""
         for df in self.held:
             df.unpersist()
         self.held.clear()
+        self.staging.close()
 
     def __enter__(self) -> ReportSet:
         return self
@@ -60,28 +71,7 @@ class ReportSet(Mapping):
         self.close()
 
 
-MATERIALIZE = ("persist", "checkpoint", "none")
-
-
-def _keep(df: DataFrame, held: list[DataFrame], materialize: str | bool) -> DataFrame:
-    """Materialise a shared intermediate.
-
-    ``persist``: MEMORY_AND_DISK, recomputed from lineage if blocks are
-    lost.  ``checkpoint``: written to the shared folder named by
-    ``spark.checkpoint.dir`` and the lineage cut, so a lost executor costs
-    no recomputation.  ``none``: recompute in every branch.
-    """
-    mode = {True: "persist", False: "none"}.get(materialize, materialize)
-    if mode not in MATERIALIZE:
-        raise ValueError(f"materialize must be one of {MATERIALIZE}")
-    if mode == "persist":
-        df = df.persist(StorageLevel.MEMORY_AND_DISK)
-        held.append(df)
-    elif mode == "checkpoint":
-        checkpoint_dir(df.sparkSession)
-        df = df.checkpoint(eager=True)
-    return df
-
+MATERIALIZE = ("stage", "persist", "checkpoint", "none")
 
 # The resolved sides that each report reads.
 SIDES = {
@@ -102,19 +92,36 @@ def _requested(reports: Iterable[str] | None, available: Iterable[str]) -> list[
 
 
 class _Shared:
-    """Sides built on first use, kept when several requested reports read them."""
+    """Intermediates built on first use, kept when they have several readers."""
 
-    def __init__(self, requested: list[str], materialize: str | bool):
+    def __init__(self, spark: SparkSession, requested: list[str], materialize: str | bool):
         self.readers = {side: sum(side in SIDES[r] for r in requested) for side in ("old_vc", "new_vc")}
-        self.materialize = materialize
+        self.materialize = {True: "stage", False: "none"}.get(materialize, materialize)
+        if self.materialize not in MATERIALIZE:
+            raise ValueError(f"materialize must be one of {MATERIALIZE}")
         self.built: dict[str, DataFrame] = {}
         self.held: list[DataFrame] = []
+        self.staging = Staging(spark, "reports")
+
+    @property
+    def staged(self) -> bool:
+        return self.materialize == "stage"
 
-    def __call__(self, side: str, build: Callable[[], DataFrame]) -> DataFrame:
-        if side not in self.built:
+    def __call__(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+        """``build()``, kept if it is a resolved side of several reports or, where tables are staged, a difference."""
+        if name not in self.built:
             df = build()
-            self.built[side] = _keep(df, self.held, self.materialize) if self.readers[side] > 1 else df
-        return self.built[side]
+            side = name in self.readers
+            if self.staged and self.readers.get(name, 2) > 1:
+                df = self.staging.put(df, name)
+            elif side and self.readers[name] > 1 and self.materialize == "persist":
+                df = df.persist(StorageLevel.MEMORY_AND_DISK)
+                self.held.append(df)
+            elif side and self.readers[name] > 1 and self.materialize == "checkpoint":
+                checkpoint_dir(df.sparkSession)
+                df = df.checkpoint(eager=True)
+            self.built[name] = df
+        return self.built[name]
 
 
 def vocabulary_change_report(
@@ -128,7 +135,7 @@ def vocabulary_change_report(
     included_source_vocabs: Iterable[str] | None = None,
     changed_only: bool = False,
     stats_valid_edges_only: bool = False,
-    materialize: str = "persist",
+    materialize: str = "stage",
     reports: Iterable[str] | None = None,
 ) -> ReportSet:
     """``nonstandard_nodes``, ``mapping_diff``, ``domain_change`` and (with events) ``cohort_stats``.
@@ -143,7 +150,7 @@ def vocabulary_change_report(
     small = fits(items)
     available = ["nonstandard_nodes", "mapping_diff", "domain_change"] + (["cohort_stats"] if events is not None else [])
     requested = _requested(reports, available)
-    shared = _Shared(requested, materialize)
+    shared = _Shared(old.concept.sparkSession, requested, materialize)
 
     def old_vc() -> DataFrame:
         return shared("old_vc", lambda: R.resolve_concepts(items, old, excluded_nodes, SET_KEYS, small))
@@ -152,14 +159,16 @@ def vocabulary_change_report(
         return shared("new_vc", lambda: R.resolve_concepts(items, new, excluded_nodes, SET_KEYS, small))
 
     def mapping_diff() -> DataFrame:
-        dif = D.source_concept_diff(D.source_concepts(old_vc(), old), D.source_concepts(new_vc(), new))
+        dif = shared("dif", lambda: D.source_concept_diff(D.source_concepts(old_vc(), old), D.source_concepts(new_vc(), new)))
         return M.mapping_diff_one_pass(dif, old, new, counts, SET_KEYS, vocabs, changed_only)
 
     def cohort_stats() -> DataFrame:
         ev = events if isinstance(events, DataFrame) else S.union_events(events)
-        cdiff = S.concept_diff(S.concept_pool(old_vc(), new_vc(), old, new, vocabs, stats_valid_edges_only))
-        # the codes of the diff are concept ids of one version or the other
-        flags = S.person_flags(ev, cdiff, fits(old.concept, new.concept))
+        cdiff = shared(
+            "cdiff", lambda: S.concept_diff(S.concept_pool(old_vc(), new_vc(), old, new, vocabs, stats_valid_edges_only))
+        )
+        small = shared.staged and rows_fit(cdiff, S.WORD_ROW_BYTES)  # counted rows of fixed width
+        flags = S.person_flags(ev, cdiff, small)
         summary = S.person_change_summary_from_flags(flags)
         return S.cohort_stats(summary, S.concept_count_change(cdiff), cohort_names)
 
@@ -172,7 +181,7 @@ def vocabulary_change_report(
     }
     if events is not None:
         builders["cohort_stats"] = cohort_stats
-    return ReportSet({name: builders[name] for name in requested}, shared.held)
+    return ReportSet({name: builders[name] for name in requested}, shared)
 
 
 def cohort_pair_report(
@@ -185,7 +194,7 @@ def cohort_pair_report(
     excluded_nodes: Iterable[int] | None = (),
     included_source_vocabs: Iterable[str] | None = None,
     changed_only: bool = True,
-    materialize: str = "persist",
+    materialize: str = "stage",
     reports: Iterable[str] | None = None,
 ) -> ReportSet:
     """Old cohorts on the old vocabulary vs their updated versions on the new one.
@@ -201,7 +210,7 @@ def cohort_pair_report(
     small = fits(items_old, items_new)
     map_small = fits(cohort_map)
     requested = _requested(reports, ("nonstandard_nodes", "mapping_diff", "domain_change"))
-    shared = _Shared(requested, materialize)
+    shared = _Shared(old.concept.sparkSession, requested, materialize)
 
     def old_vc() -> DataFrame:
         return shared("old_vc", lambda: R.resolve_concepts(items_old, old, excluded_nodes, PAIR_SET_KEYS, small))
@@ -215,10 +224,13 @@ def cohort_pair_report(
         )
 
     def mapping_diff() -> DataFrame:
-        dif = D.source_concept_diff(
-            D.source_concepts(old_vc(), old, PAIR_SET_KEYS),
-            D.source_concepts(new_vc(), new, PAIR_SET_KEYS),
-            PAIR_SET_KEYS,
+        dif = shared(
+            "dif",
+            lambda: D.source_concept_diff(
+                D.source_concepts(old_vc(), old, PAIR_SET_KEYS),
+                D.source_concepts(new_vc(), new, PAIR_SET_KEYS),
+                PAIR_SET_KEYS,
+            ),
         )
         mapdif = M.mapping_diff_one_pass(dif, old, new, counts, PAIR_SET_KEYS, vocabs, changed_only, sort=False)
         return with_pair_columns(mapdif, cohort_map, map_small).orderBy(*M.report_order(PAIR_SET_KEYS), "new_cohort_id")
@@ -234,7 +246,7 @@ def cohort_pair_report(
         "mapping_diff": mapping_diff,
         "domain_change": domain_change,
     }
-    return ReportSet({name: builders[name] for name in requested}, shared.held)
+    return ReportSet({name: builders[name] for name in requested}, shared)
 
 
 def with_pair_columns(df: DataFrame, cohort_map: DataFrame, small: bool | None = None) -> DataFrame:

@@ -17,6 +17,8 @@ ANALYSIS_CONF = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
+    # Python call sites in error messages cost a stack walk and calls into the JVM for every expression of a plan.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 

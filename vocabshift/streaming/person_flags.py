@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators import stats as S
-from ..plans.broadcast import fits
+from ..plans.broadcast import rows_fit
 
 DIFF_SCHEMA = "cohort_definition_id bigint, concept_id bigint, concept_type string"
 FLAG_LOG_SCHEMA = "cohort_definition_id bigint, person_id bigint, has_same int, has_new int, has_old int"
@@ -77,7 +77,7 @@ def start_person_flags(
 
     def write_batch(batch: DataFrame, batch_id: int) -> None:
         known = batch.sparkSession.read.schema(DIFF_SCHEMA).parquet(f"{log}/diff")
-        flags = S.person_flags(batch, known, fits(known))
+        flags = S.person_flags(batch, known, rows_fit(known, S.WORD_ROW_BYTES))
         flags.write.mode("overwrite").parquet(f"{log}/flags/batch_id={batch_id}")
 
     writer = events.writeStream.foreachBatch(write_batch).option("checkpointLocation", f"{checkpoint_location}/{version}")
