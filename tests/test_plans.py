@@ -74,6 +74,26 @@ def test_events_are_filtered_below_their_first_shuffle_at_any_vocabulary_size(sp
     assert sorted(e.split("#")[0] for e in events) == ["person_id", "person_id", "source_concept_id"]
 
 
+def test_laid_out_events_are_never_shuffled(spark, no_auto_broadcast):
+    from vocabshift.sinks.events import write_event_layout
+    from vocabshift.staging import Staging
+
+    with Staging(spark, "layout") as stage:
+        path = stage.folder("events")
+        table = "events_" + path.rsplit("-", 1)[1]
+        fx = Fixtures(spark, SMALL_SF)
+        events = S.union_events(fx.event_tables)
+        layout = write_event_layout(events, table, 8, path)
+        codes = events.select(F.col("source_concept_id").alias("concept_id")).distinct().where("concept_id % 3 = 0")
+        diff = codes.select(F.lit(1).cast("long").alias("cohort_definition_id"), "concept_id", F.lit("added").alias("concept_type"))
+        flags = S.person_flags(layout, diff, small=True)
+        plan = _plan(flags)
+        assert "Bucketed: true" in plan
+        assert not re.search(r"\) Exchange\nInput \[\d+\]: \[person_id", plan)
+        assert sorted(flags.collect()) == sorted(S.person_flags(events, diff, small=True).collect())
+        spark.sql(f"drop table {table}")
+
+
 def test_code_filter_keeps_all_codes_and_few_others(spark):
     codes = spark.range(0, 50_000, 5).select(F.col("id").alias("concept_id"))
     events = spark.range(50_000).select(F.lit(1).alias("person_id"), F.col("id").alias("source_concept_id"))

@@ -135,3 +135,24 @@ def test_readers_name_what_a_table_lacks(spark):
     df(spark, [(1, 2)], "concept_id bigint, record_count bigint").write.parquet(base)
     with pytest.raises(ValueError, match="descendant_record_count"):
         T.read_counts(spark, base)
+
+
+def test_written_places_over_several_files_and_splits(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from vocabshift.sinks.reports import written_places
+
+    keys = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.files.maxPartitionBytes": "20000"}
+    before = {k: spark.conf.get(k) for k in keys}
+    for k, v in keys.items():
+        spark.conf.set(k, v)
+    try:
+        report = spark.range(30_000).select(F.xxhash64("id").alias("key"), "id").orderBy("key")
+        paths = write_reports({"r": report}, str(tmp_path))
+        placed = written_places(spark, paths["r"])
+        assert read_report(spark, paths["r"]).rdd.getNumPartitions() > len(set(placed.inputFiles())) > 1
+        got = [(r["place"], r["key"]) for r in placed.orderBy("place").collect()]
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert got == [(i + 1, r["key"]) for i, r in enumerate(report.collect())]

@@ -14,7 +14,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import cached_property
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..model import ITEM_COLUMNS, PAIR_SET_KEYS, SET_KEYS
@@ -24,11 +24,13 @@ from ..operators import mapping as M
 from ..operators import nodes as N
 from ..operators import resolve as R
 from ..operators import stats as S
-from ..sinks.reports import read_report, write_reports
+from ..sinks.events import write_event_layout
+from ..sinks.reports import read_report, write_reports, written_places
 from ..sources import documents as DOCS
 from ..sources import items as I
 from ..sources.fixtures import EXCLUDED_NODES, INCLUDED_SOURCE_VOCABS, PAIR_VERSION, inputs_for
 from ..sources.tables import read_cohort_map, read_cohort_names, read_counts, read_events, read_vocabulary
+from ..staging import Staging
 from .broadcast import fits
 from .report import cohort_pair_report, vocabulary_change_report
 
@@ -113,11 +115,8 @@ def _pair_blocks(spark: SparkSession, sf_dir: str):
 
 
 def _scratch(spark: SparkSession, name: str) -> str:
-    import uuid
-
-    from ..session import checkpoint_dir
-
-    return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A folder under the shared checkpoint folder, removed when the driver ends."""
+    return Staging(spark, "scratch").folder(name)
 
 
 def q_items(spark, sf_dir):
@@ -243,21 +242,8 @@ def q_nonstandard_nodes_report(spark, sf_dir):
 
 # -- written order ---------------------------------------------------------------
 def _places(spark: SparkSession, report: DataFrame, name: str) -> DataFrame:
-    """The written report with the place of every row in the order it was written in.
-
-    The part files are read in name order; a row's place is the rows of the earlier files plus its place in its own.
-    """
-    path = write_reports({name: report}, _scratch(spark, "order"))[name]
-    rows = read_report(spark, path).select(
-        "*", F.col("_metadata.file_name").alias("_file"), F.monotonically_increasing_id().alias("_at")
-    )
-    # monotonically_increasing_id grows along a file; a file of a report is far below one input split's id range
-    before = Window.orderBy("_file").rowsBetween(Window.unboundedPreceding, -1)
-    files = rows.groupBy("_file").agg(F.count("*").alias("_rows"))
-    first = files.select("_file", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_first"))
-    own = F.row_number().over(Window.partitionBy("_file").orderBy("_at"))
-    placed = rows.withColumn("_own", own).join(first, "_file")
-    return placed.withColumn("place", F.col("_first") + F.col("_own")).drop("_file", "_at", "_rows", "_first", "_own")
+    """The written report with the place of every row in the order it was written in."""
+    return written_places(spark, write_reports({name: report}, _scratch(spark, "order"))[name])
 
 
 def q_nonstandard_nodes_order(spark, sf_dir):
@@ -341,26 +327,50 @@ def _pair_from_tables(name: str):
     return query
 
 
-def q_written_cohort_stats(spark, sf_dir):
-    """All four reports written with a prefix and camelCase headers; the stats read back."""
-    fx = inputs_for(spark, sf_dir)
-    reports = vocabulary_change_report(
-        fx.items, fx.old, fx.new, fx.concept_count, fx.event_tables, fx.cohort_names, EXCLUDED_NODES, INCLUDED_SOURCE_VOCABS
-    )
-    with reports:
-        paths = write_reports(reports, _scratch(spark, "reports"), project="study_", camel_case=True)
-    return read_report(spark, paths["cohort_stats"])
+def _written(name: str):
+    """One report of a run that writes all four with a prefix and camelCase headers, their shared sides staged."""
 
+    def query(spark, sf_dir):
+        fx = inputs_for(spark, sf_dir)
+        reports = vocabulary_change_report(
+            fx.items, fx.old, fx.new, fx.concept_count, fx.event_tables, fx.cohort_names, EXCLUDED_NODES, INCLUDED_SOURCE_VOCABS
+        )
+        with reports:
+            paths = write_reports(reports, _scratch(spark, "reports"), project="study_", camel_case=True)
+        return read_report(spark, paths[name])
 
-def q_written_pair_domain_change(spark, sf_dir):
-    """All reports of the pair path written with a prefix and camelCase headers; the domain report read back."""
-    fx = inputs_for(spark, sf_dir)
-    reports = cohort_pair_report(
-        fx.items, fx.items_updated, fx.cohort_map, fx.old, fx.new, fx.concept_count, EXCLUDED_NODES, INCLUDED_SOURCE_VOCABS
-    )
-    with reports:
-        paths = write_reports(reports, _scratch(spark, "pair-reports"), project="pair_", camel_case=True)
-    return read_report(spark, paths["domain_change"])
+    return query
+
+
+def _written_pair(name: str):
+    """One report of a run that writes all reports of the pair path."""
+
+    def query(spark, sf_dir):
+        fx = inputs_for(spark, sf_dir)
+        reports = cohort_pair_report(
+            fx.items, fx.items_updated, fx.cohort_map, fx.old, fx.new, fx.concept_count, EXCLUDED_NODES, INCLUDED_SOURCE_VOCABS
+        )
+        with reports:
+            paths = write_reports(reports, _scratch(spark, "pair-reports"), project="pair_", camel_case=True)
+        return read_report(spark, paths[name])
+
+    return query
+
+
+def q_person_flags_layout(spark, sf_dir):
+    """Person flags over the events laid out by person."""
+    m = _Main(spark, sf_dir)
+    path = _scratch(spark, "layout")
+    table = "events_" + path.rsplit("-", 1)[1]
+    layout = write_event_layout(m.events(), table, int(spark.conf.get("spark.sql.shuffle.partitions")), path)
+    return S.person_flags(layout, S.concept_diff(m.pool()))
+
+
+def q_cohort_map_table(spark, sf_dir):
+    """The pairs read from a catalog table (here a view)."""
+    name = "pairs_" + _scratch(spark, "pairs").rsplit("-", 1)[1]
+    inputs_for(spark, sf_dir).cohort_pairs.createOrReplaceTempView(name)
+    return read_cohort_map(spark, name, PAIR_VERSION, "table")
 
 
 def q_common_concepts(spark, sf_dir):
@@ -595,8 +605,10 @@ QUERIES: dict[str, Query] = {
     "tables_cohort_stats": _from_tables("cohort_stats"),
     "tables_pair_mapping_diff": _pair_from_tables("mapping_diff"),
     "tables_pair_domain_change": _pair_from_tables("domain_change"),
-    "written_cohort_stats": q_written_cohort_stats,
-    "written_pair_domain_change": q_written_pair_domain_change,
+    **{f"written_{name}": _written(name) for name in ("nonstandard_nodes", "mapping_diff", "domain_change", "cohort_stats")},
+    **{f"written_pair_{name}": _written_pair(name) for name in ("nonstandard_nodes", "mapping_diff", "domain_change")},
+    "person_flags_layout": q_person_flags_layout,
+    "cohort_map_table": q_cohort_map_table,
     "definitions_createddate": q_definitions_createddate,
     "definitions_odd_documents": q_definitions_odd_documents,
     "missing_cohorts": q_missing_cohorts,

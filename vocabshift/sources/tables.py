@@ -73,9 +73,11 @@ def read_events(spark: SparkSession, location: str, fmt: str = "parquet") -> dic
     return out
 
 
-def read_cohort_map(spark: SparkSession, path: str, version: str | None = None) -> DataFrame:
-    """The old/new cohort pair table from CSV, optionally one vocabulary version only."""
-    df = spark.read.option("header", True).schema(COHORT_MAP_SCHEMA).csv(path)
+def read_cohort_map(
+    spark: SparkSession, location: str, version: str | None = None, fmt: str = "csv", name: str = ""
+) -> DataFrame:
+    """The old/new cohort pair table (CSV, any other format or a catalog table), optionally one vocabulary version only."""
+    df = _conform(_read(spark, location, name, fmt), COHORT_MAP_SCHEMA)
     if version is not None:
         df = df.where(F.col("old_cohort_vocab_version") == version)
     return df
