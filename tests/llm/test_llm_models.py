@@ -178,6 +178,25 @@ def test_modifiers_do_not_name_the_element(page_model, name):
     assert page_model.extract(page(f"<div class='{name}'><h1>T</h1><p>{LOREM}<p>{LOREM}</div>")) == f"{want} {LOREM.strip()}"
 
 
+LISTED_INSIDE = (
+    "post category-search", "post tag-newsletter", "post category-advertising hentry", "post sidebar-none", "content header-image",
+    "post notice-board", "page reply-letter",
+)
+
+
+@pytest.mark.parametrize("name", LISTED_INSIDE)
+def test_listed_words_inside_longer_names_take_no_article(page_model, name):
+    want = " ".join(["T", LOREM.strip(), LOREM.strip()])
+    for tag in ("article", "div"):
+        assert page_model.extract(page(f"<{tag} class='{name}'><h1>T</h1><p>{LOREM}<p>{LOREM}</{tag}>")) == want
+    inner = f"<article><h1>T</h1><section id='related-work'><p>{LOREM}<p>{LOREM}</section></article>"
+    assert page_model.extract(page(inner)) == want
+
+
+def test_names_never_take_an_article_element(page_model):
+    assert page_model.extract(page(f"<article class='header'><h1>T</h1><p>{LOREM}<p>{LOREM}</article>")).endswith(LOREM.strip())
+
+
 def test_copies_count_once_in_the_sample(spark):
     rows = [(f"<article><p>{i % 3}</article>",) for i in range(300)]
     assert len(H.sampled(spark.createDataFrame(rows, "html string"), 100)) == 3

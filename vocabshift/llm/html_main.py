@@ -69,8 +69,17 @@ OTHER = frozenset(
     "consent notice notices popup modal overlay subscribe newsletter signup login share sharing social related "
     "recommended widget complementary contentinfo search toolbar pagination pager".split()
 )
+#: Whole names of several words that say other; any other name of several words is only a learned feature.
+OTHER_NAMES = frozenset(
+    "ad-banner ad-container ad-slot ad-unit ad-wrapper comment-area comment-form comment-list comment-section comment-thread "
+    "comments-area comments-list comments-section comments-wrapper cookie-banner cookie-bar cookie-consent cookie-notice "
+    "footer-nav main-menu main-nav main-navigation nav-bar nav-menu newsletter-form newsletter-signup page-footer related-articles "
+    "related-content related-posts share-bar share-buttons sharing-buttons side-bar site-footer site-header site-nav "
+    "site-navigation social-links social-share top-bar top-nav user-comments widget-area".split()
+)
 OPEN_TAGS = frozenset("form header".split())
 MODIFIERS = frozenset("has have with without no not is show hide enable enabled disable disabled".split())
+NEVER = frozenset(("article", "main"))  # no name says other of these
 NAME = re.compile(r"[a-z][^\s/>]*", re.I)
 ATTRIBUTE = re.compile(r"(?:^|[\s\"'/])(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 WORDS = re.compile(r"[a-z]+")
@@ -83,7 +92,7 @@ class Page:
         self.parent: list[int] = [-1]
         self.tag: list[str] = ["html"]
         self.names: list[frozenset[str]] = [frozenset()]
-        self.named: list[int] = [0]  # whether names say other: not (0), in part (1), by a first or last word (2)
+        self.named: list[int] = [0]  # whether names say other: not (0), in part (1), as a whole (2)
         self.pieces: list[tuple[int, str, bool] | None] = []
         self._read(source)
 
@@ -155,10 +164,11 @@ class Page:
                     if not MODIFIERS.isdisjoint(words):
                         names.update(f"m:{w}" for w in words)
                         continue
-                    names.update(f"c:{w}" for w in words)
-                    if not OTHER.isdisjoint(words):
-                        ends = tag not in ("html", "body") and not OTHER.isdisjoint((words[0], words[-1]))
-                        named = max(named, 2 if ends else 1)
+                    whole = len(words) == 1
+                    names.update(f"{'c' if whole else 'w'}:{w}" for w in words)
+                    if tag not in NEVER and not OTHER.isdisjoint(words):
+                        sure = whole or "-".join(words) in OTHER_NAMES
+                        named = max(named, 2 if sure and tag not in ("html", "body") else 1)
         self.named.append(named)
         self.parent.append(open_nodes[-1])
         self.tag.append(tag)
