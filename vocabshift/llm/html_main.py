@@ -12,9 +12,10 @@ used twice, once with the naming element turned into a plain ``div``, so the tex
 such markup.  Own potentials are logistic weights (maximum a posteriori; words of ``OTHER`` have a negative prior
 mean), edge potentials are the smoothed ratio of joint to independent frequencies.
 
-*Names*: an element with a tag of ``OTHER_TAGS``, or a class, id or role that begins or ends with a word of ``OTHER``, is observed as
-other, whatever it holds, and so is all in it down to an ``<article>`` or ``<main>`` (a ``<form>`` or ``<header>``, which may
-hold a whole page, only itself).  Such a word elsewhere ("content-sidebar-wrap"), or on ``<body>``, is a learned feature.  A name with a word of
+*Names*: an element with a tag of ``OTHER_TAGS``, or whose class, id or role holds a whole name that is a word of ``OTHER`` or one of
+``OTHER_NAMES``, is observed as other, whatever it holds, and so is all in it down to an ``<article>`` or ``<main>`` (a ``<form>`` or
+``<header>``, which may hold a whole page, only itself).  ``<article>`` and ``<main>`` are never observed.  Such a word inside a longer
+name ("category-search"), or on ``<body>``, is a learned feature.  A name with a word of
 ``MODIFIERS`` ("has-sidebar") says nothing about the element itself; its words are features of their own.
 
 Defined cases: null or empty html, and pages without content, give an empty text; markup that never closes
