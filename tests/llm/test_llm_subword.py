@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from vocabshift.llm import subword as S
@@ -62,42 +63,75 @@ def test_round_trip(vocabulary):
         assert vocabulary.decode(vocabulary.encode_all([t])[0]) == t.replace(S.MARK, " ")
 
 
-@pytest.mark.parametrize(("chunk", "snap"), [(17, 0), (20, 0), (33, 8), (100, 50)])
-def test_scan_equals_sequential(vocabulary, chunk, snap):
+def chunk_parts(vocabulary, s, chunk):
     left = vocabulary.longest - 1
-    for text in odd_texts()[:6]:
+    cuts = list(S.cut(len(s), vocabulary, chunk))
+    assert "".join(s[a:b] for a, b in cuts) == s
+    return S.parts(vocabulary, [(s[max(0, a - left) : a], s[a:b]) for a, b in cuts])
+
+
+@pytest.mark.parametrize("chunk", [17, 20, 33, 100, 1000])
+def test_scan_equals_sequential(vocabulary, chunk):
+    for text in odd_texts()[:-1]:
         s = S.marked(text)
-        chunks = [(s[max(0, a - left) : a], s[a:b], c, e) for a, b, c, e in S.cut(s, vocabulary, chunk, snap)]
-        assert "".join(body for _, body, _, _ in chunks) == s
+        parts = chunk_parts(vocabulary, s, chunk)
         vector = np.full(vocabulary.longest, S.NEVER, np.int64)
         vector[0] = 0
         vectors = []
-        for c in chunks:
+        for p in parts:
             vectors.append(vector)
-            vector = np.maximum((vector[:, None] + S.transfer(vocabulary, *c)).max(axis=0), S.NEVER)
-        state, parts = 0, []
-        for c, v in zip(reversed(chunks), reversed(vectors), strict=True):
-            parts.append(S.chunk_ids(vocabulary, *c, v, state))
-            state = int(S.back_map(vocabulary, *c, v)[state])
+            vector = np.maximum((vector[:, None] + S.transfer(vocabulary, p)).max(axis=0), S.NEVER)
+        assert vector[0] == vocabulary.forward(s, [0])[0][-1]
+        state, ids = 0, []
+        for p, v in zip(reversed(parts), reversed(vectors), strict=True):
+            ids.append(S.chunk_ids(vocabulary, p, v, state))
+            state = int(S.back_map(vocabulary, p, v)[state])
         assert state == 0
-        assert [i for p in reversed(parts) for i in p] == vocabulary.best_path(s)
+        assert [i for p in reversed(ids) for i in p] == vocabulary.best_path(s)
+
+
+@pytest.mark.parametrize("chunk", [60, 200])
+def test_transfer_matrices_equal_all_paths(vocabulary, chunk):
+    """Every entry against the best path of the whole chunk from its start state; words part most of these chunks."""
+    width, parted = vocabulary.longest, 0
+    for text in [*odd_texts()[:-1], "der Hund 漢𝒳 und die Katze " * 20]:
+        s = S.marked(text)
+        cuts = list(S.cut(len(s), vocabulary, chunk))
+        for (a, b), p in zip(cuts, chunk_parts(vocabulary, s, chunk), strict=True):
+            got, around = S.transfer(vocabulary, p), s[max(0, a - width + 1) : b]
+            parted += p.mid is not None
+            for i in range(width):
+                if i > p.edge:
+                    assert (got[i] == S.NEVER).all()
+                    continue
+                best = vocabulary.forward(around, [S.NEVER] * (p.edge - i) + [0] + [S.NEVER] * i)[0]
+                assert got[i].tolist() == [best[len(around) - j] if j <= len(around) else S.NEVER for j in range(width)]
+    assert parted > 20
+
+
+def test_every_chunk_of_production_size_has_a_computed_matrix(vocabulary):
+    docs = [t for t in pd.read_parquet(f"{SF}/documents.parquet")["text"].dropna() if len(t) > 200]
+    s = S.marked(" ".join(docs))
+    parts = chunk_parts(vocabulary, s[: 4 * S.CHUNK + 7], S.CHUNK)
+    assert len(parts) >= 4
+    found = [S.transfer(vocabulary, p) for p in parts]
+    assert all((m[0] > S.NEVER // 2).all() and len(set(m[0].tolist())) > 1 for m in found)
+    assert any((m[:, 0] > S.NEVER // 2).sum() > 1 for m in found)  # a boundary inside a word
 
 
 def test_products_of_transfer_matrices_are_associative(vocabulary):
-    s = S.marked("antidisestablishmentarianism" * 6)
-    left = vocabulary.longest - 1
-    m = [S.transfer(vocabulary, s[max(0, a - left) : a], s[a:b], c, e) for a, b, c, e in S.cut(s, vocabulary, 20, 0)]
-    a, b, c = m[1:4]
-    assert (S.combine(S.combine(a, b), c) == S.combine(a, S.combine(b, c))).all()
+    for text in ("antidisestablishmentarianism" * 6, "the of and that with this " * 9):
+        a, b, c = [S.transfer(vocabulary, p) for p in chunk_parts(vocabulary, S.marked(text), 20)][1:4]
+        assert (S.combine(S.combine(a, b), c) == S.combine(a, S.combine(b, c))).all()
 
 
 def test_giant_documents_on_spark(spark, vocabulary, monkeypatch):
     monkeypatch.setattr(S, "FAN", 4)
     rows = [(i, t, "x") for i, t in enumerate([*odd_texts(), None, odd_texts()[4], "der und " * 700])]
     df = spark.createDataFrame(rows, "doc_id long, text string, ids string")
-    got = {r.doc_id: r.ids for r in S.encode(df, vocabulary, chunk=100, snap=10).collect()}
+    got = {r.doc_id: r.ids for r in S.encode(df, vocabulary, chunk=100).collect()}
     assert got == {i: None if t is None else sequential(vocabulary, t) for i, t, _ in rows}
-    back = {r.doc_id: r.text for r in S.decode(S.encode(df, vocabulary, chunk=100, snap=10), vocabulary).collect()}
+    back = {r.doc_id: r.text for r in S.decode(S.encode(df, vocabulary, chunk=100), vocabulary).collect()}
     assert back == {i: None if t is None else t.replace(S.MARK, " ") for i, t, _ in rows}
 
 

@@ -8,16 +8,18 @@ are exact and (max, +) is associative: every way of splitting the work gives the
 *Ordinary documents* are encoded where they are read.  Where no piece has a space mark after another character, every
 path passes each word start, so a text is the concatenation of its words' best paths and frequent words are remembered.
 
-*Giant documents* (over ``CHUNK`` characters) are cut into chunks, at a word start where there is one near:
+*Giant documents* (over ``CHUNK`` characters) are cut into chunks of ``CHUNK`` characters, wherever that falls:
 
 1. each chunk yields its *transfer matrix*: entry (i, j) is the best score from i characters before its start to j
-   characters before its end, for i and j below the longest piece (at a word start only i = 0 matters).  Adding a
-   constant to a matrix changes no best path, so that of a chunk between two word starts is 0 at (0, 0) unseen;
+   characters before its end, for i and j below the longest piece.  Its first and last inner word starts part it into a
+   head, a middle of whole words and a tail; the matrix is the max-plus product of the head's column (a score for each
+   i), the middle's score and the tail's row (a score for each j).  A chunk without them is computed from each i;
 2. matrices are combined associatively, ``FAN`` at a time and level by level, which gives every chunk the scores at
    its start;
 3. with these, each chunk maps a state at its end to the state at its start that the backtrace reaches; these maps
    are composed from the right in the same way, which gives every chunk its end state;
-4. each chunk is traced back on its own; a document's pieces are its chunks' in order.
+4. each chunk is traced back on its own (the middle's pieces are known from step 1); a document's pieces are its
+   chunks' in order.
 
 Defined cases: a null text has null ids, an empty one none; the space mark itself decodes to a space (so a text that
 holds it comes back with spaces); repeated rows are encoded each; an empty table gives no rows; extra columns are
@@ -44,7 +46,6 @@ from vocabshift.llm.common import map_rows, stored, text_slices
 MARK = "▁"
 MODEL_FILE = "/opt/tokenizers/piece_bpe_32k.model"
 CHUNK = 32_768
-SNAP = 1_024
 FAN = 256
 REMEMBERED = 200_000
 POINT = 1 << 10
@@ -68,6 +69,7 @@ class Vocabulary:
     table: dict = field(default_factory=dict, repr=False)
     words: dict = field(default_factory=dict, repr=False)
     arrays: list = field(default_factory=list, repr=False)
+    worth: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64), repr=False)
 
     def __post_init__(self):
         used = [i for i, m in enumerate(self.matched) if m]
@@ -76,7 +78,7 @@ class Vocabulary:
         self.by_word = not any(MARK in self.pieces[i].lstrip(MARK) for i in used)
 
     def __getstate__(self):
-        return {**self.__dict__, "table": {}, "words": {}, "arrays": []}
+        return {**self.__dict__, "table": {}, "words": {}, "arrays": [], "worth": self.worth[:0]}
 
     def release(self) -> None:
         """Forget what a task built; a worker outlives its tasks, and other work needs the memory."""
@@ -213,6 +215,14 @@ class Vocabulary:
             del known[w]
         return out
 
+    def score(self, ids: bytes) -> int:
+        """The score of ids as int32 bytes: a character written as bytes counts once, at its first byte."""
+        if not len(self.worth):
+            self.worth = np.array(self.scores, np.int64)
+            for byte, i in enumerate(self.byte_ids):
+                self.worth[i] = 0 if 0x80 <= byte < 0xC0 else self.unknown
+        return int(self.worth[np.frombuffer(ids, np.int32)].sum())
+
     # -- best paths ---------------------------------------------------------------------------------
 
     def forward(self, s: str, known: list[int]) -> tuple[list[int], list[int], list[int]]:
@@ -298,46 +308,62 @@ def load(model_file: str = MODEL_FILE) -> Vocabulary:
 # -- giant documents ------------------------------------------------------------------------------------
 
 
-def cut(s: str, vocabulary: Vocabulary, chunk: int, snap: int) -> Iterator[tuple[int, int, bool, bool]]:
-    """(start, end, whether it starts, and ends, where every path has a piece boundary) of the chunks of a marked text."""
-    at, clean, n = 0, True, len(s)
+def cut(n: int, vocabulary: Vocabulary, chunk: int) -> Iterator[tuple[int, int]]:
+    """(start, end) of the chunks of ``n`` characters; none is shorter than the longest piece, so no piece spans three."""
     least = max(vocabulary.longest, 2)
+    at, size = 0, max(chunk, least)
     while at < n:
-        end, next_clean = at + max(chunk, least), False
-        if n - end < least:
-            yield at, n, clean, True
-            return
-        if vocabulary.by_word:
-            k = s.find(MARK, end, min(end + snap, n - least))
-            while k > 0 and s[k - 1] == MARK:
-                k = s.find(MARK, k + 1, min(end + snap, n - least))
-            if k > 0:
-                end, next_clean = k, True
-        yield at, end, clean, next_clean
-        at, clean = end, next_clean
+        end = at + size if n - at - size >= least else n
+        yield at, end
+        at = end
 
 
-def _starts(context: str, clean: bool) -> list[int]:
-    """The states (characters before the chunk's start) that a path can come from."""
-    return [0] if clean else list(range(len(context) + 1))
+@dataclass
+class Part:
+    """A chunk after the characters before it, parted at word starts.
 
+    ``head`` begins with ``edge`` characters of the chunks before.  ``mid`` are the ids of the whole words between head and
+    tail; without them (None) the head is all of the chunk.
+    """
 
-def transfer(vocabulary: Vocabulary, context: str, body: str, clean: bool, clean_end: bool) -> np.ndarray:
-    """The chunk's max-plus transfer matrix between the last ``longest`` positions before its start and end.
+    edge: int
+    head: str
+    mid: bytes | None = None
+    tail: str | None = None
 
-    Up to a constant, which is why nothing is computed between two places that every path passes.
-    """
+
+def part(vocabulary: Vocabulary, context: str, body: str) -> tuple[Part, str]:
+    """A chunk's part, and the words between its head and tail (to be encoded)."""
+    s, edge = context + body, len(context)
+    if vocabulary.by_word:
+        first = s.find(MARK, edge)
+        while first > 0 and s[first - 1] == MARK:
+            first = s.find(MARK, first + 1)
+        # every state at the end lies at or behind the last word start
+        last = s.rfind(MARK, first, max(len(s) - vocabulary.longest + 2, 0)) if first >= 0 else -1
+        while last > first and s[last - 1] == MARK:
+            last = s.rfind(MARK, first, last)
+        if last >= 0:
+            return Part(edge, s[:first], b"", s[last:]), s[first:last]
+    return Part(edge, s), ""
+
+
+def transfer(vocabulary: Vocabulary, p: Part) -> np.ndarray:
+    """The chunk's max-plus transfer matrix between the last ``longest`` positions before its start and end."""
     width = vocabulary.longest
     out = np.full((width, width), NEVER, np.int64)
-    if clean and clean_end:
-        out[0, 0] = 0
-        return out
-    s, edge = context + body, len(context)
-    for state in _starts(context, clean):
-        known = [NEVER] * (edge + 1)
-        known[edge - state] = 0
-        best = vocabulary.forward(s, known)[0]
-        out[state] = best[: len(s) - width : -1]
+    whole = p.mid is None
+    if not whole:
+        behind = vocabulary.score(p.mid) + np.array(vocabulary.forward(p.tail, [0])[0][: -width - 1 : -1])
+    for state in range(p.edge + 1):
+        known = [NEVER] * (p.edge + 1)
+        known[p.edge - state] = 0
+        best = vocabulary.forward(p.head, known)[0]
+        if whole:
+            ends = best[: -width - 1 : -1]
+            out[state, : len(ends)] = ends
+        elif best[-1] > NEVER // 2:  # else no piece leads from this state over the chunk's start
+            out[state, : len(behind)] = best[-1] + behind
     return out
 
 
@@ -346,52 +372,53 @@ def combine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.maximum((a[:, :, None] + b[None, :, :]).max(axis=1), NEVER)
 
 
-def _scores_at_start(context: str, vector: np.ndarray, clean: bool) -> list[int]:
-    known = [NEVER] * (len(context) + 1)
-    for state in _starts(context, clean):
-        known[len(context) - state] = max(int(vector[state]), NEVER)
-    return known
+def _from_start(vocabulary: Vocabulary, p: Part, vector: np.ndarray):
+    """Best paths through the head from the scores of the states at the chunk's start."""
+    known = [max(int(vector[p.edge - at]), NEVER) for at in range(p.edge + 1)]
+    return vocabulary.forward(p.head, known)
 
 
-def back_map(
-    vocabulary: Vocabulary, context: str, body: str, clean: bool, clean_end: bool, vector: np.ndarray
-) -> np.ndarray:
+def back_map(vocabulary: Vocabulary, p: Part, vector: np.ndarray) -> np.ndarray:
     """For every state at the chunk's end the state at its start that the backtrace reaches."""
+    _, start, _ = _from_start(vocabulary, p, vector)
     out = np.zeros(vocabulary.longest, np.int64)
-    if clean:
-        return out
-    s, edge = context + body, len(context)
-    _, start, _ = vocabulary.forward(s, _scores_at_start(context, vector, clean))
     for state in range(vocabulary.longest):
-        at = len(s) - state
-        while at > edge:
+        at = len(p.head) - (state if p.mid is None else 0)
+        while at > p.edge:
             at = start[at]
-        out[state] = edge - at
+        out[state] = p.edge - at
     return out
 
 
-def chunk_ids(
-    vocabulary: Vocabulary, context: str, body: str, clean: bool, clean_end: bool, vector: np.ndarray, end_state: int
-) -> list[int]:
+def chunk_ids(vocabulary: Vocabulary, p: Part, vector: np.ndarray, end_state: int) -> list[int]:
     """Ids of the pieces that end inside the chunk, back from its end state."""
-    if clean and clean_end:
-        return np.frombuffer(vocabulary.encode_bytes([body])[0], np.int32).tolist()
-    s = context + body
-    _, start, piece = vocabulary.forward(s, _scores_at_start(context, vector, clean))
-    return vocabulary.trace(s, start, piece, len(s) - end_state, len(context))[0]
+    _, start, piece = _from_start(vocabulary, p, vector)
+    if p.mid is None:
+        return vocabulary.trace(p.head, start, piece, len(p.head) - end_state, p.edge)[0]
+    ids = vocabulary.trace(p.head, start, piece, len(p.head), p.edge)[0]
+    ids += np.frombuffer(p.mid, np.int32).tolist()
+    _, start, piece = vocabulary.forward(p.tail, [0])
+    return ids + vocabulary.trace(p.tail, start, piece, len(p.tail) - end_state, 0)[0]
+
 
+def parts(vocabulary: Vocabulary, chunks: list[tuple[str, str]]) -> list[Part]:
+    """The parts of some (context, body) chunks, their middles encoded together."""
+    found = [part(vocabulary, context, body) for context, body in chunks]
+    middles = vocabulary.encode_bytes([words for _, words in found])
+    return [Part(p.edge, p.head, None if p.mid is None else m, p.tail) for (p, _), m in zip(found, middles, strict=True)]
 
-def _chunk_rows(vocabulary: Vocabulary, n_keep: int, chunk: int, snap: int):
+
+def _chunk_rows(vocabulary: Vocabulary, n_keep: int, chunk: int):
     """Partition function: giant documents to chunk rows (kept columns only in the first)."""
 
     def run(batches):
         context = TaskContext.get()
-        part, seq = (context.partitionId() if context else 0), 0
+        task, seq = (context.partitionId() if context else 0), 0
         for batch in batches:
             for i, text in enumerate(batch.column(n_keep).to_pylist()):
                 s = marked(text)
-                key, seq = f"{part}-{seq}", seq + 1
-                rows = list(cut(s, vocabulary, chunk, snap))
+                key, seq = f"{task}-{seq}", seq + 1
+                rows = list(cut(len(s), vocabulary, chunk))
                 left = vocabulary.longest - 1
                 for a in range(0, len(rows), 64):
                     some = rows[a : a + 64]
@@ -405,17 +432,39 @@ def _chunk_rows(vocabulary: Vocabulary, n_keep: int, chunk: int, snap: int):
                             *kept,
                             pa.array([key] * n),
                             pa.array(range(a, a + n), pa.int64()),
-                            pa.array([s[max(0, x - left) : x] for x, _, _, _ in some]),
-                            pa.array([s[x:y] for x, y, _, _ in some]),
-                            pa.array([c for _, _, c, _ in some], pa.bool_()),
-                            pa.array([c for _, _, _, c in some], pa.bool_()),
+                            pa.array([s[max(0, x - left) : x] for x, _ in some]),
+                            pa.array([s[x:y] for x, y in some]),
                         ],
-                        [*batch.schema.names[:n_keep], "row", "idx", "context", "body", "clean", "clean_end"],
+                        [*batch.schema.names[:n_keep], "row", "idx", "context", "body"],
                     )
 
     return run
 
 
+def _part_rows(shared):
+    """Partition function: chunk rows to parts and transfer matrices."""
+
+    def run(batches):
+        own = shared.value
+        for rows in (b.slice(i, 16) for b in batches for i in range(0, b.num_rows, 16)):
+            found = parts(own, list(zip(*(rows.column(c).to_pylist() for c in ("context", "body")), strict=True)))
+            yield pa.RecordBatch.from_arrays(
+                [
+                    rows.column("row"),
+                    rows.column("idx"),
+                    pa.array([p.edge for p in found], pa.int32()),
+                    pa.array([p.head for p in found], pa.string()),
+                    pa.array([p.mid for p in found], pa.binary()),
+                    pa.array([p.tail for p in found], pa.string()),
+                    pa.array([_int64s(transfer(own, p)) for p in found], pa.binary()),
+                ],
+                ["row", "idx", "edge", "head", "mid", "tail", "op"],
+            )
+        own.release()
+
+    return run
+
+
 def _int64s(values) -> bytes:
     return np.ascontiguousarray(values, np.int64).tobytes()
 
@@ -471,25 +520,26 @@ def _per_chunk(chunks: DataFrame, shared, fn, column: str, kind: pa.DataType, sp
     return map_rows(chunks, run, f"row string, idx long, {column} {spark_kind}")
 
 
-def encode_giant(giant: DataFrame, vocabulary: Vocabulary, n_keep: int, chunk: int = CHUNK, snap: int = SNAP) -> DataFrame:
+def encode_giant(giant: DataFrame, vocabulary: Vocabulary, n_keep: int, chunk: int = CHUNK) -> DataFrame:
     """Kept columns, ids of (kept columns, text) rows by the parallel scan."""
     width = vocabulary.longest
     base = [f"`{f.name}` {f.dataType.simpleString()}" for f in giant.schema.fields[:n_keep]]
     names = giant.columns[:n_keep]
-    schema = ", ".join([*base, "row string, idx long, context string, body string, clean boolean, clean_end boolean"])
-    chunks = stored(map_rows(giant, _chunk_rows(vocabulary, n_keep, chunk, snap), schema), "chunks")
+    schema = ", ".join([*base, "row string, idx long, context string, body string"])
+    chunks = stored(map_rows(giant, _chunk_rows(vocabulary, n_keep, chunk), schema), "chunks")
     last = chunks.agg(F.max("idx")).first()[0] or 0
     shared = giant.sparkSession.sparkContext.broadcast(vocabulary)
     vec = lambda b: np.frombuffer(b, np.int64)
     square = lambda b: vec(b).reshape(width, width)
+    own = lambda r: Part(r["edge"], r["head"], r["mid"], r["tail"])
 
-    parts = lambda r: (r["context"], r["body"], r["clean"], r["clean_end"])
-    ops = _per_chunk(chunks, shared, lambda v, r: _int64s(transfer(v, *parts(r))), "op", pa.binary(), "binary")
+    schema = "row string, idx long, edge int, head string, mid binary, tail string, op binary"
+    parted = stored(map_rows(chunks.drop(*names), _part_rows(shared), schema), "parts")
     start = np.full(width, NEVER, np.int64)
     start[0] = 0
     forward = stored(
         _scan(
-            stored(ops, "transfer"),
+            parted.select("row", "idx", "op"),
             last,
             lambda a, b: _int64s(combine(square(a), square(b))),
             lambda v, m: _int64s(np.maximum((vec(v)[:, None] + square(m)).max(axis=0), NEVER)),
@@ -498,11 +548,18 @@ def encode_giant(giant: DataFrame, vocabulary: Vocabulary, n_keep: int, chunk: i
         ),
         "forward",
     )
-    same = np.zeros(width, np.int64)  # from a clean start every backtrace leaves in state 0
-    unclean = chunks.where("not clean").drop(*names).join(forward, ["row", "idx"])
+    # of a part's middle and tail a map only needs to know that they are there
+    some = parted.select(
+        "row", "idx", "edge", "head", F.when(F.col("mid").isNotNull(), F.lit(b"")).alias("mid"), F.lit("").alias("tail")
+    )
     maps = _per_chunk(
-        unclean, shared, lambda v, r: _int64s(back_map(v, *parts(r), vec(r["state"]))), "op", pa.binary(), "binary"
-    ).unionByName(chunks.where("clean").select("row", "idx", F.lit(_int64s(same)).alias("op")))
+        some.join(forward, ["row", "idx"]),
+        shared,
+        lambda v, r: _int64s(back_map(v, own(r), vec(r["state"]))),
+        "op",
+        pa.binary(),
+        "binary",
+    )
     # backwards, a state is the end state of an item: over an item, s becomes its map at s
     ends = _scan(
         stored(maps, "maps"),
@@ -514,9 +571,9 @@ def encode_giant(giant: DataFrame, vocabulary: Vocabulary, n_keep: int, chunk: i
     )
     states = forward.join(ends.withColumnRenamed("state", "end"), ["row", "idx"])
     traced = _per_chunk(
-        chunks.drop(*names).join(states, ["row", "idx"]),
+        parted.drop("op").join(states, ["row", "idx"]),
         shared,
-        lambda v, r: chunk_ids(v, *parts(r), vec(r["state"]), int(vec(r["end"])[0])),
+        lambda v, r: chunk_ids(v, own(r), vec(r["state"]), int(vec(r["end"])[0])),
         "ids",
         pa.list_(pa.int32()),
         "array<int>",
@@ -560,7 +617,6 @@ def encode(
     keep: tuple[str, ...] = ("doc_id",),
     text_col: str = "text",
     chunk: int = CHUNK,
-    snap: int = SNAP,
 ) -> DataFrame:
     """``keep`` columns + ids (array<int>, null for a null text)."""
     vocabulary = vocabulary or load()
@@ -579,7 +635,7 @@ def encode(
 
     schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in source.schema.fields[:n]) + "ids array<int>"
     ordinary = map_rows(source.where(~F.coalesce(giant, F.lit(False))), run, schema)
-    both = ordinary.unionByName(encode_giant(source.where(giant), vocabulary, n, chunk, snap))
+    both = ordinary.unionByName(encode_giant(source.where(giant), vocabulary, n, chunk))
     return both.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)], "ids")
 
 
