@@ -174,6 +174,26 @@ def test_masked_text(spark):
     assert got == {1: ("é <email>, 𝒳 <ip>!", 5), 2: (None, 6), 3: ("plain", 7)}
 
 
+def test_masked_text_of_many_and_overlapping_spans(spark, monkeypatch):
+    monkeypatch.setattr(pii, "MASK_BLOCKS", (256, 16))
+    rng = random.Random(5)
+    parts = ["a@b.de", "10.0.0.1", "+49 30 1234567", "4111 1111 1111 1111", "é𝒳", "no", "+4111111111111111 x@y.z", "1.2.3.4@5.de"]
+    texts = ["", *parts, *(" ".join(rng.choices(parts, k=k)) for k in (2, 16, 17, 255, 256, 257, 3000))]
+    rows = [(i, t, 7, 8) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, __pii int, __PII_ int")
+    found = {r.doc_id: r.pii for r in pii.personal_data(df).collect()}
+    out = pii.masked(df)
+    assert out.columns == df.columns
+    for r in out.collect():
+        text, want, upto = texts[r.doc_id], [], 0
+        for s in found[r.doc_id]:
+            if s.start >= upto:
+                want += [text[upto : s.start], f"<{s.kind}>"]
+            upto = max(upto, s.end)
+        assert r.text == "".join([*want, text[upto:]]), r.doc_id
+        assert tuple(r)[2:] == (7, 8)
+
+
 def test_random_tokens_are_found_and_words_are_not(spark):
     rng = random.Random(3)
     b64 = [base64.b64encode(rng.randbytes(36)).decode() for _ in range(40)]

@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vocabshift.llm.spans import NO_SPANS, TAGGED, joined, let, match_spans, tagged
+from vocabshift.llm.spans import BLOCK, NO_SPANS, TAGGED, joined, let, match_spans, tagged
 
 # The base patterns in possessive form, and the added ones.
 EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
@@ -52,6 +52,7 @@ TEL_BASE, TEL_UP, TEL_DOWN, KEEP = 0.3, 0.4, 0.3, 0.5
 
 BASE = ("email", "ip", "card", "phone")
 ADDED = ("iban", "tel")
+MASK_BLOCKS = (4_096, 64)
 
 
 def _digits(c: Column) -> Column:
@@ -194,33 +195,66 @@ def report(found: DataFrame) -> DataFrame:
     )
 
 
+def _masks(text: Column, base: Column, gaps: Column, sizes: tuple[int, ...]) -> Column:
+    """The texts of ``gaps`` (start, end, kind), each followed by its mask; ``text`` begins at offset ``base``.
+
+    Gaps are cut from their block's own text, so a gap costs its block and not all of the text before it.
+    """
+    if not sizes:
+        piece = lambda g: F.concat(
+            F.substring(text, g["start"] - base + 1, g["end"] - g["start"]), F.lit("<"), g["kind"], F.lit(">")
+        )
+        return F.array_join(F.transform(gaps, piece), "")
+    size, *rest = sizes
+    last = F.ceil(F.size(gaps) / F.lit(size)).cast("int") - 1
+
+    def block(own: Column) -> Column:
+        first, end = own[0]["start"], F.element_at(own, -1)["end"]
+        inner = F.substring(text, first - base + 1, end - first)
+        return let(F.struct(inner.alias("text"), first.alias("base")), lambda b: _masks(b["text"], b["base"], own, rest))
+
+    blocks = F.transform(F.sequence(F.lit(0), last), lambda b: F.slice(gaps, b * size + 1, F.lit(size)))
+    return F.array_join(F.transform(blocks, block), "")
+
+
+def _running_max(ends: Column) -> Column:
+    """Inclusive running maxima of an int array that is not empty, in blocks."""
+    last = F.ceil(F.size(ends) / F.lit(BLOCK)).cast("int") - 1
+
+    def upto(values: Column, start: Column) -> Column:
+        none = F.array().cast("array<int>")
+        step = lambda acc, x: F.struct(
+            F.greatest(acc["top"], x).alias("top"), F.concat(acc["tops"], F.array(F.greatest(acc["top"], x))).alias("tops")
+        )
+        return F.aggregate(values, F.struct(start.alias("top"), none.alias("tops")), step, lambda acc: acc["tops"])
+
+    def of(blocks: Column) -> Column:
+        before = lambda t: F.concat(F.array(F.lit(0)), F.slice(t, 1, F.size(t) - 1))
+        tops = let(F.transform(blocks, lambda b: F.array_max(b)), lambda t: before(upto(t, F.lit(0))))
+        return F.flatten(F.zip_with(blocks, tops, upto))
+
+    return let(F.transform(F.sequence(F.lit(0), last), lambda b: F.slice(ends, b * BLOCK + 1, F.lit(BLOCK))), of)
+
+
 def masked(documents: DataFrame, text_col: str = "text") -> DataFrame:
     """The input columns with every found span of the text replaced by ``<kind>``.
 
     Of overlapping spans the first (then the first listed kind) names the mask and the mask covers all of
     them; null texts stay null.
     """
-    spans = F.col("__pii")
     text = F.col(text_col)
-    pieces = F.aggregate(
-        spans,
-        F.struct(F.lit(0).alias("upto"), F.array().cast("array<string>").alias("out")),
-        lambda acc, s: F.struct(
-            F.greatest(acc["upto"], s["end"]).alias("upto"),
-            F.when(s["start"] < acc["upto"], acc["out"])
-            .otherwise(
-                F.concat(
-                    acc["out"],
-                    F.array(
-                        F.substring(text, acc["upto"] + 1, s["start"] - acc["upto"]),
-                        F.concat(F.lit("<"), s["kind"], F.lit(">")),
-                    ),
-                )
-            )
-            .alias("out"),
-        ),
-        lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(text, acc["upto"] + 1, F.length(text))),
-    )
-    new = F.when(F.size(spans) > 0, pieces).otherwise(text).alias(text_col)
-    found = personal_data(documents, text_col, "__pii")
+    into = "__pii"
+    while into in (c.lower() for c in documents.columns):
+        into += "_"
+
+    def replaced(spans: Column) -> Column:
+        tops = _running_max(F.transform(spans, lambda s: s["end"]))
+        upto = let(tops, lambda t: F.concat(F.array(F.lit(0)), F.slice(t, 1, F.size(t) - 1)))
+        gap = lambda s, u: F.struct(u.alias("start"), s["start"].alias("end"), s["kind"].alias("kind"))
+        gaps = F.filter(F.zip_with(spans, upto, gap), lambda g: g["start"] <= g["end"])
+        rest = F.substring(text, F.array_max(F.transform(spans, lambda s: s["end"])) + 1, F.length(text))
+        return F.concat(let(gaps, lambda g: _masks(text, F.lit(0), g, MASK_BLOCKS)), rest)
+
+    new = F.when(F.size(into) > 0, replaced(F.col(into))).otherwise(text).alias(text_col)
+    found = personal_data(documents, text_col, into)
     return found.select(*[new if c == text_col else F.col(c) for c in documents.columns])
