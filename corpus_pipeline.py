@@ -9,8 +9,8 @@ Every stage works on all that its predecessor kept:
 5. ``sentencepiece`` turns the texts into subword ids.
 
 All but the last return the columns of ``documents``.  Defined cases: null texts are rejected by the first stage; rows with a
-null id are never near duplicates; rows that repeat an id are one document, of which one row stays; an empty table goes
-through all stages; further columns of the input stay (up to the last stage).
+null id are never near duplicates; of rows that repeat an id and its text one stays, rows that share an id but differ in
+text are judged each by its own text; an empty table goes through all stages; further columns of the input stay (up to the last stage).
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vocabshift.llm import decontam, langid, ngram_join, pii, subword
-from vocabshift.llm.common import map_rows, read_table, stored, text_slices
+from vocabshift.llm.common import discard, map_rows, read_table, stored, text_slices
 
 
 def _columns(df: DataFrame) -> str:
@@ -42,18 +42,52 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return map_rows(docs, run, _columns(docs))
 
 
+def _one_text_an_id(docs: DataFrame) -> DataFrame | None:
+    """(doc, id) of the rows with an id, where texts that share an id have got ids of their own; None if no id has several texts.
+
+    Of an id's texts that with the least checksum keeps the id, the others get ids beyond the largest.
+    """
+    named = docs.where("doc_id is not null")
+    own = F.coalesce(F.md5(F.col("text").cast("binary")), F.lit(""))
+    prints = named.select("doc_id", own.alias("print")).distinct()
+    several = prints.groupBy("doc_id").agg(F.min("print").alias("print"), F.count("*").alias("texts")).where("texts > 1")
+    several = stored(several, "several")
+    if not several.limit(1).count():
+        discard(several)
+        return None
+    places = prints.join(several.select("doc_id"), "doc_id", "left_semi")
+    places = places.join(several.select("doc_id", "print"), ["doc_id", "print"], "left_anti")
+    places = stored(places.withColumn("place", F.monotonically_increasing_id()), "places")  # written once, so they stay
+    largest = named.agg(F.max("doc_id")).first()[0]
+    rows = named.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), "doc_id", own.alias("print"))
+    new = F.col("place") + F.lit(largest + 1)
+    return rows.join(places, ["doc_id", "print"], "left").select("doc", F.coalesce(new, F.col("doc_id")).alias("id"))
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component; rows with a null id stay."""
-    found = stored(ngram_join.near_duplicates(docs), "components")
+    """One row of each component, judged by its own text; rows with a null id stay."""
+    rows = _one_text_an_id(docs)
+    if rows is not None:
+        rows = stored(rows, "rows")
+        out = _one_of_each(rows.select(F.col("id").alias("doc_id"), F.col("doc.text").alias("text"), "doc")).select("doc.*")
+    else:
+        out = _one_of_each(docs)
+    return out.unionByName(docs.where("doc_id is null"))
+
+
+def _one_of_each(docs: DataFrame) -> DataFrame:
+    """One row of each component of the rows with an id; an id has one text."""
+    found = stored(ngram_join.near_duplicates(docs.select("doc_id", "text")), "components")
     kept = found.where("component_id = doc_id").groupBy("doc_id").agg(F.count("*").alias("rows"))
     kept = stored(kept.select(F.col("doc_id").alias("kept_id"), F.col("rows").alias("kept_rows")), "kept")
+    discard(found)
     columns = [F.col(c) for c in docs.columns]
     by_id = F.col("doc_id") == F.col("kept_id")
     out = docs.join(kept.where("kept_rows = 1"), by_id, "left_semi").select(*columns)
     if kept.where("kept_rows > 1").limit(1).count():
         again = docs.join(kept.where("kept_rows > 1"), by_id, "left_semi").select(*columns)
         out = out.unionByName(again.dropDuplicates(["doc_id"]))
-    return out.unionByName(docs.where("doc_id is null").select(*columns))
+    return out
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
