@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..model import ITEM_COLUMNS, PAIR_SET_KEYS, SET_KEYS
+from ..operators import delta as DELTA
 from ..operators import diff as D
 from ..operators import domain as DOM
 from ..operators import mapping as M
@@ -181,6 +182,29 @@ def q_source_diff_onepass(spark, sf_dir):
     return _Main(spark, sf_dir).dif
 
 
+def q_resolve_words_old(spark, sf_dir):
+    """Resolution by words of sets, old version."""
+    fx = inputs_for(spark, sf_dir)
+    return DELTA.resolve_concepts_by_words(fx.items, fx.old, EXCLUDED_NODES)
+
+
+def q_resolve_words_new(spark, sf_dir):
+    """Resolution by words of sets, new version."""
+    fx = inputs_for(spark, sf_dir)
+    return DELTA.resolve_concepts_by_words(fx.items, fx.new, EXCLUDED_NODES)
+
+
+def q_source_diff_delta(spark, sf_dir):
+    """Removed / Added codes from the concepts and edges that changed."""
+    fx = inputs_for(spark, sf_dir)
+    return DELTA.source_concept_diff_by_delta(fx.items, fx.old, fx.new, EXCLUDED_NODES)
+
+
+def q_mapping_diff_delta(spark, sf_dir):
+    """The mapping report over the difference from what changed."""
+    return _main_report(spark, sf_dir, "mapping_diff", difference="delta")
+
+
 def q_mapping_old(spark, sf_dir):
     return _Main(spark, sf_dir).mapping_old()
 
@@ -560,6 +584,10 @@ QUERIES: dict[str, Query] = {
     "source_concept_added": q_source_added,
     "source_concept_diff": q_source_diff,
     "source_concept_diff_onepass": q_source_diff_onepass,
+    "resolve_concepts_words_old": q_resolve_words_old,
+    "resolve_concepts_words_new": q_resolve_words_new,
+    "source_concept_diff_delta": q_source_diff_delta,
+    "mapping_diff_delta": q_mapping_diff_delta,
     "mapping_old": q_mapping_old,
     "mapping_new": q_mapping_new,
     "mapping_old_all_vocabs": q_mapping_old_all_vocabs,

@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..model import PAIR_SET_KEYS, SET_KEYS, Vocabulary, normalise_items, source_vocabularies
+from ..operators import delta as DELTA
 from ..operators import diff as D
 from ..operators import domain as DOM
 from ..operators import mapping as M
@@ -137,14 +138,19 @@ def vocabulary_change_report(
     stats_valid_edges_only: bool = False,
     materialize: str = "stage",
     reports: Iterable[str] | None = None,
+    difference: str = "full",
 ) -> ReportSet:
     """``nonstandard_nodes``, ``mapping_diff``, ``domain_change`` and (with events) ``cohort_stats``.
 
     ``events`` is either the six event tables by name or one DataFrame of
     ``(person_id, source_concept_id)``.  ``included_source_vocabs=None``
     keeps every source vocabulary; an empty list is an error.  ``reports``
-    names the wanted reports (default: all).
+    names the wanted reports (default: all).  ``difference="delta"`` finds the
+    codes of the mapping report from the concepts and edges that changed
+    (for releases that share most of them), ``"full"`` from both resolved sides.
     """
+    if difference not in ("full", "delta"):
+        raise ValueError('difference must be "full" or "delta"')
     items = normalise_items(items)
     vocabs = source_vocabularies(included_source_vocabs)
     small = fits(items)
@@ -158,8 +164,15 @@ def vocabulary_change_report(
     def new_vc() -> DataFrame:
         return shared("new_vc", lambda: R.resolve_concepts(items, new, excluded_nodes, SET_KEYS, small))
 
+    def full_difference() -> DataFrame:
+        return D.source_concept_diff(D.source_concepts(old_vc(), old), D.source_concepts(new_vc(), new))
+
+    def delta_difference() -> DataFrame:
+        hold = lambda df, name: shared(name, lambda: df)
+        return DELTA.source_concept_diff_by_delta(items, old, new, excluded_nodes, SET_KEYS, small, hold)
+
     def mapping_diff() -> DataFrame:
-        dif = shared("dif", lambda: D.source_concept_diff(D.source_concepts(old_vc(), old), D.source_concepts(new_vc(), new)))
+        dif = shared("dif", delta_difference if difference == "delta" else full_difference)
         return M.mapping_diff_one_pass(dif, old, new, counts, SET_KEYS, vocabs, changed_only)
 
     def cohort_stats() -> DataFrame:
