@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vocabshift.llm import decontam, langid, ngram_join, pii, subword
-from vocabshift.llm.common import discard, map_rows, read_table, stored, text_slices
+from vocabshift.llm.common import discard, give_back, map_rows, read_table, stored, text_slices
 
 
 def _columns(df: DataFrame) -> str:
@@ -30,6 +30,7 @@ def _columns(df: DataFrame) -> str:
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that language identification does not reject."""
     model = langid.fit_documents(docs)
+    give_back()  # the sample's memory, which the driver would hold through the other stages
     shared = spark.sparkContext.broadcast(model)
     at = docs.columns.index("text")
 
