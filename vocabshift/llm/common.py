@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import contextlib
 import ctypes
+import gc
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -53,6 +54,15 @@ def discard(*tables: DataFrame) -> None:
         _stored_at.discard(table.stored_at)
 
 
+def release(spark: SparkSession) -> None:
+    """Free what finished jobs left: shuffle files, broadcasts and plans that nothing refers to any more.
+
+    Spark removes them only when the driver's garbage is collected, which in a chain of many short jobs may be long after.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def _discard_all(spark: SparkSession) -> None:
     """At the end of the driver: remove what is left of the ``stored`` tables, if the session still runs."""
     with contextlib.suppress(Exception):
