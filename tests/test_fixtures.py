@@ -41,3 +41,36 @@ def test_skew_is_planted(spark):
     sets = fx.items.where(F.col("conceptid") == 3 * HOT_CONCEPT).select("cohortid", "conceptsetid").distinct().count()
     assert sets >= 14
     assert {r[0] for r in fx.cohort_pairs.select("old_cohort_vocab_version").distinct().collect()} == {"v0", "v1"}
+
+
+def test_derived_tables_are_not_broadcast_for_the_size_of_their_files(spark):
+    """A few MB of ``part`` expand to millions of rows; what the planner takes for small must not go through the driver."""
+    from vocabshift.operators import mapping as M
+    from vocabshift.operators.resolve import resolve_concepts
+    from vocabshift.plans.broadcast import CONF_KEY
+
+    fx = Fixtures(spark, SMALL_SF)
+    before = spark.conf.get(CONF_KEY, None)
+    spark.conf.set(CONF_KEY, "0")  # no side is small by its bound either
+    try:
+        resolved = resolve_concepts(fx.items, fx.old)
+        codes = resolved.select(F.col("descendant_concept_id").alias("source_concept_id"))
+        for made in (fx.concept_count, resolved, M.with_targets(codes, fx.new), fx.event):
+            assert "Broadcast" not in made._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset(CONF_KEY) if before is None else spark.conf.set(CONF_KEY, before)
+
+
+def test_rows_of_a_small_file_are_dealt_over_the_tasks(spark):
+    fx = Fixtures(spark, SMALL_SF)
+    for made in (fx.c, fx.ancestor_old, fx.items):
+        assert "REBALANCE_PARTITIONS_BY_COL" in made._jdf.queryExecution().executedPlan().toString()
+
+
+def test_known_bytes_of_repeated_names_cover_their_rows(spark, tmp_path):
+    from vocabshift.plans.broadcast import known_bytes
+
+    name = "a concept set with a longer name"
+    rows = spark.range(200_000).select("id", F.lit(1).alias("flag"), F.lit(name).alias("name"), F.concat(F.lit(name), F.lit("s")).alias("cohort"))
+    rows.coalesce(1).write.parquet(f"{tmp_path}/items")
+    assert known_bytes(spark.read.parquet(f"{tmp_path}/items")) >= 200_000 * (8 + 4 + 2 * len(name))

@@ -5,7 +5,7 @@ A broadcast hint is only placed on a side whose size is bounded:
 * ``fits``: by Spark's own statistics, which start no job.  These are file
   sizes for a table (and upper estimates for what is derived from it: a
   join counts as the product of its inputs).  Files are compressed, so they
-  are taken ``EXPANSION`` times.
+  are taken ``EXPANSION`` times (items with repeated names: 18 times in memory).
 * ``rows_fit``: by the counted rows of a staged table and the bytes of a row
   of fixed width.
 
@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 DEFAULT_MAX_BROADCAST_BYTES = 64 * 1024 * 1024
 
-EXPANSION = 4  # memory bytes taken for a byte of the statistics
+EXPANSION = 32  # memory bytes taken for a byte of the statistics
 
 CONF_KEY = "vocabshift.broadcast.maxBytes"
 

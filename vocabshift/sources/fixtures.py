@@ -9,6 +9,10 @@ views in SQL, so every value here is cross-checked.
 
 Everything is one lazy DataFrame plan over the Parquet scans: the data
 grows with the driver tables, nothing is collected or made up locally.
+A few MB of files hold millions of rows, and more once they are expanded, so
+the rows of ``part`` are dealt over the tasks first (``_dealt``), and the
+planner, which goes by the bytes of the files, is told not to broadcast the
+tables (``_large``).  A side that the operators broadcast for its bound still is.
 """
 
 from __future__ import annotations
@@ -93,6 +97,16 @@ def _source_vocabulary(c: Column) -> Column:
     )
 
 
+def _dealt(df: DataFrame, by: str) -> DataFrame:
+    """``df`` dealt evenly over the tasks: the scan of a small file is one task, whatever its rows become later."""
+    return df.hint("rebalance", F.col(by))
+
+
+def _large(df: DataFrame) -> DataFrame:
+    """``df``, which no join broadcasts for the size of the files it comes from."""
+    return df.hint("merge")
+
+
 @dataclass
 class Fixtures:
     """Lazily built fixture DataFrames for one scale-factor directory."""
@@ -106,7 +120,7 @@ class Fixtures:
     # -- concepts -----------------------------------------------------------
     @cached_property
     def c(self) -> DataFrame:
-        return self.table("part").select((F.col("p_partkey") + 1).cast("bigint").alias("c"), "p_name")
+        return _dealt(self.table("part").select((F.col("p_partkey") + 1).cast("bigint").alias("c"), "p_name"), "c")
 
     @cached_property
     def src(self) -> DataFrame:
@@ -238,11 +252,11 @@ class Fixtures:
 
     @cached_property
     def old(self) -> Vocabulary:
-        return Vocabulary(self.concept_old, self.ancestor_old, self.relationship_old)
+        return Vocabulary(_large(self.concept_old), _large(self.ancestor_old), _large(self.relationship_old))
 
     @cached_property
     def new(self) -> Vocabulary:
-        return Vocabulary(self.concept_new, self.ancestor_new, self.relationship_new)
+        return Vocabulary(_large(self.concept_new), _large(self.ancestor_new), _large(self.relationship_new))
 
     # -- concept sets and cohorts --------------------------------------------
     @cached_property
@@ -271,7 +285,7 @@ class Fixtures:
         )
         # the hot concept once more, in 14 of the 16 sets
         hot = rows(self.c.where(c.between(8, 21)), _id(F.lit(HOT_CONCEPT)), F.lit(0), F.lit(1), cohort)
-        return every.unionByName(hot)
+        return _large(every.unionByName(hot))
 
     @cached_property
     def items_updated(self) -> DataFrame:
@@ -312,7 +326,7 @@ class Fixtures:
     @cached_property
     def event(self) -> DataFrame:
         li = self.table("lineitem").select("l_orderkey", "l_partkey", "l_linenumber")
-        od = self.table("orders").select("o_orderkey", "o_custkey")
+        od = _large(self.table("orders").select("o_orderkey", "o_custkey"))
         own = _id(F.col("l_partkey") + 1) + 1 + F.col("l_linenumber") % 2
         code = F.when(F.col("l_orderkey") % 3 == 0, F.lit(HOT_EVENT_CODE).cast("bigint")).otherwise(own)
         return li.join(od, F.col("l_orderkey") == F.col("o_orderkey")).select(
@@ -342,17 +356,17 @@ class Fixtures:
         direct = self.record_count.select(
             "concept_id", "record_count", F.col("record_count").alias("descendant_record_count")
         )
-        valid = self.mapsto_old.where(F.col("invalid_reason").isNull())
+        valid = _large(self.mapsto_old.where(F.col("invalid_reason").isNull()))
         rolled = (
-            self.ancestor_old.join(valid, F.col("target_id") == F.col("descendant_concept_id"))
-            .join(self.record_count, F.col("concept_id") == F.col("source_id"))
+            _large(self.ancestor_old).join(valid, F.col("target_id") == F.col("descendant_concept_id"))
+            .join(_large(self.record_count), F.col("concept_id") == F.col("source_id"))
             .groupBy(F.col("ancestor_concept_id").alias("concept_id"))
             .agg(
                 F.lit(0).cast("bigint").alias("record_count"),
                 F.sum("record_count").cast("bigint").alias("descendant_record_count"),
             )
         )
-        return direct.unionByName(rolled)
+        return _large(direct.unionByName(rolled))
 
 
 # -- fixture inputs as tables ----------------------------------------------------
