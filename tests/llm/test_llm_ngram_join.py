@@ -196,3 +196,22 @@ def test_marks_never_exclude_a_link():
     assert excluded > len(a) // 2
     none = np.concatenate([marks[:2], np.frombuffer(J.NO_MARK, np.uint64)[None]])
     assert J.near_by_marks(none, np.array([9, 9, 9]), np.array([0]), np.array([2])).all()  # an unknown mark excludes nothing
+
+
+def test_other_members_of_short_lists_link(spark):
+    """1 and 2 share size and prefix and do not link; 3, of another prefix, links with 2 alone, by shingles that nothing else has."""
+    head = [f"h{k}" for k in range(30)]
+    tails = [[f"t{s}x{k}" for k in range(8)] for s in (1, 2)]
+    texts = [head + tails[0], head + tails[1], ["other", *head[1:], *tails[1]]]
+    for s, tail in enumerate(tails):  # what differs is frequent, and so last in the order
+        texts += [head[-4:] + tail + [f"own{s}x{k}x{j}" for j in range(60)] for k in range(6)]
+    rows = list(enumerate(map(" ".join, texts), 1))
+    got = found(spark, rows)
+    assert got == brute(rows)
+    assert (got[1][1], got[2][1], got[3][1]) == (1, 2, 2)
+
+
+def test_groups_that_share_an_id_keep_their_sizes():
+    p = np.zeros(5, J.POSTING)
+    p["token"], p["gid"], p["n"], p["pos"] = [1, 2, 3, 4, 5], [7, 7, 7, 7, 9], [10, 10, 40, 40, 12], [0, 1, 0, 1, 0]
+    assert J.unpacked(J.packed(p)).tolist() == p.tolist()

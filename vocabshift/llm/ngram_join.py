@@ -19,8 +19,8 @@ each, under any one order of all shingles.
 5. *Tries*: in the long lists every group that is not yet in one component with all others tries two more: the
    one with most links so far, and a random one.  In a family of near copies whose pairs link now and then this finds
    the copies nearest to the origin and joins nearly all, at a cost in proportion to its size.
-6. *Remaining candidates*: in the long lists all groups that are still not in one component meet (again filtered), are
-   expanded to their members, and verified.  Pairs inside a component need no check: a link there changes nothing.
+6. *Remaining candidates*: in the long lists all groups that are still not in one component meet (again filtered); they, and
+   the first candidates' groups of several members, are expanded to their members, and verified.  Pairs inside a component need no check: a link there changes nothing.
 
 Sets are recomputed from the text for the candidates only.  The links found are enough to connect every two documents
 that a chain of links connects, and no others.
@@ -202,8 +202,8 @@ def _tokens(prefix: bytes) -> np.ndarray:
 
 
 def packed(p: np.ndarray) -> bytes:
-    """Postings of one bucket, those of a group together, column by column."""
-    new = np.append(True, p["gid"][1:] != p["gid"][:-1])
+    """Postings of one bucket, those of a group together, column by column; groups that share a gid differ in size."""
+    new = np.append(True, (p["gid"][1:] != p["gid"][:-1]) | (p["n"][1:] != p["n"][:-1]))
     first = np.flatnonzero(new)
     counts = np.diff(np.append(first, len(p))).astype("<i4")
     head = np.array([len(first), len(p)], "<i4")
@@ -501,6 +501,13 @@ def second_candidates(live: DataFrame, members: DataFrame, feats: DataFrame) ->
     return _pairs_of(live.join(marks.drop("other"), "gid", "left"), second_pairs, "a long, b long").distinct()
 
 
+def member_pairs(pairs: DataFrame, members: DataFrame) -> DataFrame:
+    """The first candidates of which a group has several members: only the groups' first ones have met."""
+    several = members.groupBy("gid").agg(F.count("*").alias("nodes")).where("nodes > 1")
+    of = lambda x: pairs.join(several.select(F.col("gid").alias(x)), x, "left_semi").select("a", "b")
+    return of("a").union(of("b")).distinct()
+
+
 # -- verification -----------------------------------------------------------------------------------------
 
 
@@ -711,7 +718,7 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
 
     met = second_candidates(live, members, feats).union(
         group_label.where("label = -1").select(F.col("gid").alias("a"), F.col("gid").alias("b"))
-    )
+    ).union(member_pairs(pairs, members))
     side = lambda x: label.select(
         F.col("gid").alias(x), F.col("node").alias(f"n{x}"), F.col("label").alias(f"l{x}")
     )
