@@ -74,3 +74,16 @@ def test_known_bytes_of_repeated_names_cover_their_rows(spark, tmp_path):
     rows = spark.range(200_000).select("id", F.lit(1).alias("flag"), F.lit(name).alias("name"), F.concat(F.lit(name), F.lit("s")).alias("cohort"))
     rows.coalesce(1).write.parquet(f"{tmp_path}/items")
     assert known_bytes(spark.read.parquet(f"{tmp_path}/items")) >= 200_000 * (8 + 4 + 2 * len(name))
+
+
+def test_expanded_rows_are_dealt_before_a_hash_table_holds_them(spark):
+    """A node with many descendants or codes is expanded by one task, which must not also hold all of its groups."""
+    from vocabshift.operators import diff as D
+    from vocabshift.operators.resolve import resolve_concepts
+
+    fx = Fixtures(spark, SMALL_SF)
+    sides = [resolve_concepts(fx.items, v) for v in (fx.old, fx.new)]
+    for made in (sides[0], D.source_concept_diff(*[D.source_concepts(s, v) for s, v in zip(sides, (fx.old, fx.new), strict=True)])):
+        lines = made._jdf.queryExecution().executedPlan().toString().splitlines()
+        first = next(i for i, x in enumerate(lines) if "Exchange hashpartitioning" in x)
+        assert "REPARTITION_BY_COL" in lines[first] and sum("HashAggregate" in x for x in lines[:first]) == 2

@@ -8,10 +8,10 @@ reference; the difference below works on sets.
 ``source_concept_diff``: codes that a concept set covers only in the old
 version (``Removed``) or only in the new one (``Added``).  The one-pass
 form tags both sides, groups once on ``keys + source_concept_id`` and keeps
-groups seen on exactly one side: one shuffle (after map-side partial
-aggregation) instead of two ``EXCEPT`` plans.  Grouping treats NULL keys as
-equal, exactly like the set difference.  A concept that a large share of all
-codes map to makes a skewed join partition; AQE splits it.
+groups seen on exactly one side: one shuffle instead of two ``EXCEPT`` plans.
+Grouping treats NULL keys as equal, exactly like the set difference.  A concept
+that a large share of all codes map to makes a skewed join partition; AQE splits
+it, and the rows are dealt by the group before a hash table holds them.
 """
 
 from __future__ import annotations
@@ -51,7 +51,8 @@ def source_concept_diff(
         new_sources.select(*cols, F.lit(0).alias("_old"), F.lit(1).alias("_new"))
     )
     return (
-        tagged.groupBy(*cols)
+        tagged.repartition(*cols)
+        .groupBy(*cols)
         .agg(F.max("_old").alias("_old"), F.max("_new").alias("_new"))
         .where(F.col("_old") != F.col("_new"))
         .select(*cols, F.when(F.col("_old") == 1, REMOVED).otherwise(ADDED).alias("action"))

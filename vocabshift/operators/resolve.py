@@ -15,9 +15,10 @@ Semantics (per concept set, keyed by ``keys``):
 Plan: the item table, read once (broadcast while its bytes are bounded), meets
 one scan of ``concept`` (which of its nodes exist) and then one scan of
 ``concept_ancestor``; include and exclude rows are tagged in the same pass and
-reduced by one hash aggregate keyed on ``keys + descendant`` (partial
-aggregation map-side), which is the set difference without a second scan of
-the hierarchy.
+reduced by one hash aggregate keyed on ``keys + descendant``, which is the set
+difference without a second scan of the hierarchy.  The rows are dealt by that
+key first: a node with many descendants, or in many sets, would fill the hash
+table of the one task that expands it.
 """
 
 from __future__ import annotations
@@ -68,7 +69,8 @@ def resolve_concepts(
     """Resolved concept sets: ``keys + descendant_concept_id``, distinct."""
     expanded = expand_items(items, vocab, excluded_nodes, keys, small)
     return (
-        expanded.groupBy(*keys, "descendant_concept_id")
+        expanded.repartition(*keys, "descendant_concept_id")
+        .groupBy(*keys, "descendant_concept_id")
         .agg(F.max("_inc").alias("_inc"), F.max("_exc").alias("_exc"))
         .where((F.col("_inc") == 1) & (F.col("_exc") == 0))
         .select(*keys, "descendant_concept_id")
