@@ -87,3 +87,15 @@ def test_expanded_rows_are_dealt_before_a_hash_table_holds_them(spark):
         lines = made._jdf.queryExecution().executedPlan().toString().splitlines()
         first = next(i for i, x in enumerate(lines) if "Exchange hashpartitioning" in x)
         assert "REPARTITION_BY_COL" in lines[first] and sum("HashAggregate" in x for x in lines[:first]) == 2
+
+
+def test_held_events_are_joined_once(spark):
+    from vocabshift.staging import Staging
+
+    with Staging(spark, "events") as stage:
+        fx, plain = Fixtures(spark, SMALL_SF), Fixtures(spark, SMALL_SF)
+        fx.hold_events(stage)
+        assert len(stage.paths) == 1
+        for made, same in ((fx.event_tables["measurement"], plain.event_tables["measurement"]), (fx.concept_count, plain.concept_count)):
+            assert "l_orderkey" not in made._jdf.queryExecution().executedPlan().toString()
+            assert sorted(made.collect()) == sorted(same.collect())

@@ -29,7 +29,7 @@ from ..sinks.events import write_event_layout
 from ..sinks.reports import read_report, write_reports, written_places
 from ..sources import documents as DOCS
 from ..sources import items as I
-from ..sources.fixtures import EXCLUDED_NODES, INCLUDED_SOURCE_VOCABS, PAIR_VERSION, inputs_for
+from ..sources.fixtures import EXCLUDED_NODES, INCLUDED_SOURCE_VOCABS, PAIR_VERSION, Fixtures, inputs_for
 from ..sources.tables import read_cohort_map, read_cohort_names, read_counts, read_events, read_vocabulary
 from ..staging import Staging
 from .broadcast import fits
@@ -301,6 +301,8 @@ def _delivered(spark: SparkSession, sf_dir: str):
     The old vocabulary is tab-separated text, the new one Parquet; counts and events are Parquet, names and pairs CSV.
     """
     fx = inputs_for(spark, sf_dir)
+    if isinstance(fx, Fixtures):
+        fx.hold_events(Staging(spark, "scratch"))
     base = _scratch(spark, "delivered")
     for version, vocab, text in (("old", fx.old, True), ("new", fx.new, False)):
         for name, df in (

@@ -33,6 +33,7 @@ from ..model import (
     RELATIONSHIP_SCHEMA,
     Vocabulary,
 )
+from ..staging import Staging
 
 # Fixed fixture parameters (FIXTURES.md §3).
 EXCLUDED_NODES = (36, 39)
@@ -335,6 +336,10 @@ class Fixtures:
             (_div(code, IDS_PER_CONCEPT) % 6).alias("tbl"),
         )
 
+    def hold_events(self, staging: Staging) -> None:
+        """The joined events written once, for a reader of several tables that are made of them."""
+        self.event = staging.put(self.event, "event")
+
     @cached_property
     def event_tables(self) -> dict[str, DataFrame]:
         """The six clinical event tables, each with its own column name."""
