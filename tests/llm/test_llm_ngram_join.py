@@ -2,10 +2,12 @@
 
 import random
 import re
+from types import SimpleNamespace
 
 import numpy as np
 import pytest
 
+from vocabshift.llm import common
 from vocabshift.llm import ngram_join as J
 from vocabshift.llm.components import components
 from vocabshift.llm.shingles import shingle_sets
@@ -215,3 +217,39 @@ def test_groups_that_share_an_id_keep_their_sizes():
     p = np.zeros(5, J.POSTING)
     p["token"], p["gid"], p["n"], p["pos"] = [1, 2, 3, 4, 5], [7, 7, 7, 7, 9], [10, 10, 40, 40, 12], [0, 1, 0, 1, 0]
     assert J.unpacked(J.packed(p)).tolist() == p.tolist()
+
+
+def test_second_candidates_become_rows_once(spark):
+    """Two groups of near sets in eight lists, each in a bucket of its own, are one row; an id with two sets meets everywhere."""
+    rows = [(k, 7, gid, 100, k, gid) for k in range(8) for gid in (1, 2, 3)]
+    live = spark.createDataFrame(rows, "bucket int, token long, gid long, n int, pos int, label long")
+    mark = bytearray(J._mark(np.arange(100, dtype=np.uint64) << np.uint64(20)))
+    feats = [(1, 100, 1, 1, mark), (2, 100, 2, 2, mark), (3, 100, 3, 3, mark), (3, 100, 4, 4, mark)]
+    feats = spark.createDataFrame(feats, "doc_id long, n long, f1 long, f2 long, mark binary")
+    members = spark.createDataFrame([(g, g) for g in (1, 2, 3)], "gid long, node long")
+    kept, real = [], J._pairs_of
+    J._pairs_of = lambda *args: kept.append(real(*args)) or kept[-1]
+    try:
+        got = {tuple(r) for r in J.second_candidates(live, members, feats).collect()}
+    finally:
+        J._pairs_of = real
+    assert got == {(1, 2), (1, 3), (2, 3)}
+    made = [tuple(r) for r in kept[0].collect()]
+    assert made.count((1, 2)) == 1 and made.count((1, 3)) == 8
+
+
+def test_pairs_that_failed_in_an_earlier_list_meet_in_a_later_one():
+    assert J.met_before({5: 3}, 100, {5: 9}, 100) and not J.met_before({5: 3}, 100, {5: 12}, 100)
+    assert not J.met_before({5: 3}, 100, {6: 3}, 100) and J.met_before({5: J.FAR}, 100, {5: 0}, 100)
+
+
+def test_a_half_filled_driver_is_told():
+    class Runtime:
+        totalMemory, freeMemory, maxMemory = (lambda self: 700), (lambda self: 300), (lambda self: self.most)
+
+    runtime = Runtime()
+    spark = SimpleNamespace(sparkContext=SimpleNamespace(_jvm=SimpleNamespace(java=SimpleNamespace(lang=SimpleNamespace(Runtime=SimpleNamespace(getRuntime=lambda: runtime))))))
+    runtime.most = 700
+    assert common.heap_filled(spark)
+    runtime.most = 1000
+    assert not common.heap_filled(spark)

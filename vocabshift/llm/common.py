@@ -31,6 +31,8 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark).rstrip('/')}/llm-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if heap_filled(spark):
+        release(spark)
     if not _stored_at:
         atexit.register(_discard_all, spark)
     _stored_at.add(path)
@@ -63,6 +65,12 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def heap_filled(spark: SparkSession) -> bool:
+    """Whether more than half of the driver's heap is in use, mostly by what finished jobs left."""
+    runtime = spark.sparkContext._jvm.java.lang.Runtime.getRuntime()
+    return 2 * (runtime.totalMemory() - runtime.freeMemory()) > runtime.maxMemory()
+
+
 def _discard_all(spark: SparkSession) -> None:
     """At the end of the driver: remove what is left of the ``stored`` tables, if the session still runs."""
     with contextlib.suppress(Exception):

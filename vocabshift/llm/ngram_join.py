@@ -399,14 +399,23 @@ FULL = np.uint64(0xFFFFFFFFFFFFFFFF)
 NO_MARK = b"\xff" * (MARK_BITS // 8)
 
 
-def second_pairs(p: np.ndarray, marks: np.ndarray | None = None) -> pd.DataFrame:
+def met_before(x: dict, n_x: int, y: dict, n_y: int) -> bool:
+    """Whether two sets pass the position filter of ``can_link`` in one of the lists (places by list) that both are in."""
+    least = -(-PERCENT * (n_x + n_y) // (100 + PERCENT))
+    left = lambda n, pos: n - (0 if pos == FAR else pos)
+    return any(left(n_x, x[k]) >= least and left(n_y, y[k]) >= least for k in x.keys() & y.keys())
+
+
+def second_pairs(p: np.ndarray, marks: np.ndarray | None = None, before: list | None = None) -> pd.DataFrame:
     """Pairs of one list whose labels differ (label -1: a group with several), which pass the filters.
 
     Members of a list's most common label are not compared with each other.  Sets are compared by places and marks here, so
-    only pairs that are likely to link become rows.
+    only pairs that are likely to link become rows.  ``before``: the group's places in the lists that hold it at an earlier
+    place; a pair becomes a row at the first common shingle where it passes, not once a bucket.
     """
     order = np.lexsort((p["gid"], p["n"], p["token"]))
     p, marks = p[order], None if marks is None else marks[order]
+    before = None if before is None else [before[i] for i in order]
     new = np.append(True, p["token"][1:] != p["token"][:-1])
     start = np.flatnonzero(new)
     length = np.diff(np.append(start, len(p)))
@@ -427,7 +436,13 @@ def second_pairs(p: np.ndarray, marks: np.ndarray | None = None) -> pd.DataFrame
             ok = can_link(run["n"][a], run["pos"][a], run["n"][b], run["pos"][b])
             a, b = a[ok], b[ok]
             ok = slice(None) if marks is None else near_by_marks(marks[s : s + k], run["n"], a, b)
-            out.append(_pairs_frame(run["gid"][a[ok]], run["gid"][b[ok]]))
+            a, b = a[ok], b[ok]
+            if before is not None:
+                sizes = run["n"].tolist()
+                pairs = zip(a.tolist(), b.tolist(), strict=True)
+                new = np.array([not met_before(before[s + x], sizes[x], before[s + y], sizes[y]) for x, y in pairs], bool)
+                a, b = a[new], b[new]
+            out.append(_pairs_frame(run["gid"][a], run["gid"][b]))
     if not out:
         return pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64)})
     return pd.concat(out).drop_duplicates()
@@ -473,7 +488,9 @@ def _pairs_of(live: DataFrame, pairs, schema: str) -> DataFrame:
         if "mark" not in frame:
             return pairs(p)
         raw = b"".join(NO_MARK if m is None else m for m in frame["mark"])
-        return pairs(p, np.frombuffer(raw, np.uint64).reshape(len(p), -1))
+        own = zip(frame["before"], frame["places"], strict=True)
+        before = [{} if x is None else dict(zip(x.tolist(), y.tolist(), strict=True)) for x, y in own]
+        return pairs(p, np.frombuffer(raw, np.uint64).reshape(len(p), -1), before)
 
     return live.groupBy("bucket").applyInPandas(run, schema)
 
@@ -492,13 +509,19 @@ def tried_candidates(live: DataFrame, links: DataFrame, turn: int) -> DataFrame:
 def second_candidates(live: DataFrame, members: DataFrame, feats: DataFrame) -> DataFrame:
     """Candidate pairs of groups that are still apart, from the long lists.
 
-    Groups of one member, whose id names one set, are compared by marks too.
+    Groups of one member, whose id names one set, are compared by marks too, and pairs of them become rows once: a pair that
+    links and has not met in a short list meets in the list of its first common shingle, which is live.
     """
     single = members.groupBy("gid").agg(F.count("*").alias("nodes")).where("nodes = 1").select("gid")
     wanted = live.select("gid").distinct().join(single, "gid", "left_semi")
-    marks = feats.where("n > 0").select(F.col("doc_id").alias("gid"), "mark").join(wanted, "gid", "left_semi")
-    marks = marks.groupBy("gid").agg(F.min("mark").alias("mark"), F.max("mark").alias("other")).where("mark = other")
-    return _pairs_of(live.join(marks.drop("other"), "gid", "left"), second_pairs, "a long, b long").distinct()
+    sets = feats.where("n > 0").select(F.col("doc_id").alias("gid"), F.struct("mark", "n", "f1", "f2").alias("set"))
+    one = sets.join(wanted, "gid", "left_semi").groupBy("gid").agg(F.min("set").alias("set"), F.max("set").alias("other"))
+    one = one.where("set = other").select("gid", "set.mark")
+    place = F.struct((F.shiftleft(F.col("bucket").cast("long"), 32) + F.col("token")).alias("list"), "pos")
+    own = one.join(live.groupBy("gid").agg(F.collect_list(place).alias("lists")), "gid")
+    earlier = F.filter("lists", lambda x: x["pos"] < F.col("pos"))
+    met = live.join(own, "gid", "left").select(*live.columns, "mark", earlier["list"].alias("before"), earlier["pos"].alias("places"))
+    return _pairs_of(met, second_pairs, "a long, b long").distinct()
 
 
 def member_pairs(pairs: DataFrame, members: DataFrame) -> DataFrame:
